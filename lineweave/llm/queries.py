@@ -19,8 +19,14 @@ def op8_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_store_digest(read_table(spark, sf_dir, "documents"), "word_bpe_49k.json", end_id=2)
 
 
+def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lineweave.llm.packing import pack
+
+    return pack(read_table(spark, sf_dir, "documents"), "byte_bpe_50k.json", end_id=1, window=2048)
+
+
 def queries() -> dict:
-    return {"op4_token_counts": op4_token_counts, "op8_token_store": op8_token_store}
+    return {name: f for name, f in globals().items() if name.startswith("op")}
 
 
 def oracle_sql() -> dict[str, str]:
