@@ -7,6 +7,12 @@ from pyspark.sql import DataFrame, SparkSession
 from lineweave.llm.common import read_table
 
 
+def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lineweave.llm.quality import quality
+
+    return quality(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
+
+
 def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     from lineweave.llm.token_counts import token_counts
 
