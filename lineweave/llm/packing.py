@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lineweave.llm.bpe import MEMO, Encoder, tokenizer_json
+from lineweave.llm.bpe import MEMO, Encoder, kept, tokenizer_json
 from lineweave.llm.common import Scratch, small_batches, texts_of
 
 #: Rows ranked together; there are as many groups as keep to about this size.
@@ -134,7 +134,7 @@ def measured(docs: DataFrame, tokenizer: str, end_id: int, window: int, memo: in
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder(spec, memo)
+        encoder = kept(Encoder, spec, memo)
         for batch in batches:
             n, crcs = [], []
             for text in texts_of(batch):

@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lineweave.llm import simple8b
-from lineweave.llm.bpe import MEMO, Encoder, tokenizer_json
+from lineweave.llm.bpe import MEMO, Encoder, kept, tokenizer_json
 from lineweave.llm.common import Scratch, small_batches, texts_of
 
 MAGIC = b"LWTOKEN1"
@@ -100,7 +100,7 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, end_id: int, memo:
     small_batches(docs.sparkSession)
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder(spec, memo)
+        encoder = kept(Encoder, spec, memo)
         doc_ids, ids, n = [], [], 0
         for batch in batches:
             for doc_id, text in zip(batch.column("doc_id").to_pylist(), texts_of(batch), strict=True):
