@@ -102,13 +102,16 @@ _BASE = np.uint64(0x9E3779B97F4A7C15)
 _MIX1, _MIX2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 
 
-def powers(n: int, _kept: dict = {}) -> np.ndarray:  # noqa: B006  grown on demand, one per process
-    """_BASE**0 .. _BASE**(n-1), modulo 2**64."""
-    have = _kept.get("p")
+_INVERSE = np.uint64(pow(int(_BASE), -1, 1 << 64))
+
+
+def powers(n: int, base: np.uint64 = _BASE, _kept: dict = {}) -> np.ndarray:  # noqa: B006  grown on demand, one per process
+    """base**0 .. base**(n-1), modulo 2**64."""
+    have = _kept.get(base)
     if have is None or len(have) < n:
-        grown = np.full(max(n, 1 << 16), _BASE, np.uint64)
+        grown = np.full(max(n, 1 << 16), base, np.uint64)
         grown[0] = 1
-        _kept["p"] = have = np.cumprod(grown, dtype=np.uint64)
+        _kept[base] = have = np.cumprod(grown, dtype=np.uint64)
     return have[:n]
 
 
@@ -133,8 +136,8 @@ class Bytes:
         np.cumsum((self.data.astype(np.uint64) + np.uint64(1)) * p[: self.n], out=self.prefix[1:])
 
     def hashes(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-        """A 64-bit hash of each run [start, end); equal runs have equal hashes wherever they are."""
-        return mix((self.prefix[end] - self.prefix[start]) * powers(self.n + 1)[self.n - start])
+        """A 64-bit hash of each run [start, end); equal runs have equal hashes in whatever buffer."""
+        return mix((self.prefix[end] - self.prefix[start]) * powers(self.n + 1, _INVERSE)[start])
 
 
 _SPACE = np.zeros(256, bool)

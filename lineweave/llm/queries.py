@@ -3,8 +3,18 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from lineweave.llm.common import read_table
+from lineweave.llm.common import read_table, remainder
+
+
+def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lineweave.llm.toxicity import fit, score
+
+    docs = read_table(spark, sf_dir, "documents")
+    held_out = remainder("doc_id", 3) == 1
+    model = fit(docs.where(~held_out), read_table(spark, sf_dir, "labels").where(~held_out))
+    return score(docs, model, threshold=0.7).select("doc_id", held_out.alias("held_out"), "score", "predicted")
 
 
 def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -19,6 +29,15 @@ def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(read_table(spark, sf_dir, "documents"), "word_bpe_49k.json", max_tokens=2048)
 
 
+def op5_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lineweave.llm.language import fit_languages, predict_languages
+
+    docs = read_table(spark, sf_dir, "documents")
+    held_out = remainder("doc_id", 4) == 2
+    model = fit_languages(docs.where(~held_out))
+    return predict_languages(docs, model).select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
+
+
 def op8_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     from lineweave.llm.token_store import token_store_digest
 
