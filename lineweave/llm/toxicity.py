@@ -134,7 +134,7 @@ def fit(docs: DataFrame, labels: DataFrame, train_docs: int = TRAIN_DOCS) -> Tox
     return Toxicity(effect, bias, base)
 
 
-def logistic(row: np.ndarray, col: np.ndarray, value: np.ndarray, y: np.ndarray, n: int, penalty: float = 1e-3, rounds: int = 300) -> tuple[np.ndarray, float]:
+def logistic(row: np.ndarray, col: np.ndarray, value: np.ndarray, y: np.ndarray, n: int, penalty: float = 1e-4, rounds: int = 300) -> tuple[np.ndarray, float]:
     """L2-penalised logistic regression on sparse rows, by accelerated gradient steps."""
     m = len(y)
     v = np.ones(n)
