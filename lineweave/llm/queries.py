@@ -38,6 +38,18 @@ def op5_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return predict_languages(docs, model).select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
 
 
+def op6_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lineweave.llm.licenses import scan
+
+    return scan(read_table(spark, sf_dir, "documents"))
+
+
+def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lineweave.llm.decontaminate import contaminated
+
+    return contaminated(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
+
+
 def op8_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     from lineweave.llm.token_store import token_store_digest
 
@@ -55,4 +67,6 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    from lineweave.llm.licenses import oracle
+
+    return {"op6_licenses": oracle()}

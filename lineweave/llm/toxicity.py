@@ -23,7 +23,7 @@ TRAIN_DOCS = 20_000
 #: Most features with a weight, the strongest log-count ratios first.
 FEATURES = 20_000
 #: Fewest documents an n-gram is seen in to be a feature, and least |ratio| / standard error.
-MIN_DOCS, MIN_Z = 3, 3.0
+MIN_DOCS, MIN_Z = 3, 2.6
 _CHUNK = 1 << 17
 NOT_LETTERS = regex.compile(r"[^\p{L}]+")
 
@@ -134,7 +134,7 @@ def fit(docs: DataFrame, labels: DataFrame, train_docs: int = TRAIN_DOCS) -> Tox
     return Toxicity(effect, bias, base)
 
 
-def logistic(row: np.ndarray, col: np.ndarray, value: np.ndarray, y: np.ndarray, n: int, penalty: float = 1e-4, rounds: int = 300) -> tuple[np.ndarray, float]:
+def logistic(row: np.ndarray, col: np.ndarray, value: np.ndarray, y: np.ndarray, n: int, penalty: float = 1e-5, rounds: int = 600) -> tuple[np.ndarray, float]:
     """L2-penalised logistic regression on sparse rows, by accelerated gradient steps."""
     m = len(y)
     v = np.ones(n)
