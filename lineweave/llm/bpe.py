@@ -1,10 +1,11 @@
 """Exact, memoised front end of the byte-pair tokenizers.
 
-A text is cut at places where the tokenizer itself always cuts (a run of blanks, tabs or line ends
-begins a new piece); each distinct piece is encoded by the library once and remembered. Pieces made
-of Latin letters and ASCII punctuation are cut once more, into the pre-tokens the library would
-make of them, so that ``word`` and ``word,`` share their merges. Texts with rarer kinds of white
-space go to the library whole. The ids are always those of ``Tokenizer.encode`` on the whole text.
+A column of texts is cut at places where the tokenizer itself always cuts: before each run of
+blanks, tabs or line ends, and, in pieces of Latin letters, digits and ASCII punctuation, between
+the pre-tokens that the library would make of them. Each distinct piece is encoded once and
+remembered: pre-tokens by the model's merges alone, other pieces by the library. Texts with rarer
+kinds of white space go to the library whole. The ids are always those of ``Tokenizer.encode`` on
+the whole text.
 """
 
 from __future__ import annotations
@@ -13,17 +14,28 @@ import json
 import os
 import re
 from array import array
+from collections.abc import Iterator
 
+import numpy as np
 import public_tokenizers
+import pyarrow as pa
+import pyarrow.compute as pc
 
 #: Entries of each memo; beyond it the older half goes. It bounds memory, not results.
 MEMO = 200_000
-#: White space on which Python, the pieces here and the library could disagree.
-ODD_SPACE = re.compile(r"[\x0b\x0c\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
-SPACED = re.compile(r"[ \t\n\r]*[^ \t\n\r]+|[ \t\n\r]+")
+#: White space that could join a run of blanks; a text with any of it goes to the library whole.
+ODD_PATTERN = "[\x0b\x0c\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]"
 LETTERS = "a-zA-ZÀ-ÖØ-öø-ÿ"
 PUNCT = r"!-/:-@\[-`{-~"
-SIMPLE = re.compile(rf"(\n?)( ?[{LETTERS}]+)([{PUNCT}]*)")
+#: What the tokenizers' own patterns keep together among these characters.
+PRE_TOKEN = re.compile(rf" ?(?:[{LETTERS}]+|[{PUNCT}]+|[0-9]+)|[ \t\n\r]")
+#: Kinds of bytes; REST is whatever the cuts here do not know.
+BLANK, LETTER, PUNCTUATION, DIGIT, REST = range(5)
+KIND = np.full(256, REST, np.uint8)
+KIND[list(b" \t\n\r")] = BLANK
+KIND[[*range(0x41, 0x5B), *range(0x61, 0x7B)]] = LETTER
+KIND[0x30:0x3A] = DIGIT
+KIND[[*range(0x21, 0x30), *range(0x3A, 0x41), *range(0x5B, 0x61), *range(0x7B, 0x7F)]] = PUNCTUATION
 
 
 def tokenizer_json(name: str) -> str:
@@ -71,38 +83,103 @@ class Encoder:
         self.model, self.letters = self.tok.model, byte_letters()
         # the cut into pre-tokens holds for these two well-known shapes of tokenizer only
         kinds = json.dumps(parsed["pre_tokenizer"])
-        self.cuts = '"Split"' in kinds and "[\\\\p{L}]+" in kinds if self.folds else '"use_regex": true' in kinds
-        self.pre, self.pieces = Memo(self._pre, memo), Memo(self._piece, memo)
+        special = all(t["content"].startswith("<|") for t in parsed["added_tokens"])
+        self.cuts = special and ('"Split"' in kinds and "[\\\\p{L}]+" in kinds if self.folds else '"use_regex": true' in kinds)
+        self.pieces = Memo(self._piece, memo)
 
     def whole(self, text: str) -> bytes:
         return array("I", self.tok.encode(text, add_special_tokens=False).ids).tobytes()
 
-    def _pre(self, pre: str) -> bytes:
-        """Ids of a pre-token of letters or punctuation, by the model's merges alone."""
-        mapped = pre.encode().decode("latin1").translate(self.letters)
-        return array("I", [t.id for t in self.model.tokenize(mapped)]).tobytes()
-
     def _piece(self, piece: str) -> bytes:
-        m = SIMPLE.fullmatch(piece) if self.cuts else None
-        if m is None:
-            return self.whole(piece)
-        lead, word, tail = m.groups()
-        if self.folds:
-            lead, word = "", word.strip().lower()
-        out = self.pre[word]
-        if lead:
-            out = self.pre[lead] + out
-        return out + self.pre[tail] if tail else out
-
-    def split(self, text: str) -> list[str] | None:
-        """The pieces of a text, or None if the library should see it whole."""
-        if ODD_SPACE.search(text):
-            return None
-        return text.split() if self.folds else SPACED.findall(text)
-
-    def ids(self, text: str) -> bytes:
-        pieces = self.split(text)
-        return self.whole(text) if pieces is None else b"".join(map(self.pieces.__getitem__, pieces))
+        """Ids of a pre-token by the model's merges alone, or of any other piece by the library."""
+        if self.folds and not (piece := piece.strip(" \t\n\r")):
+            return b""
+        if self.cuts and PRE_TOKEN.fullmatch(piece) and (not self.folds or piece == piece.lower()):
+            mapped = piece.replace(" ", "\u0120") if piece.isascii() and piece[0] >= " " else piece.encode().decode("latin1").translate(self.letters)
+            return array("I", [t.id for t in self.model.tokenize(mapped)]).tobytes()
+        return self.whole(piece)
+
+    def column(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of a column of texts (null is empty), end to end, and the number of each text's ids.
+
+        Pieces are found in the column's own bytes and told apart by Arrow's dictionary encoding, so
+        Python handles only the distinct pieces of a batch.
+        """
+        distinct, index, owner, whole = self._distinct(texts)
+        coded = list(map(self.pieces.__getitem__, distinct))
+        size = np.fromiter(map(len, coded), np.int64, len(coded)) // 4
+        ids, count = np.frombuffer(b"".join(coded), np.uint32), size[index]
+        at = np.repeat((np.cumsum(size) - size)[index] - (np.cumsum(count) - count), count) + np.arange(int(count.sum()))
+        length = np.bincount(owner, count, len(texts)).astype(np.int64)
+        out = ids[at]
+        if len(whole):
+            parts = np.split(out, np.cumsum(length)[:-1])
+            for k in whole:
+                parts[k] = np.frombuffer(self.whole(texts[k].as_py()), np.uint32)
+                length[k] = len(parts[k])
+            out = np.concatenate(parts)
+        return out, length
+
+    def texts(self, texts: pa.Array) -> Iterator[bytes]:
+        """The ids of each text, as little-endian unsigned 32-bit bytes."""
+        ids, length = self.column(texts)
+        raw, at = ids.astype("<u4").tobytes(), 0
+        for n in length.tolist():
+            yield raw[at : at + 4 * n]
+            at += 4 * n
+
+    def _distinct(self, texts: pa.Array) -> tuple[list[str], np.ndarray, np.ndarray, np.ndarray]:
+        """The distinct pieces of a column, each piece's index among them, each piece's text, and
+        the texts that the library must see whole (their pieces are left out)."""
+        texts = pc.fill_null(texts.cast(pa.large_string()), "")
+        n = len(texts)
+        offsets = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset : texts.offset + n + 1]
+        raw = texts.buffers()[2]
+        data = np.frombuffer(raw, np.uint8)[offsets[0] : offsets[-1]] if raw is not None else np.zeros(0, np.uint8)
+        offsets = offsets - offsets[0]
+        whole = np.zeros(0, np.int64)
+        if not self.folds:  # where white space is dropped, any of it inside a piece does no harm
+            whole = np.flatnonzero(pc.match_substring_regex(texts, ODD_PATTERN).to_numpy(zero_copy_only=False))
+        # a new list entry at each run of blanks, and at each text
+        kind = KIND[data]
+        latin = np.zeros(len(data), bool)  # the second byte of a Latin letter
+        if len(data) > 1:
+            latin[1:] = (data[:-1] == 0xC3) & (kind[1:] == REST) & (data[1:] != 0x97) & (data[1:] != 0xB7) & (data[1:] < 0xC0)
+            kind[latin] = LETTER
+            kind[:-1][latin[1:]] = LETTER
+        blank = kind == BLANK
+        first = blank.copy()
+        if len(data):
+            first[0] = True
+            first[1:] &= ~blank[:-1]
+        first[offsets[:-1][offsets[:-1] < len(data)]] = True
+        start = np.flatnonzero(first)
+        # pieces that are cut no further: rare characters, contractions, special tokens, blanks in a row
+        odd = kind == REST
+        if len(data) > 1:
+            odd[:-1] |= (data[:-1] == 0x27) & (kind[1:] == LETTER) | (data[:-1] == 0x3C) & (data[1:] == 0x7C)
+            if not self.folds:
+                odd[1:] |= blank[1:] & blank[:-1]
+        if self.cuts and len(start):
+            size = np.diff(np.append(start, len(data)))
+            plain = np.repeat(np.add.reduceat(odd, start, dtype=np.int64) == 0, size)
+            change = np.zeros(len(data), bool)
+            change[1:] = (kind[1:] != kind[:-1]) & ((data[:-1] != 32) if not self.folds else True)
+            if self.folds:  # every digit is a pre-token; capitals fold
+                change |= kind == DIGIT
+                upper = plain & ((data >= 0x41) & (data <= 0x5A) | latin & (data <= 0x9E))
+                data = data + (upper.view(np.uint8) << 5)
+            first |= change & plain
+            start = np.flatnonzero(first)
+        owner = np.searchsorted(offsets, start, side="right") - 1
+        # piece k is data[start[k] : start[k + 1]]; one column over the same bytes
+        bounds = np.append(start, len(data)).astype(np.int64)
+        pieces = pa.Array.from_buffers(pa.large_utf8(), len(start), [None, pa.py_buffer(bounds), pa.py_buffer(np.ascontiguousarray(data))])
+        if len(whole):
+            keep = ~np.isin(owner, whole)
+            pieces, owner = pieces.filter(pa.array(keep)), owner[keep]
+        coded = pieces.dictionary_encode()
+        return coded.dictionary.to_pylist(), coded.indices.to_numpy(), owner, whole
 
 
 class Counter(Encoder):
@@ -111,23 +188,16 @@ class Counter(Encoder):
     def __init__(self, spec: str, proven: frozenset[str], memo: int = MEMO):
         super().__init__(spec, memo)
         self.proven = proven
-        self.pre, self.pieces = Memo(self._pre_count, memo), Memo(self._piece_count, memo)
-
-    def _pre_count(self, pre: str) -> int:
-        return 1 if pre in self.proven else len(self._pre(pre)) // 4
-
-    def _piece_count(self, piece: str) -> int:
-        m = SIMPLE.fullmatch(piece) if self.cuts else None
-        if m is None:
-            return len(self.whole(piece)) // 4
-        lead, word, tail = m.groups()
-        if self.folds:
-            lead, word = "", word.strip().lower()
-        return self.pre[word] + (self.pre[lead] if lead else 0) + (self.pre[tail] if tail else 0)
+        self.pieces = Memo(lambda piece: 1 if piece in proven else len(self._piece(piece)) // 4, memo)
 
-    def count(self, text: str) -> int:
-        pieces = self.split(text)
-        return len(self.whole(text)) // 4 if pieces is None else sum(map(self.pieces.__getitem__, pieces))
+    def column(self, texts: pa.Array) -> np.ndarray:
+        """The number of each text's tokens."""
+        distinct, index, owner, whole = self._distinct(texts)
+        size = np.fromiter(map(self.pieces.__getitem__, distinct), np.int64, len(distinct))
+        length = np.bincount(owner, size[index], len(texts)).astype(np.int64)
+        for k in whole:
+            length[k] = len(self.whole(texts[k].as_py())) // 4
+        return length
 
 
 def kept(make, *args, _made: dict = {}):  # noqa: B006  one per worker process
@@ -142,8 +212,8 @@ def prove_whole_tokens(spec: str) -> frozenset[str]:
     """Vocabulary strings that, met as a pre-token of their own, encode as one token.
 
     Each candidate is put through the library by itself: a vocabulary entry can be unreachable by
-    the merges, so membership alone proves nothing. Only pre-tokens in the shape that ``SIMPLE``
-    cuts out are kept; others are never looked up.
+    the merges, so membership alone proves nothing. Only strings in the shape of pre-tokens are
+    kept; others are never looked up.
     """
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
     from tokenizers import Tokenizer
@@ -152,7 +222,6 @@ def prove_whole_tokens(spec: str) -> frozenset[str]:
     parsed = json.loads(spec)
     suffix = parsed["model"].get("end_of_word_suffix") or ""
     back = {c: b for b, c in byte_letters().items()}
-    shape = re.compile(rf" ?[{LETTERS}]+|[{PUNCT}]+|\n")
     found = []
     for entry in parsed["model"]["vocab"]:
         if suffix and not entry.endswith(suffix):
@@ -162,7 +231,7 @@ def prove_whole_tokens(spec: str) -> frozenset[str]:
             text = bytes(back[c] for c in core).decode()
         except (KeyError, UnicodeDecodeError):
             continue
-        if shape.fullmatch(text) and (not suffix or text == text.lower()):
+        if PRE_TOKEN.fullmatch(text) and (not suffix or text == text.lower()):
             found.append(text)
     encoded = tok.encode_batch(found, add_special_tokens=False)
     return frozenset(t for t, e in zip(found, encoded, strict=True) if len(e.ids) == 1)

@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lineweave.llm.bpe import MEMO, Encoder, kept, tokenizer_json
-from lineweave.llm.common import Scratch, small_batches, texts_of
+from lineweave.llm.common import Scratch, small_batches
 
 #: Rows ranked together; there are as many groups as keep to about this size.
 RANKED_ROWS = 20_000
@@ -137,8 +137,8 @@ def measured(docs: DataFrame, tokenizer: str, end_id: int, window: int, memo: in
         encoder = kept(Encoder, spec, memo)
         for batch in batches:
             n, crcs = [], []
-            for text in texts_of(batch):
-                ids = memoryview(encoder.ids(text) + end)
+            for text in encoder.texts(batch.column("text")):
+                ids = memoryview(text + end)
                 n.append(len(ids) // 4)
                 crcs.append([zlib.crc32(ids[i : i + 4 * window]) for i in range(0, len(ids), 4 * window)])
             yield pa.RecordBatch.from_arrays(

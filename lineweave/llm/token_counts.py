@@ -8,8 +8,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lineweave.llm.bpe import MEMO, Counter, prove_whole_tokens, tokenizer_json
-from lineweave.llm.common import small_batches, texts_of
+from lineweave.llm.bpe import MEMO, Counter, kept, prove_whole_tokens, tokenizer_json
+from lineweave.llm.common import small_batches
 
 
 def token_counts(docs: DataFrame, tokenizer: str, max_tokens: int = 2048, memo: int = MEMO) -> DataFrame:
@@ -28,9 +28,9 @@ def token_counts(docs: DataFrame, tokenizer: str, max_tokens: int = 2048, memo:
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counter = Counter(spec, proven, memo)
+        counter = kept(Counter, spec, proven, memo)
         for batch in batches:
-            n = [counter.count(t) for t in texts_of(batch)]
+            n = counter.column(batch.column("text"))
             yield pa.RecordBatch.from_arrays(
                 [batch.column("doc_id"), batch.column("n_bytes"), pa.array(n, pa.int64())], ["doc_id", "n_bytes", "n_tokens"]
             )

@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 
 from lineweave.llm import simple8b
 from lineweave.llm.bpe import MEMO, Encoder, kept, tokenizer_json
-from lineweave.llm.common import Scratch, small_batches, texts_of
+from lineweave.llm.common import Scratch, small_batches
 
 MAGIC = b"LWTOKEN1"
 HEAD = struct.Struct("<8s4IQI")
@@ -103,9 +103,9 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, end_id: int, memo:
         encoder = kept(Encoder, spec, memo)
         doc_ids, ids, n = [], [], 0
         for batch in batches:
-            for doc_id, text in zip(batch.column("doc_id").to_pylist(), texts_of(batch), strict=True):
+            for doc_id, text in zip(batch.column("doc_id").to_pylist(), encoder.texts(batch.column("text")), strict=True):
                 doc_ids.append(doc_id)
-                ids.append(encoder.ids(text) + end)
+                ids.append(text + end)
                 n += len(ids[-1]) // 4
                 if n >= SEGMENT_IDS:
                     yield pa.RecordBatch.from_arrays([pa.array([pack_segment(doc_ids, ids)], pa.binary())], ["value"])
