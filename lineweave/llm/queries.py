@@ -56,6 +56,12 @@ def op8_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_store_digest(read_table(spark, sf_dir, "documents"), "word_bpe_49k.json", end_id=2)
 
 
+def op9_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lineweave.llm.repeats import remove_repeats
+
+    return remove_repeats(read_table(spark, sf_dir, "documents"), length=200).drop("kept")
+
+
 def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from lineweave.llm.packing import pack
 
