@@ -23,6 +23,12 @@ def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
 
 
+def op3_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lineweave.llm.near_duplicates import near_duplicates
+
+    return near_duplicates(read_table(spark, sf_dir, "documents"), words=5, least=0.8)[0]
+
+
 def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     from lineweave.llm.token_counts import token_counts
 
