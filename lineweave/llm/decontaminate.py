@@ -4,12 +4,15 @@ from __future__ import annotations
 
 from collections import defaultdict
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructField, StructType
 
 from lineweave.llm.common import Bytes, gram_hashes, small_batches, texts_of, word_runs
 
@@ -114,6 +117,38 @@ class Index:
         yield from hits.items()
 
 
+def _blocks(benchmark: DataFrame, block_chars: int) -> Iterator[list[tuple]]:
+    """The benchmark's items in blocks of about half of ``block_chars`` characters, measured first."""
+    items = benchmark.select("item_id", "text").where(F.col("text").isNotNull())
+    total = items.agg(F.sum(F.length("text"))).first()[0] or 0
+    blocks = max(1, -(-int(total) // max(1, block_chars // 2)))
+    place = F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks))
+    for block in range(blocks):
+        mine = items.where(place == block) if blocks > 1 else items
+        yield [(r["item_id"], r["text"]) for r in mine.orderBy("item_id", "text").collect()]
+
+
+def _matches(batch: pa.RecordBatch, index: Index, coverage: float) -> Iterator[tuple]:
+    """(row of the batch, item, its tokens, covered ones, tiles) of each contaminated pair."""
+    texts = [plain(t) for t in texts_of(batch)]
+    first = 0
+    while first < len(texts):
+        last, size = first, 0
+        while last < len(texts) and (last == first or size + len(texts[last]) <= _CHUNK):
+            size += len(texts[last])
+            last += 1
+        words, owner = tokens(texts[first:last])
+        for doc, some in index.candidates(words, owner, last - first):
+            a, b = np.searchsorted(owner, [doc, doc + 1])
+            for k in sorted(some):
+                pattern = index.words[k]
+                tiles = tile(pattern, words[a:b], min(index.least, len(pattern)))
+                n = sum(t[2] for t in tiles)
+                if n >= coverage * len(pattern):
+                    yield first + doc, index.ids[k], len(pattern), n, len(tiles)
+        first = last
+
+
 def contaminated(docs: DataFrame, benchmark: DataFrame, least: int = MIN_MATCH, coverage: float = COVERAGE, block_chars: int = BLOCK_CHARS) -> DataFrame:
     """(doc_id, item_id, n_item_tokens, n_covered, n_tiles, coverage) of every contaminated pair.
 
@@ -127,49 +162,38 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, least: int = MIN_MATCH,
     tokens than ``least`` must be there whole. Repeated rows of either table each give their pairs.
     Null ids are kept. An empty benchmark or table gives no row.
     """
-    spark = docs.sparkSession
-    small_batches(spark)
-    items = benchmark.select("item_id", "text").where(F.col("text").isNotNull())
-    total = items.agg(F.sum(F.length("text"))).first()[0] or 0
-    blocks = max(1, -(-int(total) // max(1, block_chars // 2)))
-    kinds = [x.schema[c].dataType.simpleString() for x, c in ((docs, "doc_id"), (benchmark, "item_id"))]
-    schema = f"doc_id {kinds[0]}, item_id {kinds[1]}, n_item_tokens long, n_covered long, n_tiles long, coverage double"
-
-    def one(block: int) -> DataFrame:
-        mine = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == block) if blocks > 1 else items
-        rows = [(r["item_id"], r["text"]) for r in mine.orderBy("item_id", "text").collect()]  # about half of block_chars
+    small_batches(docs.sparkSession)
+    fields = [StructField("doc_id", docs.schema["doc_id"].dataType), StructField("item_id", benchmark.schema["item_id"].dataType)]
+    schema = StructType(fields + StructType.fromDDL("n_item_tokens long, n_covered long, n_tiles long, coverage double").fields)
+    arrow = to_arrow_schema(schema)
 
+    def one(items: list[tuple]) -> DataFrame:
         def match(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            index = Index(rows, least)
+            index = Index(items, least)
             for batch in batches:
-                ids, out = batch.column("doc_id").to_pylist(), []
-                texts = [plain(t) for t in texts_of(batch)]
-                first = 0
-                while first < len(texts):
-                    last, size = first, 0
-                    while last < len(texts) and (last == first or size + len(texts[last]) <= _CHUNK):
-                        size += len(texts[last])
-                        last += 1
-                    words, owner = tokens(texts[first:last])
-                    for doc, some in index.candidates(words, owner, last - first):
-                        a, b = np.searchsorted(owner, [doc, doc + 1])
-                        for k in sorted(some):
-                            pattern = index.words[k]
-                            tiles = tile(pattern, words[a:b], min(least, len(pattern)))
-                            n = sum(t[2] for t in tiles)
-                            if n >= coverage * len(pattern):
-                                out.append((ids[first + doc], index.ids[k], len(pattern), n, len(tiles), n / len(pattern)))
-                    first = last
-                if out:
-                    yield pa.RecordBatch.from_pylist([dict(zip(names, r, strict=True)) for r in out], schema=arrow)
-
-        names = ["doc_id", "item_id", "n_item_tokens", "n_covered", "n_tiles", "coverage"]
-        from pyspark.sql.pandas.types import to_arrow_schema
-
-        arrow = to_arrow_schema(spark.createDataFrame([], schema).schema)
+                ids = batch.column("doc_id").to_pylist()
+                found = [(ids[i], item, of, n, tiles, n / of) for i, item, of, n, tiles in _matches(batch, index, coverage)]
+                if found:
+                    yield pa.RecordBatch.from_pylist([dict(zip(arrow.names, r, strict=True)) for r in found], schema=arrow)
+
         return docs.select("doc_id", "text").mapInArrow(match, schema)
 
-    found = one(0)
-    for block in range(1, blocks):
-        found = found.unionAll(one(block))
-    return found
+    return reduce(DataFrame.unionAll, (one(items) for items in _blocks(benchmark, block_chars)))
+
+
+def clean(docs: DataFrame, benchmark: DataFrame, least: int = MIN_MATCH, coverage: float = COVERAGE, block_chars: int = BLOCK_CHARS) -> DataFrame:
+    """The rows of ``docs`` that no item contaminates, with all their columns; see ``contaminated``.
+    Every block of the benchmark filters what the ones before it left; nothing is shuffled."""
+    small_batches(docs.sparkSession)
+
+    def one(rows: DataFrame, items: list[tuple]) -> DataFrame:
+        def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            index = Index(items, least)
+            for batch in batches:
+                stay = np.ones(batch.num_rows, bool)
+                stay[[m[0] for m in _matches(batch, index, coverage)]] = False
+                yield batch.filter(pa.array(stay))
+
+        return rows.mapInArrow(keep, docs.schema)
+
+    return reduce(one, _blocks(benchmark, block_chars), docs)

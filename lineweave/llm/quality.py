@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from lineweave.llm.common import Bytes, gram_hashes, mix, small_batches, texts_of, word_runs
 from lineweave.llm.sampling import bounded_ids
@@ -130,7 +131,7 @@ def fit_ratio(docs: DataFrame, trusted_ids: DataFrame, smoothing: float = 1.0) -
 
 
 def quality(
-    docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, target_docs: int = TARGET_DOCS, min_words: int = 20, max_repeat_percent: int = 30
+    docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, target_docs: int = TARGET_DOCS, min_words: int = 20, max_repeat_percent: int = 30, carry: Sequence[str] = ("doc_id",)
 ) -> DataFrame:
     """doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept, ratio.
 
@@ -140,11 +141,14 @@ def quality(
     texts, no shuffle of them.
 
     A null text has no words and fails; null and repeated doc_ids pass through, a row each. Equal
-    texts get equal verdicts. Without trusted rows every ratio is 0. Other columns are not read.
+    texts get equal verdicts. Without trusted rows every ratio is 0. ``carry`` names the columns of
+    ``docs`` that come along; others are not read.
     """
     trusted = bounded_ids(labels.where(F.col("quality") == 1), target_docs)
     ratio = fit_ratio(docs, trusted)
-    kind = docs.schema["doc_id"].dataType.simpleString()
+    carry = list(carry)
+    measures = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, kept boolean, ratio double"
+    schema = StructType([docs.schema[c] for c in carry] + StructType.fromDDL(measures).fields)
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -167,14 +171,11 @@ def quality(
             lines = [[x for x in t.split("\n") if x.strip(BLANKS)] for t in texts]
             duplicates = [len(x) - len(set(x)) for x in lines]
             failed = (words < min_words) | (100 * repeats > max_repeat_percent * words)
-            columns = {
-                "doc_id": batch.column("doc_id"), "n_words": pa.array(words), "word_chars": pa.array(chars), "n_symbols": pa.array(symbols),
+            columns = {c: batch.column(c) for c in carry} | {
+                "n_words": pa.array(words), "word_chars": pa.array(chars), "n_symbols": pa.array(symbols),
                 "n_dup_lines": pa.array(duplicates, pa.int64()), "n_repeat_words": pa.array(repeats), "base_failed": pa.array(failed),
                 "kept": pa.array(~failed & (mean >= threshold)), "ratio": pa.array(mean),
             }
             yield pa.RecordBatch.from_arrays(list(columns.values()), list(columns))
 
-    return docs.select("doc_id", "text").mapInArrow(
-        score,
-        f"doc_id {kind}, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, kept boolean, ratio double",
-    )
+    return docs.select(*dict.fromkeys([*carry, "text"])).mapInArrow(score, schema)

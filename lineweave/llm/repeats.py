@@ -312,3 +312,27 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
 
     joined = rows.join(runs, "key", "left").select("doc_id", "text", "runs")
     return joined.mapInArrow(digest, f"doc_id {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")
+
+
+def cut_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
+    """``docs`` (doc_id, text, n_chars and other columns) with the covered bytes cut out of ``text``.
+
+    A null text stays null. Where a cut splits a character, what is left of it goes too. ``n_chars``
+    is counted anew where it was not null and the text changed. No row is dropped.
+    """
+    rows = keyed(docs)
+    runs, _ = removed_runs(rows.select("key", "text"), length)
+    names = docs.columns
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts, chars = batch.column("text").to_pylist(), batch.column("n_chars").to_pylist()
+            for i, found in enumerate(batch.column("runs").to_pylist()):
+                if found:
+                    raw = texts[i].encode()
+                    texts[i] = np.frombuffer(raw, np.uint8)[~covered_bytes(len(raw), found)].tobytes().decode("utf-8", "ignore")
+                    chars[i] = chars[i] if chars[i] is None else len(texts[i])
+            new = {"text": pa.array(texts, pa.string()), "n_chars": pa.array(chars, batch.schema.field("n_chars").type)}
+            yield pa.RecordBatch.from_arrays([new[c] if c in new else batch.column(c) for c in names], names)
+
+    return rows.join(runs, "key", "left").select(*docs.columns, "runs").mapInArrow(cut, docs.schema)
