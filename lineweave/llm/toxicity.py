@@ -19,9 +19,9 @@ BUCKETS = 1 << 20
 #: N-gram lengths in UTF-8 bytes.
 LENGTHS = (4, 5, 6)
 #: Most labelled documents the classifier is fitted on.
-TRAIN_DOCS = 20_000
+TRAIN_DOCS = 12_000
 #: Most features with a weight, the strongest log-count ratios first.
-FEATURES = 20_000
+FEATURES = 10_000
 #: Fewest documents an n-gram is seen in to be a feature, and least |ratio| / standard error.
 MIN_DOCS, MIN_Z = 3, 2.6
 _CHUNK = 1 << 17
@@ -99,48 +99,51 @@ def fit(docs: DataFrame, labels: DataFrame, train_docs: int = TRAIN_DOCS) -> Tox
         )
 
     sums = sample.mapInArrow(count, "bucket long, clean long, toxic long").groupBy("bucket").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic"))
-    sums = sums.where((F.col("bucket") < 0) | (F.col("clean") + F.col("toxic") >= MIN_DOCS)).toPandas()
-    total = sums[sums.bucket < 0]
-    n0, n1 = (int(total[c].sum()) for c in ("clean", "toxic"))
+    sums = sums.where((F.col("bucket") < 0) | (F.col("clean") + F.col("toxic") >= MIN_DOCS)).toArrow()
+    place, clean, toxic = (sums.column(c).to_numpy() for c in ("bucket", "clean", "toxic"))
+    n0, n1 = (int(x[place < 0].sum()) for x in (clean, toxic))
     base = n1 / (n0 + n1) if n0 + n1 else 0.0
     if not n0 or not n1:
         return Toxicity(np.zeros(BUCKETS, np.float32), float(np.log((base + 1e-6) / (1 - base + 1e-6))), base)
-    sums = sums[sums.bucket >= 0]
-    c0, c1 = sums.clean.to_numpy() + 0.5, sums.toxic.to_numpy() + 0.5
+    place, clean, toxic = (x[place >= 0] for x in (place, clean, toxic))
+    c0, c1 = clean + 0.5, toxic + 0.5
     ratio = np.log(c1 / (n1 + 1)) - np.log(c0 / (n0 + 1))
     z = np.abs(ratio) / np.sqrt(1 / c0 + 1 / c1)
     chosen = np.flatnonzero(z >= MIN_Z)
-    chosen = chosen[np.argsort(-z[chosen], kind="stable")[:FEATURES]]
+    chosen = chosen[np.lexsort((place[chosen], -z[chosen]))[:FEATURES]]
     scale = np.zeros(BUCKETS, np.float32)
-    scale[sums.bucket.to_numpy()[chosen]] = ratio[chosen]
+    scale[place[chosen]] = ratio[chosen]
     is_feature = scale != 0
 
     def extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts, out = texts_of(batch), []
             for first, last, doc, bucket in features(texts, is_feature):
-                out += np.split(bucket.astype(np.int32), np.searchsorted(doc, np.arange(1, last - first)))
-            yield pa.RecordBatch.from_arrays([batch.column("toxic"), pa.array(out, pa.list_(pa.int32()))], ["toxic", "found"])
-
-    got = sample.mapInArrow(extract, "toxic int, found array<int>").toPandas()  # at most train_docs rows of FEATURES numbers
-    order = sorted(range(len(got)), key=lambda i: (int(got.toxic[i]), len(got.found[i]), tuple(got.found[i][:50])))
-    y = got.toxic.to_numpy()[order].astype(float)
-    row = np.repeat(np.arange(len(order)), [len(got.found[i]) for i in order])
-    number = np.cumsum(is_feature) - 1
-    col = number[np.concatenate([got.found[i] for i in order]).astype(np.int64)] if len(row) else np.zeros(0, np.int64)
-    weight, bias = logistic(row, col, scale[is_feature].astype(float)[col], y, int(is_feature.sum()))
+                out += [x.tobytes() for x in np.split(number[bucket], np.searchsorted(doc, np.arange(1, last - first)))]
+            yield pa.RecordBatch.from_arrays([batch.column("toxic"), pa.array(out, pa.binary())], ["toxic", "found"])
+
+    number = (np.cumsum(is_feature) - 1).astype(np.int32)
+    got = sample.mapInArrow(extract, "toxic int, found binary").toArrow()  # at most train_docs rows of FEATURES numbers
+    rows = sorted(zip(got.column("toxic").to_pylist(), got.column("found").to_pylist(), strict=True))  # the same order on every run
+    size = np.array([len(f) // 4 for _, f in rows])
+    col = np.frombuffer(b"".join(f for _, f in rows), np.int32).astype(np.int64)
+    weight, bias = logistic(size, col, scale[is_feature].astype(float), np.array([t for t, _ in rows], float))
     effect = np.zeros(BUCKETS, np.float32)
     effect[is_feature] = scale[is_feature] * weight
     return Toxicity(effect, bias, base)
 
 
-def logistic(row: np.ndarray, col: np.ndarray, value: np.ndarray, y: np.ndarray, n: int, penalty: float = 1e-5, rounds: int = 600) -> tuple[np.ndarray, float]:
-    """L2-penalised logistic regression on sparse rows, by accelerated gradient steps."""
-    m = len(y)
+def logistic(size: np.ndarray, col: np.ndarray, scale: np.ndarray, y: np.ndarray, penalty: float = 1e-5, rounds: int = 600) -> tuple[np.ndarray, float]:
+    """L2-penalised logistic regression by accelerated gradient steps. Row i has the next ``size[i]``
+    features of ``col``; feature j has the value ``scale[j]`` wherever it is."""
+    m, n = len(y), len(scale)
+    row = np.repeat(np.arange(m), size)
+    forward = lambda x: np.bincount(row, (scale * x)[col], m)
+    back = lambda r: scale * np.bincount(col, r[row], n)
     v = np.ones(n)
     top = 1.0
     for _ in range(15):
-        v = np.bincount(col, (np.bincount(row, value * v[col], m))[row] * value, n)
+        v = back(forward(v))
         top = max(np.linalg.norm(v), 1e-12)
         v /= top
     step = 1 / (0.25 * (top + m) / m + penalty)
@@ -148,9 +151,8 @@ def logistic(row: np.ndarray, col: np.ndarray, value: np.ndarray, y: np.ndarray,
     b = c = 0.0
     t = 1.0
     for _ in range(rounds):
-        p = 1 / (1 + np.exp(-(np.bincount(row, value * u[col], m) + c)))
-        g = (p - y) / m
-        w2 = u - step * (np.bincount(col, g[row] * value, n) + penalty * u)
+        g = (1 / (1 + np.exp(-(forward(u) + c))) - y) / m
+        w2 = u - step * (back(g) + penalty * u)
         b2 = c - step * g.sum()
         t2 = (1 + (1 + 4 * t * t) ** 0.5) / 2
         u, c = w2 + (t - 1) / t2 * (w2 - w), b2 + (t - 1) / t2 * (b2 - b)
