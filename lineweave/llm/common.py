@@ -84,6 +84,10 @@ class Scratch:
         if self in Scratch._live:
             Scratch._live.remove(self)
 
+    @classmethod
+    def live(cls) -> list["Scratch"]:
+        return list(cls._live)
+
     @classmethod
     def release_all(cls) -> None:
         for scratch in list(cls._live):

@@ -17,6 +17,8 @@ WORDS, SIMILARITY = 5, 0.8
 #: Bands and registers of each. A pair of probability Jaccard 0.8 misses all bands with
 #: probability (1 - 0.8**5)**28 = 1.5e-5, one of 0.9 with 1e-11.
 BANDS, ROWS = 28, 5
+#: Texts of a block where all pairs are compared; a task holds two blocks.
+BLOCK = 1024
 _CHUNK = 1 << 18
 _GOLDEN = np.uint64(0x9E3779B97F4A7C15)
 
@@ -143,19 +145,113 @@ def _verified(pairs: DataFrame, texts: DataFrame, words: int, least: float) -> D
     return with_b.select("a", "b", "ta", "tb").mapInArrow(check, "a long, b long")
 
 
+def joining_links(ids: np.ndarray, roots: np.ndarray, own: np.ndarray, texts: list[bytes], words: int, least: float, across: bool) -> list[tuple[int, int]]:
+    """Links between texts of different roots that are enough to join all such roots.
+
+    Texts most of whose shingles no other text here has cannot be similar enough to any, and are
+    left out first. For the others, common shingles are counted through postings; pairs that could
+    reach ``least`` are computed exactly. ``across``: only pairs of different ``own`` blocks.
+    """
+    doc, h, count = [], [], []
+    for first, some in _in_chunks(texts):
+        d, e, n = shingles(some, words)
+        doc.append(d + first), h.append(e), count.append(n)
+    doc, h, count = np.concatenate(doc), np.concatenate(h), np.concatenate(count)
+    n = len(texts)
+    _, term, df = np.unique(h, return_inverse=True, return_counts=True)
+    size, weight = np.bincount(doc, minlength=n), np.bincount(doc, count, n)
+    shared = df[term] > 1
+    can = (np.bincount(doc[shared], minlength=n) >= least * size) | (np.bincount(doc[shared], count[shared], n) >= least * weight)
+    can &= size > 0
+    repeats = np.bincount(doc, count > 1, n) > 0
+    if len(np.unique(roots[can])) < 2:
+        return []
+    keep = shared & can[doc]
+    by_term = np.argsort(term[keep], kind="stable")
+    posting, post_term = doc[keep][by_term], term[keep][by_term]
+    low, high = (np.searchsorted(post_term, np.arange(len(df)), side=x) for x in ("left", "right"))
+    begin = np.searchsorted(doc, np.arange(n + 1))
+    parent = {int(r): int(r) for r in roots}
+
+    def find(x: int) -> int:
+        while parent[x] != x:
+            parent[x] = parent[parent[x]]
+            x = parent[x]
+        return x
+
+    main = np.bincount(np.unique(roots[can], return_inverse=True)[1]).argmax()
+    main = np.unique(roots[can])[main]
+    out = []
+    for u in np.flatnonzero(can & (roots != main)).tolist():  # every pair of two roots has one of these
+        at = slice(begin[u], begin[u + 1])
+        mine = np.flatnonzero(keep[at])
+        terms = term[at][mine]
+        if not len(terms):
+            continue
+        met = np.concatenate([posting[low[t] : high[t]] for t in terms.tolist()])
+        common = np.bincount(met, minlength=n)
+        hopeful = common >= least * (size[u] + size - common)
+        if repeats[u] or repeats.any():
+            share = np.bincount(met, np.repeat(count[at][mine], high[terms] - low[terms]), n) >= least * weight[u]
+            hopeful |= share & (repeats | repeats[u])
+        hopeful[u] = False
+        if across:
+            hopeful &= own != own[u]
+        for v in np.flatnonzero(hopeful).tolist():
+            ru, rv = find(int(roots[u])), find(int(roots[v]))
+            if ru == rv:
+                continue
+            a, b = slice(begin[u], begin[u + 1]), slice(begin[v], begin[v + 1])
+            if similarity((h[a], count[a]), (h[b], count[b])) >= least:
+                parent[ru] = rv
+                out.append((int(ids[u]), int(ids[v])))
+    return out
+
+
+def _block_joiner(words: int, least: float):
+    """Runs joining_links on each (cluster, i, j) of sorted rows."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        group: list[tuple] = []
+        key = None
+
+        def finish() -> pa.RecordBatch:
+            columns = list(zip(*group, strict=True))
+            ids, roots, own = (np.array(c, np.int64) for c in columns[:3])
+            found = joining_links(ids, roots, own, list(columns[3]), words, least, key[1] != key[2])
+            return pa.RecordBatch.from_arrays([pa.array([f[k] for f in found], pa.int64()) for k in (0, 1)], ["a", "b"])
+
+        for batch in batches:
+            keys = zip(*(batch.column(c).to_pylist() for c in ("cluster", "i", "j")), strict=True)
+            rows = zip(*(batch.column(c).to_pylist() for c in ("id", "root", "own")), _bytes(batch.column("text")), strict=True)
+            for k, row in zip(keys, rows, strict=True):
+                if k != key and group:
+                    yield finish()
+                    group.clear()
+                key = k
+                group.append(row)
+        if group:
+            yield finish()
+
+    return run
+
+
 def near_duplicates(docs: DataFrame, words: int = WORDS, least: float = SIMILARITY, n_bands: int = BANDS, rows: int = ROWS) -> tuple[DataFrame, Scratch]:
-    """(doc_id, class_id) of each row of ``docs`` (doc_id, text), and the scratch it reads.
+    """(doc_id, class_id, id, first) of each row of ``docs`` (doc_id, text), and the scratch it reads.
 
     A class is a connected component of texts linked by a similarity of ``least`` or more;
     ``class_id`` is its least doc_id. Equal texts are one node of the graph from the start, named
-    by a 64-bit hash, so copies are never compared with each other.
+    by a 64-bit hash (``id``), so copies are never compared with each other. ``first`` marks the row
+    that stands for its class, the one with the least doc_id (of several, the least ``id``; rows
+    equal in both are all marked).
 
-    Candidates share a band. A bucket of any size is searched in two passes. First each member
-    meets two members of the bucket, those first and last by a hash, which are mostly the same ones
-    in all buckets of a group of copies. The links found join the texts into components. Then the
-    members outside their bucket's largest component meet all members of other components. So a
-    large group of copies costs a few pairs for each text, yet no pair that shares a band and could
-    join two components goes unseen.
+    Candidates share a band. First each member of a bucket of any size meets two others, those first
+    and last by a hash, which are mostly the same ones in all buckets of a group of copies. The links
+    found join texts into components. Then, where texts that hang together by shared bands are still
+    of several components, all pairs of different components are compared exactly, in blocks of
+    ``BLOCK`` texts: a task gets two blocks, counts common shingles by postings and returns only
+    links that join components, fewer than it has texts. So no pair that shares a band goes unseen,
+    and pairs are never rows.
 
     A null text counts as empty; empty texts are equal. A text of fewer words than a shingle is
     one shingle. Rows with a null doc_id take part, and a class of such rows alone has a null
@@ -199,20 +295,24 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, least: float = SIMILARI
     links = scratch.table(_verified(pairs, texts, words, least), "links")
     roots = components(links, scratch)
 
-    placed = shared.select("bucket", "id").join(roots.select(F.col("node").alias("id"), "root"), "id", "left")
-    placed = scratch.table(placed.select("bucket", "id", F.coalesce("root", "id").alias("root")), "placed")
-    shares = placed.groupBy("bucket", "root").agg(F.count("*").alias("n"))
-    mains = shares.groupBy("bucket").agg(F.max(F.struct("n", "root")).alias("main"), F.count("*").alias("kinds")).where("kinds > 1")
-    mixed = placed.join(mains.select("bucket", F.col("main.root").alias("main")), "bucket")
-    outside = mixed.where("root <> main").select("bucket", F.col("id").alias("a"), F.col("root").alias("ra"))
-    others = mixed.select("bucket", F.col("id").alias("b"), F.col("root").alias("rb"))
-    more = outside.join(others, "bucket").where("ra <> rb").select(ordered(F.col("a"), F.col("b")).alias("p"))
-    more = more.select(F.col("p")[0].alias("a"), F.col("p")[1].alias("b")).distinct().join(pairs, ["a", "b"], "left_anti")
-    more = scratch.table(_verified(more, texts, words, least), "more")
+    # texts that hang together by shared bands, proven similar or not
+    coarse = components(pairs, scratch)
+    name = lambda df, c: df.select(F.col("node").alias("id"), F.col("root").alias(c))
+    state = wanted.join(name(coarse, "cluster"), "id", "left").join(name(roots, "root"), "id", "left")
+    state = scratch.table(state.select("id", F.coalesce("cluster", "id").alias("cluster"), F.coalesce("root", "id").alias("root")), "state")
+    sizes = state.groupBy("cluster", "root").agg(F.count("*").alias("n")).groupBy("cluster").agg(F.sum("n").alias("n"), F.count("*").alias("kinds"))
+    sizes = scratch.table(sizes.where("kinds > 1 AND n > 2").select("cluster", F.ceil(F.col("n") / BLOCK).alias("blocks")), "sizes")
+    own = F.pmod(F.xxhash64("id", F.lit(5)), F.col("blocks"))
+    work = state.join(sizes, "cluster").withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    work = work.select("cluster", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "id", "root")
+    work = work.join(texts, "id").repartition("cluster", "i", "j").sortWithinPartitions("cluster", "i", "j", "id")
+    more = scratch.table(work.mapInArrow(_block_joiner(words, least), "a long, b long"), "more")
     if not more.isEmpty():
         roots = components(links.union(more), scratch)
 
     rooted = nodes.select("doc_id", "id").join(roots.select(F.col("node").alias("id"), "root"), "id", "left")
-    rooted = rooted.select("doc_id", F.coalesce("root", "id").alias("root"))
-    least_id = rooted.groupBy("root").agg(F.min("doc_id").alias("class_id"))
-    return rooted.join(least_id, "root").select("doc_id", F.col("class_id").cast(kind).alias("class_id")), scratch
+    rooted = rooted.select("doc_id", "id", F.coalesce("root", "id").alias("root"))
+    head = F.min(F.struct(F.col("doc_id").isNull().alias("nameless"), "doc_id", "id")).alias("head")
+    heads = rooted.groupBy("root").agg(head)
+    mine = (F.col("id") == F.col("head.id")) & F.col("doc_id").eqNullSafe(F.col("head.doc_id"))
+    return rooted.join(heads, "root").select("doc_id", F.col("head.doc_id").cast(kind).alias("class_id"), "id", mine.alias("first")), scratch

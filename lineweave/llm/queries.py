@@ -26,7 +26,7 @@ def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op3_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     from lineweave.llm.near_duplicates import near_duplicates
 
-    return near_duplicates(read_table(spark, sf_dir, "documents"), words=5, least=0.8)[0]
+    return near_duplicates(read_table(spark, sf_dir, "documents"), words=5, least=0.8)[0].select("doc_id", "class_id")
 
 
 def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
