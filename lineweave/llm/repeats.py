@@ -201,6 +201,8 @@ def removed_runs(docs: DataFrame, length: int = LENGTH, k: int = K) -> tuple[Dat
             yield pa.RecordBatch.from_arrays([pa.array(values[i : i + 100_000]), pa.array(n[i : i + 100_000])], ["anchor", "n"])
 
     counts = docs.select("text").mapInArrow(count, "anchor long, n long").groupBy("anchor").agg(F.sum("n").alias("n")).where("n > 1").select("anchor")
+    # written, so that both sides of the join are exchanges, whose hot partitions Spark can split
+    counts = scratch.table(counts, "anchors")
     blocks = docs.select("key", "text").mapInArrow(emit, "anchor long, block long, key long")
     shared = scratch.table(blocks.join(counts, "anchor"), "shared")
     # equal blocks: the same anchor hash and 32 bits of the block's own hash; (key, nth) is the block's place
@@ -320,19 +322,21 @@ def cut_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     A null text stays null. Where a cut splits a character, what is left of it goes too. ``n_chars``
     is counted anew where it was not null and the text changed. No row is dropped.
     """
-    rows = keyed(docs)
-    runs, _ = removed_runs(rows.select("key", "text"), length)
+    row = docs.select(F.struct(*docs.columns).alias("row"))
+    rows = row.withColumn("key", F.xxhash64("row.doc_id", F.coalesce("row.text", F.lit(""))))
+    runs, _ = removed_runs(rows.select("key", F.col("row.text").alias("text")), length)
     names = docs.columns
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts, chars = batch.column("text").to_pylist(), batch.column("n_chars").to_pylist()
+            columns = dict(zip(names, batch.column("row").flatten(), strict=True))
+            texts, chars = columns["text"].to_pylist(), columns["n_chars"].to_pylist()
             for i, found in enumerate(batch.column("runs").to_pylist()):
                 if found:
                     raw = texts[i].encode()
                     texts[i] = np.frombuffer(raw, np.uint8)[~covered_bytes(len(raw), found)].tobytes().decode("utf-8", "ignore")
                     chars[i] = chars[i] if chars[i] is None else len(texts[i])
-            new = {"text": pa.array(texts, pa.string()), "n_chars": pa.array(chars, batch.schema.field("n_chars").type)}
-            yield pa.RecordBatch.from_arrays([new[c] if c in new else batch.column(c) for c in names], names)
+            columns |= {"text": pa.array(texts, pa.string()), "n_chars": pa.array(chars, columns["n_chars"].type)}
+            yield pa.RecordBatch.from_arrays(list(columns.values()), names)
 
-    return rows.join(runs, "key", "left").select(*docs.columns, "runs").mapInArrow(cut, docs.schema)
+    return rows.join(runs, "key", "left").select("row", "runs").mapInArrow(cut, docs.schema)
