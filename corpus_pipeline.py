@@ -6,8 +6,7 @@ stage deletes the scratch tables of the stages before it, as their results are w
 
 * quality_rules drops what the fixed rules or the n-gram ratio reject. Documents without text go;
   the trusted texts are the documents of ``docs`` that ``labels`` marks with quality 1.
-* near_duplicates keeps one document of each class, the one with the least doc_id. Rows with a null
-  doc_id are kept, one of each equal text. Of rows that share a doc_id one stays.
+* near_duplicates keeps one document of each class, the one with the least doc_id (nulls last).
 * repeated_passages cuts every byte of a 200-byte string that starts elsewhere too, and what is left
   of a character that a cut splits; n_chars is counted anew where it was known. No row goes.
 * decontamination drops documents that contain a benchmark item.
@@ -16,10 +15,12 @@ stage deletes the scratch tables of the stages before it, as their results are w
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lineweave.llm.common import Scratch, read_table, shared_dir
+from lineweave.llm.common import Scratch, read_table
 from lineweave.llm.decontaminate import clean
 from lineweave.llm.near_duplicates import near_duplicates
 from lineweave.llm.packing import pack
@@ -34,41 +35,54 @@ def _only(docs: DataFrame) -> DataFrame:
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    Scratch.release_all()
     return quality(docs, read_table(spark, sf_dir, "labels"), carry=COLUMNS).where("kept").select(*COLUMNS)
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    Scratch.release_all()
-    docs = _only(docs)
-    classes, _ = near_duplicates(docs)
-    kept = classes.where("doc_id = class_id").select("doc_id").distinct()
-    named = docs.join(kept, "doc_id").select(*COLUMNS).dropDuplicates(["doc_id"])
-    nameless = docs.where("doc_id IS NULL").dropDuplicates(["text"])
-    return named.unionByName(nameless)
+    docs = _only(docs).withColumn("id", F.xxhash64(F.coalesce("text", F.lit(""))))
+    classes, _ = near_duplicates(docs.select("doc_id", "text"))
+    first = classes.where("first").select("doc_id", "id")
+    same = (docs["id"] == first["id"]) & docs["doc_id"].eqNullSafe(first["doc_id"])
+    return docs.join(first, same, "left_semi").dropDuplicates(["doc_id", "id"]).select(*COLUMNS)
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    Scratch.release_all()
     return cut_repeats(_only(docs), length=200).select(*COLUMNS)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    Scratch.release_all()
     return clean(_only(docs), read_table(spark, sf_dir, "benchmark"))
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    Scratch.release_all()
     return pack(docs, "byte_bpe_50k.json", end_id=1, window=2048)
 
 
+_spent: list[Scratch] = []
+
+
+def _stage(f: Callable, first: bool) -> Callable:
+    """Frees the scratch tables of the run's earlier stages, whose results are written by then."""
+
+    def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        while _spent:
+            scratch = _spent.pop()
+            if not first:
+                scratch.release()
+        before = {id(s) for s in Scratch.live()}
+        result = f(spark, docs, sf_dir)
+        _spent.extend(s for s in Scratch.live() if id(s) not in before)
+        return result
+
+    return run_stage
+
+
 STAGES = [
-    ("quality_rules", quality_rules),
-    ("near_duplicates", near_duplicate_stage),
-    ("repeated_passages", repeated_passages),
-    ("decontamination", decontamination),
-    ("packing", packing),
+    ("quality_rules", _stage(quality_rules, True)),
+    ("near_duplicates", _stage(near_duplicate_stage, False)),
+    ("repeated_passages", _stage(repeated_passages, False)),
+    ("decontamination", _stage(decontamination, False)),
+    ("packing", _stage(packing, False)),
 ]
 
 #: No stage but the base rules can be said in SQL; the tests hold each against a brute-force version.
@@ -78,11 +92,7 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over ``documents``, each written below spark.checkpoint.dir and read again."""
     docs = read_table(spark, sf_dir, "documents")
-    base = f"{shared_dir(spark).rstrip('/')}/lineweave-pipeline-{spark.sparkContext.applicationId}-{id(docs)}"
-    for k, (name, stage) in enumerate(STAGES):
-        result = stage(spark, docs, sf_dir)
-        if k == len(STAGES) - 1:
-            return result
-        result.write.mode("overwrite").parquet(f"{base}/{k}-{name}")
-        docs = spark.read.parquet(f"{base}/{k}-{name}")
-    return docs
+    written = Scratch(spark, "pipeline")
+    for name, stage in STAGES[:-1]:
+        docs = written.table(stage(spark, docs, sf_dir), name)
+    return STAGES[-1][1](spark, docs, sf_dir)
