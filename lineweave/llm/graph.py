@@ -10,7 +10,7 @@ from lineweave.llm.common import Scratch
 
 def components(edges: DataFrame, scratch: Scratch) -> DataFrame:
     """(node, root) of every node of ``edges`` (a, b: long) but the roots; the root of a component is
-    its least node. Each step is an aggregate and a join on the nodes, and is written to the
+    its least node. Each round is two aggregates and two joins on the nodes, and is written to the
     scratch; only a count and a checksum come to the driver. Self loops are ignored."""
     e = edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct()
     e = scratch.table(e, "edges")
@@ -23,7 +23,7 @@ def components(edges: DataFrame, scratch: Scratch) -> DataFrame:
         both = e.union(e.select("v", "u"))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
         large = both.join(least, "u").where("v > u AND v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        large = scratch.table(large.distinct(), "large")
+        large = large.distinct()
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         e = scratch.table(small.union(least).distinct(), "small")

@@ -308,7 +308,7 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, least: float = SIMILARI
     work = work.join(texts, "id").repartition("cluster", "i", "j").sortWithinPartitions("cluster", "i", "j", "id")
     more = scratch.table(work.mapInArrow(_block_joiner(words, least), "a long, b long"), "more")
     if not more.isEmpty():
-        roots = components(links.union(more), scratch)
+        roots = components(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).union(more), scratch)
 
     rooted = nodes.select("doc_id", "id").join(roots.select(F.col("node").alias("id"), "root"), "id", "left")
     rooted = rooted.select("doc_id", "id", F.coalesce("root", "id").alias("root"))
