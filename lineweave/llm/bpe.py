@@ -22,7 +22,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 #: Entries of each memo; beyond it the older half goes. It bounds memory, not results.
-MEMO = 200_000
+MEMO = 300_000
 #: White space that could join a run of blanks; a text with any of it goes to the library whole.
 ODD_PATTERN = "[\x0b\x0c\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]"
 LETTERS = "a-zA-ZÀ-ÖØ-öø-ÿ"
