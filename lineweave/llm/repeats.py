@@ -20,6 +20,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -169,14 +170,21 @@ def _runs(covered: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
 
 
-#: What is known of a block: it is repeated whole; its windows are to be compared; both (others compare with it).
-COVERED, COMPARE = 1, 2
+#: What is known of a block: it is repeated whole; its windows are to be compared; both (others
+#: compare with it); and that its anchor is too frequent for its blocks to meet in one task.
+COVERED, COMPARE, FREQUENT = 1, 2, 4
+#: Most different blocks of one anchor that meet in one task.
+TOGETHER = 20_000
 
 
-def removed_runs(docs: DataFrame, length: int = LENGTH, k: int = K) -> tuple[DataFrame, Scratch]:
+def removed_runs(docs: DataFrame, length: int = LENGTH, k: int = K, together: int = TOGETHER) -> tuple[DataFrame, Scratch]:
     """(key, runs) of the texts of ``docs`` (key long, text) that have covered bytes: ``runs`` holds
     the first and the last byte + 1 of each stretch, not merged where blocks adjoin. ``key`` must
-    name a text: rows of one key have one text. The scratch holds what the result reads."""
+    name a text: rows of one key have one text. The scratch holds what the result reads.
+
+    Blocks of an anchor with more than ``together`` different ones never meet. Each of their windows
+    becomes a pair of 64-bit hashes; these are counted by an aggregate that combines before the
+    exchange, and joined back on both, where hot ones can be split."""
     spark = docs.sparkSession
     small_batches(spark)
     scratch = Scratch(spark, "repeats")
@@ -209,35 +217,42 @@ def removed_runs(docs: DataFrame, length: int = LENGTH, k: int = K) -> tuple[Dat
     shared = shared.select("anchor", F.shiftright("block", 32).alias("whole"), (F.col("block").bitwiseAND(F.lit(0xFFFFFFFF))).alias("nth"), "key")
     equal = shared.groupBy("anchor", "whole").agg(F.count("*").alias("n"), F.min(F.struct("key", "nth")).alias("head"))
     equal = scratch.table(equal, "equal")
-    kinds = equal.groupBy("anchor").agg(F.count("*").alias("kinds")).where("kinds > 1")
+    kinds = scratch.table(equal.groupBy("anchor").agg(F.count("*").alias("kinds")).where("kinds > 1"), "kinds")
     equal = equal.join(kinds, "anchor", "left")
     # the rest of the work of a block: cover it; compare it (all blocks that are alone, one of each equal class)
-    state = F.when(F.col("n") > 1, COVERED).otherwise(0) + F.when(F.col("kinds").isNotNull() & (F.struct("key", "nth") == F.col("head")), COMPARE).otherwise(0)
-    todo = shared.join(equal, ["anchor", "whole"]).select("key", (F.col("nth") * 4 + state).alias("todo")).where("todo % 4 > 0")
+    heads = F.col("kinds").isNotNull() & (F.struct("key", "nth") == F.col("head"))
+    state = F.when(F.col("n") > 1, COVERED).otherwise(0) + F.when(heads, COMPARE).otherwise(0)
+    state = state + F.when(F.col("kinds") > together, FREQUENT).otherwise(0)
+    todo = shared.join(equal, ["anchor", "whole"]).select("key", (F.col("nth") * 8 + state).alias("todo")).where(f"todo % {FREQUENT} > 0")
     per_text = todo.groupBy("key").agg(F.collect_list("todo").alias("todo"))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Covered stretches by hash, and the blocks to compare."""
         for batch in batches:
             texts, keys, todo = _encoded(batch), batch.column("key").to_numpy(), batch.column("todo").to_pylist()
-            out_key, out_at, out_end, out_anchor, out_bytes = [], [], [], [], []
+            out: list[tuple] = []
             for first, some in in_chunks(texts):
                 doc, at, count_, value, _ = anchors(some, length, k)
                 begin = np.searchsorted(doc, np.arange(len(some)))
                 for j in range(len(some)):
                     for code in set(todo[first + j]):
-                        b = begin[j] + code // 4
-                        p, e = int(at[b]), int(at[b] + count_[b] + length - 1)
-                        if code % 4 & COVERED:
-                            out_key.append(keys[first + j]), out_at.append(p), out_end.append(e), out_anchor.append(None), out_bytes.append(None)
-                        if code % 4 & COMPARE:
-                            out_key.append(keys[first + j]), out_at.append(p), out_end.append(e), out_anchor.append(int(value[b].view(np.int64))), out_bytes.append(some[j][p:e])
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(out_key, pa.int64()), pa.array(out_at, pa.int64()), pa.array(out_end, pa.int64()), pa.array(out_anchor, pa.int64()), pa.array(out_bytes, pa.binary())],
-                ["key", "at", "end", "anchor", "bytes"],
-            )
-
-    work = docs.select("key", "text").join(per_text, "key").mapInArrow(cut, "key long, at long, end long, anchor long, bytes binary")
+                        b = begin[j] + code // 8
+                        p, e, key = int(at[b]), int(at[b] + count_[b] + length - 1), int(keys[first + j])
+                        if code & COVERED:
+                            out.append((key, p, e, None, None, None))
+                        if code & COMPARE and not code & FREQUENT:
+                            out.append((key, p, e, int(value[b].view(np.int64)), None, some[j][p:e]))
+                        elif code & COMPARE:
+                            block = some[j][p:e]
+                            starts = np.arange(int(count_[b]))
+                            for w, h in enumerate(Bytes(block).hashes(starts, starts + length).view(np.int64).tolist()):
+                                second = xxhash.xxh3_64_intdigest(block[w : w + length]) - (1 << 63)
+                                out.append((key, p + w, p + w + length, h, second, None))
+            columns = list(zip(*out, strict=True)) or [()] * 6
+            kinds_ = [pa.int64()] * 5 + [pa.binary()]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds_, strict=True)], ["key", "at", "end", "anchor", "second", "bytes"])
+
+    work = docs.select("key", "text").join(per_text, "key").mapInArrow(cut, "key long, at long, end long, anchor long, second long, bytes binary")
     work = scratch.table(work, "work")
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -261,9 +276,12 @@ def removed_runs(docs: DataFrame, length: int = LENGTH, k: int = K) -> tuple[Dat
         if waiting:
             yield finish(waiting)
 
-    edges = work.where("anchor IS NOT NULL").select("anchor", "key", "at", "bytes").repartition("anchor").sortWithinPartitions("anchor")
+    edges = work.where("bytes IS NOT NULL").select("anchor", "key", "at", "bytes").repartition("anchor").sortWithinPartitions("anchor")
     edges = edges.mapInArrow(compare, "key long, at long, end long")
-    runs = work.where("anchor IS NULL").select("key", "at", "end").unionByName(edges)
+    windows = work.where("second IS NOT NULL").select("anchor", "second", "key", "at", "end")
+    twice = windows.groupBy("anchor", "second").agg(F.count("*").alias("n")).where("n > 1").select("anchor", "second")
+    windows = windows.join(scratch.table(twice, "twice"), ["anchor", "second"]).select("key", "at", "end")
+    runs = work.where("anchor IS NULL").select("key", "at", "end").unionByName(edges).unionByName(windows)
     runs = runs.groupBy("key").agg(F.array_sort(F.collect_list(F.struct("at", "end"))).alias("runs"))
     return runs, scratch
 
@@ -280,7 +298,7 @@ def keyed(docs: DataFrame) -> DataFrame:
     return docs.withColumn("key", F.xxhash64(F.col("doc_id"), F.coalesce("text", F.lit(""))))
 
 
-def remove_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
+def remove_repeats(docs: DataFrame, length: int = LENGTH, together: int = TOGETHER) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 and ``kept`` (the bytes that stay) of each
     row of ``docs`` (doc_id, text).
 
@@ -289,7 +307,7 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     text count, also where they overlap.
     """
     rows = keyed(docs.select("doc_id", "text"))
-    runs, _ = removed_runs(rows.select("key", "text"), length)
+    runs, _ = removed_runs(rows.select("key", "text"), length, together=together)
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
