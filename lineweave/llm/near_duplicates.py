@@ -286,7 +286,7 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, least: float = SIMILARI
     pairs = shared.select(F.explode(F.array(ordered(F.col("id"), F.col("first")), ordered(F.col("id"), F.col("last")))).alias("p"))
     pairs = pairs.select(F.col("p")[0].alias("a"), F.col("p")[1].alias("b")).where("a <> b").distinct()
     # one text of each node that is in a bucket with others
-    wanted = shared.select("id").distinct()
+    wanted = scratch.table(shared.select("id").distinct(), "wanted")
     picked = nodes.select("id", "doc_id").join(wanted, "id").groupBy("id").agg(F.min("doc_id").alias("doc_id"))
     same = (F.col("n.id") == F.col("p.id")) & F.col("n.doc_id").eqNullSafe(F.col("p.doc_id"))
     texts = nodes.alias("n").join(picked.alias("p"), same)
@@ -313,6 +313,7 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, least: float = SIMILARI
     rooted = nodes.select("doc_id", "id").join(roots.select(F.col("node").alias("id"), "root"), "id", "left")
     rooted = rooted.select("doc_id", "id", F.coalesce("root", "id").alias("root"))
     head = F.min(F.struct(F.col("doc_id").isNull().alias("nameless"), "doc_id", "id")).alias("head")
-    heads = rooted.groupBy("root").agg(head)
+    # written, as are others above, so that both sides of the join are exchanges that Spark can split
+    heads = scratch.table(rooted.groupBy("root").agg(head), "heads")
     mine = (F.col("id") == F.col("head.id")) & F.col("doc_id").eqNullSafe(F.col("head.doc_id"))
     return rooted.join(heads, "root").select("doc_id", F.col("head.doc_id").cast(kind).alias("class_id"), "id", mine.alias("first")), scratch
