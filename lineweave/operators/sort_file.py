@@ -4,21 +4,41 @@ from __future__ import annotations
 
 import os
 
-from pyspark.sql import DataFrame, SparkSession
+from py4j.protocol import Py4JJavaError
+from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import functions as F
 
 from lineweave.functions.grammar import DEFAULT_MAX_LINE, parse
-from lineweave.operators.malformed import check
+from lineweave.operators.malformed import MalformedLine, check
 from lineweave.operators.order import sort_lines
 from lineweave.sources.lines import edges, input_lines
 from lineweave.sources.sink import publish, write_parts
 
 
-def sorted_lines(spark: SparkSession, path: str, max_line: int = DEFAULT_MAX_LINE) -> DataFrame:
-    """The file's lines in order (``line``); raises MalformedLine before anything is sorted.
+class _Sorted:
+    """A file's sorted lines, whose malformed ones are counted while they are sorted."""
+
+    def __init__(self, spark: SparkSession, path: str, max_line: int):
+        self.path, self.max_line, self.spark = path, max_line, spark
+        self.parsed = parse(input_lines(spark, path))
+        self.seen = Observation()
+        bad = (F.octet_length("line") > max_line) | F.col("number").isNull()
+        watched = self.parsed.observe(self.seen, F.count(F.when(bad, 1)).alias("bad"))
+        self.lines = sort_lines(watched.select("line", "number", "string_part"))
+
+    def accept(self) -> None:
+        """After the lines were written: raises MalformedLine for the first bad one, if any."""
+        try:
+            bad = self.seen.get["bad"]
+        except (Py4JJavaError, KeyError):  # a plan that turned out empty has no metrics; then look
+            bad = True
+        if bad:
+            check(self.parsed, self.max_line, edges(self.spark, self.path).bom)
 
-    Validation is a scan of its own with a map-side aggregate, so the sort starts only on clean
-    input. The exchange carries the parsed key beside the line, so nothing is parsed twice.
-    """
+
+def sorted_lines(spark: SparkSession, path: str, max_line: int = DEFAULT_MAX_LINE) -> DataFrame:
+    """The file's lines in order (``line``); raises MalformedLine before anything is sorted. The
+    exchange carries the parsed key beside the line, so nothing is parsed after it."""
     parsed = parse(input_lines(spark, path))
     check(parsed, max_line, edges(spark, path).bom)
     return sort_lines(parsed.select("line", "number", "string_part"))
@@ -26,11 +46,21 @@ def sorted_lines(spark: SparkSession, path: str, max_line: int = DEFAULT_MAX_LIN
 
 def sort_file(spark: SparkSession, source: str, destination: str, temp: str | None = None, max_line: int = DEFAULT_MAX_LINE) -> int:
     """Sorts a file into one local file, published at once; returns its bytes. Empty input gives an
-    empty file. A malformed line leaves an existing result as it was."""
+    empty file. Lines are validated on their way into the sort, which costs no pass of its own; a
+    malformed one stops the publication, so an existing result stays as it was."""
     temp = temp or os.path.dirname(os.path.abspath(destination))
-    return publish(sorted_lines(spark, source, max_line), destination, temp)
+    work = _Sorted(spark, source, max_line)
+    return publish(work.lines, destination, temp, accept=work.accept)
 
 
 def sort_to_parts(spark: SparkSession, source: str, folder: str, max_line: int = DEFAULT_MAX_LINE) -> None:
-    """Sorts into ordered part files of a folder: the form for inputs that no single disk holds."""
-    write_parts(sorted_lines(spark, source, max_line), folder)
+    """Sorts into ordered part files of a folder: the form for inputs that no single disk holds. The
+    folder is removed again if a line is malformed."""
+    work = _Sorted(spark, source, max_line)
+    write_parts(work.lines, folder)
+    try:
+        work.accept()
+    except MalformedLine:
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+        raise

@@ -6,7 +6,7 @@ import contextlib
 import os
 import secrets
 import shutil
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from pathlib import Path
 
 from pyspark.sql import DataFrame
@@ -52,17 +52,19 @@ def write_parts(df: DataFrame, folder: str, line: str = "line") -> None:
     df.select(F.col(line).cast("string").alias("value")).write.option("lineSep", "\n").option("compression", "none").text(folder)
 
 
-def publish(df: DataFrame, destination: str, temp: str, line: str = "line") -> int:
+def publish(df: DataFrame, destination: str, temp: str, line: str = "line", accept: Callable[[], None] | None = None) -> int:
     """Writes an ordered DataFrame's lines to one local file; returns its bytes.
 
     Tasks write ordered part files; the driver appends them in order to a staging file, checks the
-    size, and renames it. An existing result stays untouched until then, and a link is replaced, not
+    size, and renames it. ``accept`` runs once the parts are written and may still raise. An existing result stays untouched until then, and a link is replaced, not
     followed. Where one file is not wanted, ``write_parts`` is the distributed end of the sort.
     """
     os.makedirs(temp, exist_ok=True)
     with work_folder(temp) as folder, staging(destination) as partial:
         parts = os.path.join(folder, "parts")
         write_parts(df, Path(parts).absolute().as_uri(), line)
+        if accept is not None:
+            accept()
         names = sorted(n for n in os.listdir(parts) if n.startswith("part-"))
         total = 0
         with open(partial, "wb") as out:

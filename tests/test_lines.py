@@ -7,7 +7,7 @@ from tests.naive import sort as naive_sort
 from lineweave.functions.grammar import parse
 from lineweave.functions.hashing import fnv1a64_batch
 from lineweave.operators.malformed import MalformedLine
-from lineweave.operators.sort_file import sort_file
+from lineweave.operators.sort_file import sort_file, sort_to_parts, sorted_lines
 from lineweave.operators.verify import verify_file
 from lineweave.sources.lines import edges, input_lines, numbered
 
@@ -57,6 +57,18 @@ def test_malformed(spark, tmp_path, data, line_no):
     assert target.read_bytes() == b"old"
 
 
+def test_parts_are_ordered_and_go_if_a_line_is_bad(spark, tmp_path):
+    (tmp_path / "in").write_bytes(b"3. c\n1. a\n2. b\n")
+    sort_to_parts(spark, (tmp_path / "in").as_uri(), (tmp_path / "parts").as_uri())
+    assert b"".join(p.read_bytes() for p in sorted((tmp_path / "parts").glob("part-*"))) == b"1. a\n2. b\n3. c\n"
+    (tmp_path / "in").write_bytes(b"3. c\nbad\n")
+    with pytest.raises(MalformedLine):
+        sort_to_parts(spark, (tmp_path / "in").as_uri(), (tmp_path / "more").as_uri())
+    assert not (tmp_path / "more").exists()
+    with pytest.raises(MalformedLine):
+        sorted_lines(spark, (tmp_path / "in").as_uri())
+
+
 def random_file(rng: random.Random, n: int) -> bytes:
     parts = [b"a", b"b", b"cc", "é€𝄞".encode(), b"\x80\xff", b"tab\t", b"nul\0", b"", b" x", b"a\r"]
     out = bytearray(b"\xef\xbb\xbf" if rng.random() < 0.5 else b"")
