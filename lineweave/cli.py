@@ -16,6 +16,7 @@ import shutil
 import signal
 import sys
 import tempfile
+import threading
 import time
 from collections.abc import Callable
 from contextlib import contextmanager
@@ -167,6 +168,28 @@ def cancellable(spark):
             signal.signal(s, handler)
 
 
+@contextmanager
+def reported(spark, every: float = 2.0):
+    """Says how far Spark's active stages are, every few seconds, and wires the signals."""
+    over = threading.Event()
+
+    def report():
+        tracker = spark.sparkContext.statusTracker()
+        while not over.wait(every):
+            stages = [i for s in tracker.getActiveStageIds() if (i := tracker.getStageInfo(s))]
+            if stages:
+                say("  " + ", ".join(f"stage {i.stageId}: {i.numCompletedTasks} of {i.numTasks} tasks" for i in stages))
+
+    thread = threading.Thread(target=report, daemon=True)
+    thread.start()
+    try:
+        with cancellable(spark):
+            yield
+    finally:
+        over.set()
+        thread.join()
+
+
 def run_sort(args: list[str], spark=None) -> int:
     from lineweave.operators.sort_file import sort_file
     from lineweave.session import session
@@ -183,7 +206,7 @@ def run_sort(args: list[str], spark=None) -> int:
     check_space(source, target, temp)
     began = time.monotonic()
     spark = spark or session("sort")
-    with cancellable(spark):
+    with reported(spark):
         size = sort_file(spark, f"file://{os.path.abspath(source)}", target, temp, max_line)
     say(f"Sorted {describe_size(size)} in {time.monotonic() - began:.1f}s.")
     return OK
@@ -197,7 +220,7 @@ def run_verify(args: list[str], spark=None) -> int:
     preflight(source, None)
     preflight(target, None)
     spark = spark or session("verify")
-    with cancellable(spark):
+    with reported(spark):
         verdict = verify_file(spark, *(f"file://{os.path.abspath(p)}" for p in (source, target)), values.get("--max-line", DEFAULT_MAX_LINE))
     for name, report in (("input: ", verdict.input), ("output:", verdict.output)):
         say(f"  {name} {report.lines} lines, {describe_size(report.bytes)}, hash {report.hash:016x}")
@@ -216,7 +239,7 @@ def run_generate(args: list[str], spark=None) -> int:
         raise UsageError("--size is required.")
     preflight(None, target)
     spark = spark or session("generate")
-    with cancellable(spark):
+    with reported(spark):
         lines = sized(spark, Options(values["--size"], values.get("--seed", 0), values.get("--duplicate-ratio", 0.1)))
         size = publish(lines, target, os.path.dirname(os.path.abspath(target)))
     say(f"Generated {describe_size(size)}.")
