@@ -28,7 +28,7 @@ from lineweave.llm.common import Bytes, Scratch, mix, small_batches
 
 #: Bytes of a repeat; bytes of an anchor.
 LENGTH, K = 200, 64
-_CHUNK = 1 << 17
+_CHUNK = 1 << 16
 #: Blocks of a batch of the index.
 BATCH = 4096
 
@@ -47,20 +47,22 @@ def anchors(texts: list[bytes], length: int = LENGTH, k: int = K) -> tuple[np.nd
     starts = np.arange(n - k + 1)
     h = buffer.hashes(starts, starts + k)
     wide = length - k + 1
-    # the first place of the least hash among `wide` neighbours, by doubling
-    least, span = np.arange(len(h), dtype=np.int32), 1
+    # the first place of the least hash (its upper half) among `wide` neighbours, by doubling; a
+    # place stands below its hash in one number, so the least number is the first least hash
+    least, span = (h & np.uint64(0xFFFFFFFF00000000)) | starts.astype(np.uint64), 1
     while 2 * span <= wide:
-        a, b = least[:-span], least[span:]
-        least = np.where(h[b] < h[a], b, a)
+        least = np.minimum(least[:-span], least[span:])
         span *= 2
     windows = n - length + 1
-    a, b = least[:windows], least[wide - span : wide - span + windows]
-    least = np.where(h[b] < h[a], b, a)
-    owner = np.repeat(np.arange(len(texts)), size)
-    place = np.flatnonzero(owner[:windows] == owner[length - 1 :])
-    if not len(place):
+    least = np.minimum(least[:windows], least[wide - span : wide - span + windows])
+    least = (least & np.uint64(0xFFFFFFFF)).astype(np.int64)
+    # windows that lie within a text, text by text
+    inside = np.maximum(size - length + 1, 0)
+    doc = np.repeat(np.arange(len(texts)), inside)
+    if not len(doc):
         return none
-    spot, doc = least[place], owner[place]
+    place = np.arange(len(doc)) + np.repeat(begin - (np.cumsum(inside) - inside), inside)
+    spot = least[place]
     first = np.flatnonzero(np.concatenate(([True], (spot[1:] != spot[:-1]) | (doc[1:] != doc[:-1]))))
     count = np.diff(np.append(first, len(place)))
     at = place[first]
