@@ -25,7 +25,7 @@ SPAN = 8
 BLANKS = " \t\n\x0b\x0c\r"
 _SYMBOL = np.zeros(256, bool)
 _SYMBOL[list(b"#*$%&|<>")] = True
-_CHUNK = 1 << 17
+_CHUNK = 1 << 16
 
 
 class Chunk:
