@@ -24,7 +24,7 @@ TRAIN_DOCS = 12_000
 FEATURES = 10_000
 #: Fewest documents an n-gram is seen in to be a feature, and least |ratio| / standard error.
 MIN_DOCS, MIN_Z = 3, 2.6
-_CHUNK = 1 << 17
+_CHUNK = 1 << 16
 NOT_LETTERS = regex.compile(r"[^\p{L}]+")
 
 
