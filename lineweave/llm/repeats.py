@@ -6,7 +6,8 @@ have their anchor (the first such place) at the same offset. Windows that share
 by side and make one block. So:
 
 1. One scan hashes the anchors' K bytes. Anchors whose hash occurs once have no repeated window.
-2. For the other anchors, whole blocks are compared by a hash: a block that occurs twice is covered.
+2. For the other anchors, whole blocks are compared by two independent 64-bit hashes: a block that
+   occurs twice is covered.
 3. What is left are blocks that share their anchor with others but are not equal: the edges of
    repeats. Only these blocks' bytes move. They meet by anchor, and within a group each batch of
    blocks gets a suffix array, is merge-scanned against the levels of an index for windows equal in
@@ -196,8 +197,10 @@ def removed_runs(docs: DataFrame, length: int = LENGTH, k: int = K, together: in
             keys = batch.column("key").to_numpy()
             for first, some in in_chunks(_encoded(batch)):
                 doc, at, count, value, whole = anchors(some, length, k)
-                nth = np.arange(len(doc)) - np.searchsorted(doc, doc)
-                columns = {"anchor": value.view(np.int64), "block": (whole.view(np.int64) >> np.int64(32) << np.int64(32)) | nth, "key": keys[first + doc]}
+                nth = (np.arange(len(doc)) - np.searchsorted(doc, doc)).astype(np.int32)
+                places = zip(doc.tolist(), at.tolist(), (at + count + length - 1).tolist(), strict=True)
+                second = np.array([xxhash.xxh3_64_intdigest(some[d][a:b]) for d, a, b in places], np.uint64)
+                columns = {"anchor": value.view(np.int64), "whole": whole.view(np.int64), "second": second.view(np.int64), "nth": nth, "key": keys[first + doc]}
                 yield pa.RecordBatch.from_arrays([pa.array(x) for x in columns.values()], list(columns))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -213,11 +216,10 @@ def removed_runs(docs: DataFrame, length: int = LENGTH, k: int = K, together: in
     counts = docs.select("text").mapInArrow(count, "anchor long, n long").groupBy("anchor").agg(F.sum("n").alias("n")).where("n > 1").select("anchor")
     # written, so that both sides of the join are exchanges, whose hot partitions Spark can split
     counts = scratch.table(counts, "anchors")
-    blocks = docs.select("key", "text").mapInArrow(emit, "anchor long, block long, key long")
+    blocks = docs.select("key", "text").mapInArrow(emit, "anchor long, whole long, second long, nth int, key long")
     shared = scratch.table(blocks.join(counts, "anchor"), "shared")
-    # equal blocks: the same anchor hash and 32 bits of the block's own hash; (key, nth) is the block's place
-    shared = shared.select("anchor", F.shiftright("block", 32).alias("whole"), (F.col("block").bitwiseAND(F.lit(0xFFFFFFFF))).alias("nth"), "key")
-    equal = shared.groupBy("anchor", "whole").agg(F.count("*").alias("n"), F.min(F.struct("key", "nth")).alias("head"))
+    # equal blocks: the same anchor hash and the same two hashes of the block; (key, nth) is the block's place
+    equal = shared.groupBy("anchor", "whole", "second").agg(F.count("*").alias("n"), F.min(F.struct("key", "nth")).alias("head"))
     equal = scratch.table(equal, "equal")
     kinds = scratch.table(equal.groupBy("anchor").agg(F.count("*").alias("kinds")).where("kinds > 1"), "kinds")
     equal = equal.join(kinds, "anchor", "left")
@@ -225,7 +227,7 @@ def removed_runs(docs: DataFrame, length: int = LENGTH, k: int = K, together: in
     heads = F.col("kinds").isNotNull() & (F.struct("key", "nth") == F.col("head"))
     state = F.when(F.col("n") > 1, COVERED).otherwise(0) + F.when(heads, COMPARE).otherwise(0)
     state = state + F.when(F.col("kinds") > together, FREQUENT).otherwise(0)
-    todo = shared.join(equal, ["anchor", "whole"]).select("key", (F.col("nth") * 8 + state).alias("todo")).where(f"todo % {FREQUENT} > 0")
+    todo = shared.join(equal, ["anchor", "whole", "second"]).select("key", (F.col("nth").cast("long") * 8 + state).alias("todo")).where(f"todo % {FREQUENT} > 0")
     per_text = todo.groupBy("key").agg(F.collect_list("todo").alias("todo"))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

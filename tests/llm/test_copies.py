@@ -6,11 +6,11 @@ import numpy as np
 import pytest
 
 import corpus_pipeline
-from lineweave.llm.common import Scratch, read_table
+from lineweave.llm.common import Bytes, Scratch, read_table
 from lineweave.llm.decontaminate import clean, contaminated, tile
 from lineweave.llm.graph import components
 from lineweave.llm.near_duplicates import bands, near_duplicates, prob_min_hash, shingles, similarity
-from lineweave.llm.repeats import LogIndex, cut_repeats, remove_repeats, repeated_windows
+from lineweave.llm.repeats import LogIndex, anchors, cut_repeats, remove_repeats, repeated_windows
 from tests.conftest import SF
 from tests.llm.conftest import edge_rows, prose
 
@@ -155,6 +155,30 @@ def test_repeats_against_brute_force(spark, edge, empty):
     assert remove_repeats(edge).count() == len(edge_rows())
 
 
+def test_repeats_tell_blocks_of_one_anchor_apart(spark):
+    """Different blocks around one frequent line whose 64-bit block hashes agree in their upper half."""
+    rng = np.random.default_rng(7)
+    pool = rng.integers(97, 123, 1 << 20, np.uint8).tobytes()
+    starts = np.arange(len(pool) - 63)
+    low = int(Bytes(pool).hashes(starts, starts + 64).argmin())
+    line = pool[low : low + 64]  # least hash of a million strings, so it is the anchor
+    around = rng.integers(97, 123, (200_000, 136), np.uint8).tobytes()
+    texts = [around[i : i + 68] + line + around[i + 68 : i + 136] for i in range(0, len(around), 136)]
+    seen: dict[tuple, bytes] = {}
+    pairs = []
+    for i in range(0, len(texts), 1000):
+        _, at, count, anchor, whole = anchors(texts[i : i + 1000])
+        assert len(at) == 1000 and (count == 1).all()
+        for t, a, h in zip(texts[i : i + 1000], anchor.tolist(), (whole >> np.uint64(32)).tolist(), strict=True):
+            if seen.setdefault((a, h), t) != t:
+                pairs.append((seen[a, h], t))
+    assert pairs
+    rows = [(i, t.decode()) for i, t in enumerate(pairs[0])]
+    for together in (20_000, 1):
+        got = remove_repeats(spark.createDataFrame(rows, "doc_id long, text string"), together=together).collect()
+        assert [r["n_removed"] for r in got] == [0, 0]
+
+
 @pytest.mark.parametrize("length", [10, 24])
 def test_log_index(length):
     rng = random.Random(length)
