@@ -14,7 +14,7 @@ from lineweave.llm.graph import components
 
 #: Words of a shingle; similarity of a link.
 WORDS, SIMILARITY = 5, 0.8
-#: Bands and registers of each. A pair of probability Jaccard 0.8 misses all bands with
+#: Bands and registers of each. A pair of probability or plain Jaccard 0.8 misses all bands with
 #: probability (1 - 0.8**5)**28 = 1.5e-5, one of 0.9 with 1e-11.
 BANDS, ROWS = 28, 5
 #: Texts of a block where all pairs are compared; a task holds two blocks.
@@ -245,7 +245,9 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, least: float = SIMILARI
     that stands for its class, the one with the least doc_id (of several, the least ``id``; rows
     equal in both are all marked).
 
-    Candidates share a band. First each member of a bucket of any size meets two others, those first
+    Candidates share a band of the signatures of counted shingles, which follow probability Jaccard,
+    or of distinct ones, which follow plain Jaccard; a text without repeated shingles has one
+    signature for both. First each member of a bucket of any size meets two others, those first
     and last by a hash, which are mostly the same ones in all buckets of a group of copies. The links
     found join texts into components. Then, where texts that hang together by shared bands are still
     of several components, all pairs of different components are compared exactly, in blocks of
@@ -273,7 +275,13 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, least: float = SIMILARI
                     continue
                 number = np.searchsorted(present, doc)
                 out = bands(prob_min_hash(number, h, n, len(present), n_bands * rows), n_bands, rows)
-                own = np.repeat(ids[first + present], n_bands)
+                # texts with repeated shingles also get the signature of their distinct ones
+                twice = np.unique(number[n > 1])
+                if len(twice):
+                    again = np.isin(number, twice)
+                    plain = prob_min_hash(np.searchsorted(twice, number[again]), h[again], np.ones(int(again.sum()), np.int64), len(twice), n_bands * rows)
+                    out = np.concatenate([out, bands(plain, n_bands, rows)])
+                own = np.repeat(ids[first + np.concatenate([present, present[twice]])], n_bands)
                 yield pa.RecordBatch.from_arrays([pa.array(out.ravel().view(np.int64)), pa.array(own)], ["bucket", "id"])
 
     members = nodes.select("id", "text").mapInArrow(sign, "bucket long, id long").distinct()

@@ -100,6 +100,18 @@ def test_near_duplicates_against_all_pairs(spark, empty):
     assert near_duplicates(empty)[0].count() == 0
 
 
+def test_near_copies_that_repeat_a_line(spark):
+    """Plain Jaccard is 0.95 or more, probability Jaccard low: the bands of distinct shingles find them."""
+    rows = []
+    for k in range(12):
+        w = prose(600 + k, 300).split()
+        line = " ".join(w[140:152])
+        text = " ".join(w[:152]) + f" {line}" * 40 + " " + " ".join(w[152:])
+        rows += [(10 * k, " ".join(w)), (10 * k + 1, text), (10 * k + 2, text.replace(f" {line}" * 40, f" {line}" * 300))]
+    got = near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"))[0].select("doc_id", "class_id").collect()
+    assert sorted(map(tuple, got)) == sorted(brute_classes(rows)) == [(10 * k + i, 10 * k) for k in range(12) for i in range(3)]
+
+
 def test_blocks_find_every_joining_link(spark, monkeypatch):
     from lineweave.llm import near_duplicates as module
 
