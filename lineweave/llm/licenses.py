@@ -18,8 +18,9 @@ from pyspark.sql import functions as F
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 RAW_WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-#: A file without any of these has no phrase and no key phrase. Each key phrase has one of them.
-TRIGGER = "licen|permission|redistribution|public domain"
+#: A file without any of these has no phrase and no key phrase. Each phrase and key phrase has a
+#: word with one of them, so what stands between words does not matter.
+TRIGGER = "licen|permission|redistribution|domain"
 #: Phrases of the base labels: label, words.
 PHRASES = {"mit": ["mit", "license"], "apache": ["apache", "license"], "gpl": ["general", "public", "license"]}
 #: Licence notices: label, words of the template, mandatory key phrase.

@@ -117,6 +117,16 @@ def test_licenses_against_brute_force(spark, edge, empty):
     assert {"gpl-3.0", "mit-grant", "cc-by-nc-4.0", "apache-2.0"} <= set(labels)
 
 
+def test_wrapped_notices_pass_the_trigger(spark):
+    for phrase in [*licenses.PHRASES.values(), *(t.key for t in licenses.templates())]:
+        assert any(re.search(licenses.TRIGGER, word) for word in phrase)
+    notice = "This is free and unencumbered software released into the public%sdomain."
+    docs = spark.createDataFrame([(i, notice % gap) for i, gap in enumerate([" ", "\n", "\n# ", "  ", "\t", "-"])], "doc_id long, text string")
+    got = sorted(map(tuple, licenses.scan(docs).collect()))
+    assert got == sorted((r["doc_id"], *naive_licenses(r["text"])) for r in docs.collect())
+    assert {r[6] for r in got} == {"unlicense"}
+
+
 @pytest.mark.parametrize("name", sorted(queries.oracle_sql()))
 def test_query_against_sql(spark, name):
     c = duckdb.connect()
