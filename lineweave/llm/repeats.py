@@ -86,7 +86,7 @@ class LogIndex:
     """A logarithmic family of suffix arrays over blocks, truncated at the length of a window.
 
     A suffix is a window's place; its key is its first eight bytes, then a hash of all of it, so
-    arrays are in suffix order and equal windows are neighbours. A key says nothing certain: each
+    equal windows are neighbours; beyond eight bytes arrays are not in suffix order. A key says nothing certain: each
     match is confirmed on the bytes.
     """
 
