@@ -77,10 +77,13 @@ class Scratch:
         df.write.option("compression", "zstd").parquet(path)
         return self.spark.read.schema(df.schema).parquet(path)
 
-    def release(self) -> None:
-        jvm = self.spark.sparkContext._jvm
-        path = jvm.org.apache.hadoop.fs.Path(self.root)
+    def drop(self, path: str) -> None:
+        """Deletes a path below the scratch that nothing reads any more."""
+        path = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
         path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+    def release(self) -> None:
+        self.drop(self.root)
         if self in Scratch._live:
             Scratch._live.remove(self)
 

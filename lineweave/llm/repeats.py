@@ -1,26 +1,35 @@
-"""Exact repeats of long byte strings, by sparse suffixes and a logarithmic family of suffix arrays.
+"""Exact repeats of long byte strings, by a logarithmic family of sparse suffix arrays.
 
 Which bytes lie in a string of ``length`` bytes that also starts elsewhere? Every window of that
 length holds an anchor, the place in it whose following K bytes have the least hash; equal windows
 have their anchor (the first such place) at the same offset. Windows that share an anchor lie side
-by side and make one block. So:
-
-1. One scan hashes the anchors' K bytes. Anchors whose hash occurs once have no repeated window.
-2. For the other anchors, whole blocks are compared by two independent 64-bit hashes: a block that
-   occurs twice is covered.
-3. What is left are blocks that share their anchor with others but are not equal: the edges of
-   repeats. Only these blocks' bytes move. They meet by anchor, and within a group each batch of
-   blocks gets a suffix array, is merge-scanned against the levels of an index for windows equal in
-   all bytes, and joins the index, where arrays of equal size merge, so levels grow geometrically.
+by side; the string from the first one's start to the last one's end is a block. So:
+
+1. Candidates. One scan counts the anchors' hashes. An anchor that occurs once has no repeated
+   window, so only blocks of the others are indexed.
+2. The index. Documents come in ``BATCHES`` batches. The distinct blocks of a batch get suffix arrays
+   over all their windows, in true suffix order (compared byte by byte, as far as a window reaches).
+   Each new array is merge-scanned against the arrays of every level: windows that fall beside an
+   equal one are repeats. Then levels of equal size merge, so their sizes grow geometrically.
+   Levels are tables in the shared folder; a row is a unit of the index, the blocks of some anchors.
+3. What the scans found of a block holds for every place where that block stands.
+
+Equal windows are in one unit, as the unit follows from the anchor. An anchor with very many
+different blocks (a common line in ever different surroundings) is dealt more finely: its blocks are
+cut into pieces of ``SPAN`` windows, each dealt by the bytes that all windows of the piece share.
+Pieces that meet differ in fewer than 2 * SPAN bytes at their ends, so few different ones do.
 """
 
 from __future__ import annotations
 
 import hashlib
+import struct
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -30,16 +39,32 @@ from lineweave.llm.common import Bytes, Scratch, mix, small_batches
 #: Bytes of a repeat; bytes of an anchor.
 LENGTH, K = 200, 64
 _CHUNK = 1 << 16
-#: Blocks of a batch of the index.
-BATCH = 4096
+#: Batches of documents that enter the index one after the other.
+BATCHES = 4
+#: Bytes of blocks of a unit of the index, all batches together; one task holds a unit at a time.
+UNIT = 1 << 20
+#: Different blocks of an anchor from which they are cut into pieces; windows of a piece.
+HOT, SPAN = 1000, 8
 
 
-def anchors(texts: list[bytes], length: int = LENGTH, k: int = K) -> tuple[np.ndarray, ...]:
-    """Of some texts: text, first window, number of windows, anchor hash and block hash of each
-    block, in the order of the texts. Positions count from the start of the text."""
+@dataclass
+class Blocks:
+    """Blocks of some texts, text by text: text, first window, number of windows, place and hash of
+    the anchor. Positions count from the start of the text."""
+
+    doc: np.ndarray
+    at: np.ndarray
+    count: np.ndarray
+    spot: np.ndarray
+    anchor: np.ndarray
+    begin: np.ndarray  # of each text in ``buffer``
+    buffer: Bytes | None
+
+
+def anchors(texts: list[bytes], length: int = LENGTH, k: int = K) -> Blocks:
     size = np.array([len(t) for t in texts], np.int64)
     begin = np.cumsum(size) - size
-    none = (np.zeros(0, np.int64),) * 3 + (np.zeros(0, np.uint64),) * 2
+    none = Blocks(*(np.zeros(0, np.int64),) * 4, np.zeros(0, np.uint64), begin, None)
     data = b"".join(texts)
     if len(data) < length:
         return none
@@ -66,9 +91,8 @@ def anchors(texts: list[bytes], length: int = LENGTH, k: int = K) -> tuple[np.nd
     spot = least[place]
     first = np.flatnonzero(np.concatenate(([True], (spot[1:] != spot[:-1]) | (doc[1:] != doc[:-1]))))
     count = np.diff(np.append(first, len(place)))
-    at = place[first]
-    whole = mix(buffer.hashes(at, at + count + length - 1) + count.astype(np.uint64))
-    return doc[first], at - begin[doc[first]], count, h[spot[first]], whole
+    spot, doc, at = spot[first], doc[first], place[first]
+    return Blocks(doc, at - begin[doc], count, spot - begin[doc], h[spot], begin, buffer)
 
 
 def in_chunks(texts: list[bytes]) -> Iterator[tuple[int, list[bytes]]]:
@@ -82,86 +106,113 @@ def in_chunks(texts: list[bytes]) -> Iterator[tuple[int, list[bytes]]]:
         yield first, texts[first:]
 
 
-class LogIndex:
-    """A logarithmic family of suffix arrays over blocks, truncated at the length of a window.
+# ---------------------------------------------------------------- the index
+
+
+class Level:
+    """A suffix array over the windows of some strings, each string under a name of two longs.
 
-    A suffix is a window's place; its key is its first eight bytes, then a hash of all of it, so
-    equal windows are neighbours; beyond eight bytes arrays are not in suffix order. A key says nothing certain: each
-    match is confirmed on the bytes.
+    ``order`` holds the places of windows in ``text``, in suffix order as far as a window reaches;
+    of equal windows it holds one.
     """
 
-    def __init__(self, length: int):
-        self.length = length
-        self.levels: list[tuple[np.ndarray, np.ndarray]] = []  # (keys, places), each sorted by key
-        self.parts: list[np.ndarray] = []
-        self.total = 0
-
-    def add(self, blocks: list[bytes]) -> np.ndarray:
-        """Adds blocks; returns pairs of places (over all that was ever added) of equal windows, so
-        that of any class of equal windows all are joined to one another through such pairs."""
-        data = np.frombuffer(b"".join(blocks), np.uint8)
-        size = np.array([len(b) for b in blocks], np.int64)
+    _HEAD = struct.Struct("<3Q")
+
+    def __init__(self, text: np.ndarray, size: np.ndarray, names: np.ndarray, order: np.ndarray):
+        self.text, self.size, self.names, self.order = text, size, names, order
+
+    @classmethod
+    def build(cls, text: np.ndarray, size: np.ndarray, names: np.ndarray, length: int) -> tuple[Level, np.ndarray]:
+        """The array of new strings, and the places of windows that occur twice among them."""
+        count = np.maximum(size - length + 1, 0)
         begin = np.cumsum(size) - size
-        count = size - self.length + 1
         at = np.repeat(begin - (np.cumsum(count) - count), count) + np.arange(int(count.sum()))
-        buffer = Bytes(data.tobytes())
-        key = np.empty(len(at), np.dtype([("head", ">u8"), ("hash", "<u8")]))
-        raw = np.lib.stride_tricks.sliding_window_view(data, 8)[at]
-        key["head"] = np.ascontiguousarray(raw).view(">u8").ravel()
-        key["hash"] = buffer.hashes(at, at + self.length)
-        head, full = key["head"].astype(np.uint64), key["hash"]
-        order = np.lexsort((full, head))
-        base, self.total = self.total, self.total + len(data)
-        self.parts.append(data)
-        keys, places = np.stack([head[order], full[order]], 1), at[order] + base
-        pairs = [self._same(keys, places)]
-        for old_keys, old_places in self.levels:
-            pairs.append(self._scan(keys, places, old_keys, old_places))
-        self.levels.append((keys, places))
-        while len(self.levels) > 1 and len(self.levels[-2][0]) <= 2 * len(self.levels[-1][0]):
-            (a, p), (b, q) = self.levels.pop(), self.levels.pop()
-            k = np.concatenate([a, b])
-            order = np.lexsort((k[:, 1], k[:, 0]))
-            self.levels.append((k[order], np.concatenate([p, q])[order]))
-        return np.concatenate(pairs)
-
-    def text(self) -> np.ndarray:
-        if len(self.parts) > 1:
-            self.parts = [np.concatenate(self.parts)]
-        return self.parts[0]
-
-    def _confirm(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-        """Pairs whose windows are equal in all bytes."""
-        keep = np.ones(len(a), bool)
-        view = np.lib.stride_tricks.sliding_window_view(self.text(), self.length)
-        for i in range(0, len(a), 4096):
-            keep[i : i + 4096] = (view[a[i : i + 4096]] == view[b[i : i + 4096]]).all(1)
-        return np.stack([a[keep], b[keep]], 1)
-
-    def _same(self, keys: np.ndarray, places: np.ndarray) -> np.ndarray:
-        i = np.flatnonzero((keys[1:] == keys[:-1]).all(1))
-        return self._confirm(places[i], places[i + 1])
-
-    def _scan(self, keys: np.ndarray, places: np.ndarray, old: np.ndarray, old_places: np.ndarray) -> np.ndarray:
-        """A merge of two arrays: each new suffix against the old one that its key falls on."""
-        both = np.concatenate([old, keys])
-        order = np.lexsort((np.concatenate([np.zeros(len(old), np.int8), np.ones(len(keys), np.int8)]), both[:, 1], both[:, 0]))
-        is_old = order < len(old)
-        latest = np.maximum.accumulate(np.where(is_old, np.arange(len(order)), -1))
-        new = np.flatnonzero(~is_old & (latest >= 0))
-        a, b = order[new] - len(old), order[latest[new]]
-        same = (keys[a] == old[b]).all(1)
-        return self._confirm(places[a[same]], old_places[b[same]])
-
-
-def repeated_windows(blocks: list[bytes], length: int, batch: int = BATCH) -> list[np.ndarray]:
-    """Flags of each block's windows that are equal to another window among the blocks."""
-    size = np.array([len(b) for b in blocks], np.int64)
-    begin = np.cumsum(size) - size
-    index, flag = LogIndex(length), np.zeros(int(size.sum()), bool)
-    for i in range(0, len(blocks), batch):
-        flag[index.add(blocks[i : i + batch]).ravel()] = True
-    return [flag[a : a + n - length + 1] for a, n in zip(begin.tolist(), size.tolist(), strict=True)]
+        level = cls(text, size, names, at)
+        return level._sorted(level.windows(length))
+
+    def windows(self, length: int) -> np.ndarray:
+        """The windows themselves, in the array's order, as fixed-width byte strings."""
+        if not len(self.order):
+            return np.zeros(0, f"S{length}")
+        some = np.lib.stride_tricks.sliding_window_view(self.text, length)[self.order]
+        return np.ascontiguousarray(some).view(f"S{length}").ravel()
+
+    def _sorted(self, windows: np.ndarray) -> tuple[Level, np.ndarray]:
+        """Sorts by the windows (a stable sort: it merges what is in order already), finds equal
+        neighbours, and keeps one of each. All have one width, so trailing zeros compare right."""
+        by = np.argsort(windows, kind="stable")
+        windows, order = windows[by], self.order[by]
+        same = windows[1:] == windows[:-1]
+        twice = np.zeros(len(order), bool)
+        twice[1:] |= same
+        twice[:-1] |= same
+        keep = np.concatenate(([True], ~same))[: len(order)]
+        return Level(self.text, self.size, self.names, order[keep]), order[twice]
+
+    def merged(self, other: Level, length: int) -> tuple[Level, np.ndarray]:
+        """Both arrays in one, by a merge of the two sorted sequences, and the places (in the joint
+        text) of windows that met an equal one."""
+        joint = Level(
+            np.concatenate([self.text, other.text]), np.concatenate([self.size, other.size]),
+            np.concatenate([self.names, other.names]), np.concatenate([self.order, other.order + len(self.text)]),
+        )
+        return joint._sorted(np.concatenate([self.windows(length), other.windows(length)]))
+
+    def runs(self, places: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Windows' places as runs within strings: number of the string, first byte, last byte + 1."""
+        places = np.sort(places)
+        begin = np.cumsum(self.size) - self.size
+        owner = np.searchsorted(begin, places, side="right") - 1
+        new = np.concatenate(([True], (places[1:] != places[:-1] + 1) | (owner[1:] != owner[:-1])))[: len(places)]
+        first = np.flatnonzero(new)
+        last = np.append(first[1:], len(places)) - 1
+        return owner[first], places[first] - begin[owner[first]], places[last[: len(first)]] - begin[owner[first]] + length
+
+    def to_bytes(self) -> bytes:
+        """The level without the strings that have no window left in it."""
+        begin = np.cumsum(self.size) - self.size
+        owner = np.searchsorted(begin, self.order, side="right") - 1
+        used = np.zeros(len(self.size), bool)
+        used[owner] = True
+        text, size = self.text[np.repeat(used, self.size)], self.size[used]
+        shift = begin - np.cumsum(np.where(used, self.size, 0)) + np.where(used, self.size, 0)
+        head = self._HEAD.pack(len(size), len(self.order), len(text))
+        parts = [size.astype("<u4"), self.names[used].astype("<i8"), (self.order - shift[owner]).astype("<u4"), text]
+        return head + b"".join(x.tobytes() for x in parts)
+
+    @classmethod
+    def from_bytes(cls, blob: bytes) -> Level:
+        n, windows, length = cls._HEAD.unpack_from(blob)
+        at = cls._HEAD.size
+        size = np.frombuffer(blob, "<u4", n, at).astype(np.int64)
+        names = np.frombuffer(blob, "<i8", 2 * n, at + 4 * n).reshape(n, 2)
+        order = np.frombuffer(blob, "<u4", windows, at + 20 * n).astype(np.int64)
+        return cls(np.frombuffer(blob, np.uint8, length, at + 20 * n + 4 * windows), size, names, order)
+
+
+def enter(fresh: Level, levels: dict[int, Level], merge: int, length: int) -> tuple[Level, list[tuple[np.ndarray, np.ndarray, np.ndarray]]]:
+    """Merge-scans a new array against all levels and merges it with those below ``merge``. Returns
+    the merged array and what was found: names of strings, first byte, last byte + 1 of runs."""
+    found, carry = [], fresh
+    for number in sorted(levels):
+        joint, places = (carry if number < merge else fresh).merged(levels[number], length)
+        owner, first, last = joint.runs(places, length)
+        found.append((joint.names[owner], first, last))
+        if number < merge:
+            carry = joint
+    return carry, found
+
+
+def merge_depth(batch: int) -> int:
+    """Of a family that took ``batch`` batches: how many of its levels have the size that the next
+    batch, merged upwards, will have; the levels there are the bits of ``batch``."""
+    depth = 0
+    while batch >> depth & 1:
+        depth += 1
+    return depth
+
+
+# ---------------------------------------------------------------- the plan around it
 
 
 def _encoded(batch: pa.RecordBatch) -> list[bytes]:
@@ -173,151 +224,240 @@ def _runs(covered: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
 
 
-#: What is known of a block: it is repeated whole; its windows are to be compared; both (others
-#: compare with it); and that its anchor is too frequent for its blocks to meet in one task.
-COVERED, COMPARE, FREQUENT = 1, 2, 4
-#: Most different blocks of one anchor that meet in one task.
-TOGETHER = 20_000
-
-
-def removed_runs(docs: DataFrame, length: int = LENGTH, k: int = K, together: int = TOGETHER) -> tuple[DataFrame, Scratch]:
-    """(key, runs) of the texts of ``docs`` (key long, text) that have covered bytes: ``runs`` holds
-    the first and the last byte + 1 of each stretch, not merged where blocks adjoin. ``key`` must
+def _pieces(blocks: Blocks, some: np.ndarray, hot: np.ndarray, length: int, span: int) -> tuple[np.ndarray, ...]:
+    """Of the blocks numbered ``some``: block, first byte and last byte + 1 in the buffer, and the
+    number that says to which unit it goes. Blocks of ``hot`` anchors are cut into pieces."""
+    base = blocks.begin[blocks.doc[some]]
+    first = base + blocks.at[some]
+    last = first + blocks.count[some] + length - 1
+    whole = ~hot
+    out = [(some[whole], first[whole], last[whole], blocks.anchor[some][whole])]
+    if hot.any():
+        spot, n = (base + blocks.spot[some])[hot], blocks.count[some][hot]
+        far = spot - first[hot]  # of the first window from the anchor; the others are nearer, one by one
+        top, low = far // span, (far - n + 1) // span
+        many = top - low + 1
+        row = np.repeat(np.arange(len(many)), many)
+        piece = low[row] + np.arange(len(row)) - np.repeat(np.cumsum(many) - many, many)
+        upper, lower = np.minimum(far[row], piece * span + span - 1), np.maximum((far - n + 1)[row], piece * span)
+        # all windows of the piece, in this text or another, have these bytes
+        core = blocks.buffer.hashes(spot[row] - piece * span, spot[row] - piece * span - span + 1 + length)
+        out.append((some[hot][row], spot[row] - upper, spot[row] - lower + length, mix(core + piece.astype(np.uint64))))
+    return tuple(np.concatenate(x) for x in zip(*out, strict=True))
+
+
+class _Index:
+    """The step of one batch, unit by unit, over rows sorted by unit."""
+
+    def __init__(self, length: int, merge: int, keep: bool):
+        self.length, self.merge, self.keep = length, merge, keep
+
+    def unit(self, unit: int, rows: pa.Table) -> Iterator[pa.RecordBatch]:
+        old = pc.greater_equal(rows.column("level"), 0)
+        blobs, new = rows.filter(old), rows.filter(pc.invert(old)).combine_chunks()
+        levels = {n: Level.from_bytes(blob) for n, blob in zip(blobs.column("level").to_pylist(), blobs.column("bytes").to_pylist(), strict=True)}
+        names = np.stack([new.column(c).to_numpy() for c in ("h1", "h2")], 1)
+        n = new.column("n").to_numpy()
+        order = np.lexsort((names[:, 1], names[:, 0]))
+        names, n = names[order], n[order]
+        first = np.flatnonzero(np.concatenate(([True], (names[1:] != names[:-1]).any(1)))[: len(names)])
+        n = np.add.reduceat(n, first) if len(first) else n
+        strings = new.column("bytes").take(pa.array(order[first]))
+        size = pc.binary_length(strings).to_numpy().astype(np.int64)
+        text = np.frombuffer(b"".join(strings.to_pylist()), np.uint8)
+        names = names[first]
+        twice = np.flatnonzero(n > 1)
+        found = [(names[twice], np.zeros(len(twice), np.int64), size[twice])]
+        fresh, places = Level.build(text, size, names, self.length)
+        owner, start, end = fresh.runs(places, self.length)
+        found.append((names[owner], start, end))
+        own = sum(len(f[0]) for f in found)
+        carry, more = enter(fresh, levels, self.merge, self.length)
+        found += more
+        name, start, end = (np.concatenate(x) for x in zip(*found, strict=True))
+        if len(name):
+            yield self._rows(unit, len(name), h1=name[:, 0], h2=name[:, 1], at=start, end=end, scanned=np.arange(len(name)) >= own)
+        if self.keep:
+            yield self._rows(unit, 1, blob=[carry.to_bytes()])
+
+    FIELDS = {"unit": pa.int64(), "blob": pa.binary(), "h1": pa.int64(), "h2": pa.int64(), "at": pa.int64(), "end": pa.int64(), "scanned": pa.bool_(), "is_level": pa.bool_()}
+    SCHEMA = "unit long, blob binary, h1 long, h2 long, at long, end long, scanned boolean, is_level boolean"
+
+    def _rows(self, unit: int, n: int, **columns) -> pa.RecordBatch:
+        columns |= {"unit": np.full(n, unit), "is_level": np.full(n, "blob" in columns)}
+        arrays = [pa.array(columns[c], t) if c in columns else pa.nulls(n, t) for c, t in self.FIELDS.items()]
+        return pa.RecordBatch.from_arrays(arrays, list(self.FIELDS))
+
+    def __call__(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, parts = None, []
+        for batch in batches:
+            units = batch.column("unit").to_numpy()
+            edges = [0, *(np.flatnonzero(units[1:] != units[:-1]) + 1).tolist(), len(units)]
+            for a, b in zip(edges, edges[1:], strict=False):
+                if a == b:
+                    continue
+                if units[a] != now and parts:
+                    yield from self.unit(now, pa.Table.from_batches(parts))
+                    parts = []
+                now = int(units[a])
+                parts.append(batch.slice(a, b - a))
+        if parts:
+            yield from self.unit(now, pa.Table.from_batches(parts))
+
+
+def removed_runs(docs: DataFrame, length: int = LENGTH, k: int = K, batches: int = BATCHES, hot: int = HOT, unit_bytes: int = UNIT) -> tuple[DataFrame, Scratch]:
+    """(key, found) of the texts of ``docs`` (key binary, text) that have covered bytes: ``found`` is
+    a set of (at, runs), runs of covered bytes counted from ``at``; they may overlap. ``key`` must
     name a text: rows of one key have one text. The scratch holds what the result reads.
 
-    Blocks of an anchor with more than ``together`` different ones never meet. Each of their windows
-    becomes a pair of 64-bit hashes; these are counted by an aggregate that combines before the
-    exchange, and joined back on both, where hot ones can be split."""
+    Texts are scanned three times and shuffled once, beside the blocks that were cut out. A block's
+    name is two independent 64-bit hashes of its bytes: copies of a block enter the index once a
+    batch, with their number, so no group of copies is ever together in one task."""
     spark = docs.sparkSession
     small_batches(spark)
     scratch = Scratch(spark, "repeats")
 
-    def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            keys = batch.column("key").to_numpy()
-            for first, some in in_chunks(_encoded(batch)):
-                doc, at, count, value, whole = anchors(some, length, k)
-                nth = (np.arange(len(doc)) - np.searchsorted(doc, doc)).astype(np.int32)
-                places = zip(doc.tolist(), at.tolist(), (at + count + length - 1).tolist(), strict=True)
-                second = np.array([xxhash.xxh3_64_intdigest(some[d][a:b]) for d, a, b in places], np.uint64)
-                columns = {"anchor": value.view(np.int64), "whole": whole.view(np.int64), "second": second.view(np.int64), "nth": nth, "key": keys[first + doc]}
-                yield pa.RecordBatch.from_arrays([pa.array(x) for x in columns.values()], list(columns))
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def count(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Distinct anchor hashes of a task with their counts; it holds at most the task's anchors."""
         seen: list[np.ndarray] = []
-        for batch in batches:
+        for batch in rows:
             for _, some in in_chunks(_encoded(batch)):
-                seen.append(anchors(some, length, k)[3].view(np.int64))
+                seen.append(anchors(some, length, k).anchor.view(np.int64))
         values, n = np.unique(np.concatenate(seen) if seen else np.zeros(0, np.int64), return_counts=True)
         for i in range(0, len(values), 100_000):
             yield pa.RecordBatch.from_arrays([pa.array(values[i : i + 100_000]), pa.array(n[i : i + 100_000])], ["anchor", "n"])
 
+    def emit(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in rows:
+            keys = batch.column("key")
+            for first, some in in_chunks(_encoded(batch)):
+                b = anchors(some, length, k)
+                if not len(b.doc):
+                    continue
+                at = b.begin[b.doc] + b.at
+                nth = (np.arange(len(b.doc)) - np.searchsorted(b.doc, b.doc)).astype(np.int32)
+                whole = b.buffer.hashes(at, at + b.count + length - 1).view(np.int64)
+                columns = [pa.array(b.anchor.view(np.int64)), pa.array(whole), pa.array(nth), keys.take(pa.array(first + b.doc))]
+                yield pa.RecordBatch.from_arrays(columns, ["anchor", "whole", "nth", "key"])
+
     counts = docs.select("text").mapInArrow(count, "anchor long, n long").groupBy("anchor").agg(F.sum("n").alias("n")).where("n > 1").select("anchor")
-    # written, so that both sides of the join are exchanges, whose hot partitions Spark can split
+    # written, as are others below, so that both sides of a join are exchanges, whose hot partitions Spark can split
     counts = scratch.table(counts, "anchors")
-    blocks = docs.select("key", "text").mapInArrow(emit, "anchor long, whole long, second long, nth int, key long")
+    blocks = docs.select("key", "text").mapInArrow(emit, "anchor long, whole long, nth int, key binary")
     shared = scratch.table(blocks.join(counts, "anchor"), "shared")
-    # equal blocks: the same anchor hash and the same two hashes of the block; (key, nth) is the block's place
-    equal = shared.groupBy("anchor", "whole", "second").agg(F.count("*").alias("n"), F.min(F.struct("key", "nth")).alias("head"))
-    equal = scratch.table(equal, "equal")
-    kinds = scratch.table(equal.groupBy("anchor").agg(F.count("*").alias("kinds")).where("kinds > 1"), "kinds")
-    equal = equal.join(kinds, "anchor", "left")
-    # the rest of the work of a block: cover it; compare it (all blocks that are alone, one of each equal class)
-    heads = F.col("kinds").isNotNull() & (F.struct("key", "nth") == F.col("head"))
-    state = F.when(F.col("n") > 1, COVERED).otherwise(0) + F.when(heads, COMPARE).otherwise(0)
-    state = state + F.when(F.col("kinds") > together, FREQUENT).otherwise(0)
-    todo = shared.join(equal, ["anchor", "whole", "second"]).select("key", (F.col("nth").cast("long") * 8 + state).alias("todo")).where(f"todo % {FREQUENT} > 0")
-    per_text = todo.groupBy("key").agg(F.collect_list("todo").alias("todo"))
-
-    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Covered stretches by hash, and the blocks to compare."""
-        for batch in batches:
-            texts, keys, todo = _encoded(batch), batch.column("key").to_numpy(), batch.column("todo").to_pylist()
-            out: list[tuple] = []
+    many = shared.groupBy("anchor", "whole").agg(F.lit(1)).groupBy("anchor").agg(F.count("*").alias("kinds")).where(F.col("kinds") > hot)
+    many = scratch.table(many.select("anchor", F.lit(1).alias("hot")), "many")
+    if many.isEmpty():
+        todo = shared.select("key", (F.col("nth") * 2).alias("todo"))
+    else:
+        todo = shared.join(many, "anchor", "left").select("key", (F.col("nth") * 2 + F.coalesce("hot", F.lit(0))).alias("todo"))
+    todo = todo.groupBy("key").agg(F.collect_set("todo").alias("todo"))
+
+    def cut(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """A row for each place of a block, and one with its bytes for each block of the rows at hand."""
+        for batch in rows:
+            texts, keys, part, todo = _encoded(batch), batch.column("key"), batch.column("part").to_numpy(), batch.column("todo")
+            begin, codes = todo.offsets.to_numpy(), todo.flatten().to_numpy()
+            begin = begin - begin[0]
+            parts, data = [], []
             for first, some in in_chunks(texts):
-                doc, at, count_, value, _ = anchors(some, length, k)
-                begin = np.searchsorted(doc, np.arange(len(some)))
-                for j in range(len(some)):
-                    for code in set(todo[first + j]):
-                        b = begin[j] + code // 8
-                        p, e, key = int(at[b]), int(at[b] + count_[b] + length - 1), int(keys[first + j])
-                        if code & COVERED:
-                            out.append((key, p, e, None, None, None))
-                        if code & COMPARE and not code & FREQUENT:
-                            out.append((key, p, e, int(value[b].view(np.int64)), None, some[j][p:e]))
-                        elif code & COMPARE:
-                            block = some[j][p:e]
-                            starts = np.arange(int(count_[b]))
-                            for w, h in enumerate(Bytes(block).hashes(starts, starts + length).view(np.int64).tolist()):
-                                second = xxhash.xxh3_64_intdigest(block[w : w + length]) - (1 << 63)
-                                out.append((key, p + w, p + w + length, h, second, None))
-            columns = list(zip(*out, strict=True)) or [()] * 6
-            kinds_ = [pa.int64()] * 5 + [pa.binary()]
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds_, strict=True)], ["key", "at", "end", "anchor", "second", "bytes"])
-
-    work = docs.select("key", "text").join(per_text, "key").mapInArrow(cut, "key long, at long, end long, anchor long, second long, bytes binary")
-    work = scratch.table(work, "work")
-
-    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Blocks come sorted by anchor; groups are compared as they end, many small ones together."""
-
-        def finish(rows: list[tuple]) -> pa.RecordBatch:
-            found = []
-            for (_, key, at, data), flags in zip(rows, repeated_windows([r[3] for r in rows], length), strict=True):
-                for a, b in zip(*_runs(flags), strict=True):
-                    found.append((key, at + int(a), at + int(b) + length - 1))
-            cols = list(zip(*found, strict=True)) if found else [(), (), ()]
-            return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], ["key", "at", "end"])
-
-        waiting: list[tuple] = []
-        for batch in batches:
-            for row in zip(*(batch.column(c).to_pylist() for c in ("anchor", "key", "at", "bytes")), strict=True):
-                if len(waiting) >= BATCH and row[0] != waiting[-1][0]:
-                    yield finish(waiting)
-                    waiting = []
-                waiting.append(row)
-        if waiting:
-            yield finish(waiting)
-
-    edges = work.where("bytes IS NOT NULL").select("anchor", "key", "at", "bytes").repartition("anchor").sortWithinPartitions("anchor")
-    edges = edges.mapInArrow(compare, "key long, at long, end long")
-    windows = work.where("second IS NOT NULL").select("anchor", "second", "key", "at", "end")
-    twice = windows.groupBy("anchor", "second").agg(F.count("*").alias("n")).where("n > 1").select("anchor", "second")
-    windows = windows.join(scratch.table(twice, "twice"), ["anchor", "second"]).select("key", "at", "end")
-    runs = work.where("anchor IS NULL").select("key", "at", "end").unionByName(edges).unionByName(windows)
-    runs = runs.groupBy("key").agg(F.array_sort(F.collect_list(F.struct("at", "end"))).alias("runs"))
-    return runs, scratch
-
-
-def covered_bytes(n: int, runs: list[dict]) -> np.ndarray:
+                b = anchors(some, length, k)
+                mine = codes[begin[first] : begin[first + len(some)]]
+                if not len(mine):
+                    continue
+                doc = np.repeat(np.arange(len(some)), np.diff(begin[first : first + len(some) + 1]))
+                number = np.searchsorted(b.doc, doc) + mine // 2
+                block, start, end, seed = _pieces(b, number, mine % 2 == 1, length, SPAN)
+                h1 = mix(b.buffer.hashes(start, end) + (end - start).astype(np.uint64))
+                raw = b.buffer.data.tobytes()
+                h2 = np.array([xxhash.xxh3_64_intdigest(raw[x:y]) for x, y in zip(start.tolist(), end.tolist(), strict=True)], np.uint64)
+                doc = b.doc[block]
+                parts.append((first + doc, start - b.begin[doc], seed, h1, h2, start, end, np.full(len(doc), len(data))))
+                data.append(raw)
+            if not parts:
+                continue
+            doc, at, seed, h1, h2, start, end, chunk = (np.concatenate(x) for x in zip(*parts, strict=True))
+            own = part[doc]
+            order = np.lexsort((h2, h1, own))
+            new = np.concatenate(([True], (h1[order][1:] != h1[order][:-1]) | (h2[order][1:] != h2[order][:-1]) | (own[order][1:] != own[order][:-1])))
+            one = np.flatnonzero(new)
+            one, n = order[one], np.diff(np.append(one, len(order)))
+            strings = [data[c][x:y] for c, x, y in zip(chunk[one].tolist(), start[one].tolist(), end[one].tolist(), strict=True)]
+            m, s = len(doc), len(one)
+            out = [
+                pa.concat_arrays([pa.array(np.full(m, -1, np.int32)), pa.array(own[one].astype(np.int32))]),
+                pa.array(np.concatenate([seed, seed[one]]).view(np.int64)),
+                pa.array(np.concatenate([h1, h1[one]]).view(np.int64)),
+                pa.array(np.concatenate([h2, h2[one]]).view(np.int64)),
+                pa.array(np.concatenate([np.ones(m, np.int64), n])),
+                pa.array(np.concatenate([at, (end - start)[one]])),
+                pa.concat_arrays([pa.nulls(m, pa.binary()), pa.array(strings, pa.binary())]),
+                pa.concat_arrays([keys.take(pa.array(doc)).cast(pa.binary()), pa.nulls(s, pa.binary())]),
+            ]
+            yield pa.RecordBatch.from_arrays(out, ["part", "seed", "h1", "h2", "n", "at", "bytes", "key"])
+
+    schema = "part int, seed long, h1 long, h2 long, n long, at long, bytes binary, key binary"
+    numbered = docs.select("key", "text", F.pmod(F.xxhash64("key", F.lit(3)), F.lit(batches)).cast("int").alias("part"))
+    path = scratch.path("work")
+    numbered.join(todo, "key").mapInArrow(cut, schema).write.partitionBy("part").option("compression", "zstd").parquet(path)
+    work = spark.read.schema(schema).parquet(path)
+    total = work.where("part >= 0").agg(F.sum("at")).first()[0] or 0
+    units = max(1, -(-int(total) // unit_bytes))
+
+    levels: dict[int, tuple[str, DataFrame]] = {}
+    verdicts = []
+    for batch in range(batches):
+        merge, last = merge_depth(batch), batch == batches - 1
+        rows = work.where(F.col("part") == batch).select(F.pmod(F.xxhash64("seed"), F.lit(units)).alias("unit"), F.lit(-1).alias("level"), "h1", "h2", "n", "bytes")
+        for number, (_, table) in levels.items():
+            rows = rows.unionByName(table.select("unit", F.lit(number).alias("level"), F.col("blob").alias("bytes")), allowMissingColumns=True)
+        rows = rows.repartition("unit").sortWithinPartitions("unit", "level")
+        out = scratch.path("batch")
+        # nothing comes after the last batch, so its arrays are not kept
+        rows.mapInArrow(_Index(length, merge, not last), _Index.SCHEMA).write.partitionBy("is_level").option("compression", "zstd").parquet(out)
+        written = spark.read.schema(_Index.SCHEMA).parquet(out)
+        verdicts.append(written.where("NOT is_level").select("h1", "h2", "at", "end"))
+        for number in range(merge):
+            scratch.drop(f"{levels.pop(number)[0]}/is_level=true")
+        levels[merge] = out, written.where("is_level")
+    found = verdicts[0]
+    for more in verdicts[1:]:
+        found = found.unionAll(more)
+    found = scratch.table(found.groupBy("h1", "h2").agg(F.collect_set(F.struct("at", "end")).alias("runs")), "found")
+    runs = work.where("part < 0").select("h1", "h2", "key", "at").join(found, ["h1", "h2"])
+    return runs.groupBy("key").agg(F.collect_set(F.struct("at", "runs")).alias("found")), scratch
+
+
+def covered_bytes(n: int, found: list[dict]) -> np.ndarray:
     edge = np.zeros(n + 1, np.int64)
-    np.add.at(edge, [r["at"] for r in runs], 1)
-    np.add.at(edge, [r["end"] for r in runs], -1)
+    np.add.at(edge, [f["at"] + r["at"] for f in found for r in f["runs"]], 1)
+    np.add.at(edge, [f["at"] + r["end"] for f in found for r in f["runs"]], -1)
     return np.cumsum(edge[:-1]) > 0
 
 
-def keyed(docs: DataFrame) -> DataFrame:
-    """A key for each text. Rows with equal doc_id and text share it; they are repeats of each other."""
-    return docs.withColumn("key", F.xxhash64(F.col("doc_id"), F.coalesce("text", F.lit(""))))
+def text_key(doc_id: str, text: str) -> F.Column:
+    """128 bits that name a row's doc_id and text. Rows equal in both share it; they are repeats of
+    each other."""
+    return F.unhex(F.md5(F.concat(F.coalesce(F.col(doc_id).cast("string"), F.lit("")), F.lit("\0"), F.coalesce(F.col(text), F.lit(""))).cast("binary")))
 
 
-def remove_repeats(docs: DataFrame, length: int = LENGTH, together: int = TOGETHER) -> DataFrame:
+def remove_repeats(docs: DataFrame, length: int = LENGTH, **index: int) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 and ``kept`` (the bytes that stay) of each
     row of ``docs`` (doc_id, text).
 
     A null text is empty. Texts shorter than ``length`` lose nothing. Exact copies of longer texts
     lose everything. Repeated rows and null doc_ids are documents like others. Strings within one
-    text count, also where they overlap.
+    text count, also where they overlap. Very long texts are one document like others, in one task.
+    Other columns are not read. ``index``: see ``removed_runs``.
     """
-    rows = keyed(docs.select("doc_id", "text"))
-    runs, _ = removed_runs(rows.select("key", "text"), length, together=together)
+    rows = docs.select("doc_id", "text").withColumn("key", text_key("doc_id", "text"))
+    runs, _ = removed_runs(rows.select("key", "text"), length, **index)
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             n_bytes, n_removed, n_spans, sha, kept = [], [], [], [], []
-            for text, found in zip(_encoded(batch), batch.column("runs").to_pylist(), strict=True):
+            for text, found in zip(_encoded(batch), batch.column("found").to_pylist(), strict=True):
                 n_bytes.append(len(text))
                 if found:
                     covered = covered_bytes(len(text), found)
@@ -334,26 +474,25 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, together: int = TOGETH
                 ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"],
             )
 
-    joined = rows.join(runs, "key", "left").select("doc_id", "text", "runs")
+    joined = rows.join(runs, "key", "left").select("doc_id", "text", "found")
     return joined.mapInArrow(digest, f"doc_id {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")
 
 
-def cut_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
+def cut_repeats(docs: DataFrame, length: int = LENGTH, **index: int) -> DataFrame:
     """``docs`` (doc_id, text, n_chars and other columns) with the covered bytes cut out of ``text``.
 
     A null text stays null. Where a cut splits a character, what is left of it goes too. ``n_chars``
     is counted anew where it was not null and the text changed. No row is dropped.
     """
-    row = docs.select(F.struct(*docs.columns).alias("row"))
-    rows = row.withColumn("key", F.xxhash64("row.doc_id", F.coalesce("row.text", F.lit(""))))
-    runs, _ = removed_runs(rows.select("key", F.col("row.text").alias("text")), length)
+    rows = docs.select(F.struct(*docs.columns).alias("row")).withColumn("key", text_key("row.doc_id", "row.text"))
+    runs, _ = removed_runs(rows.select("key", F.col("row.text").alias("text")), length, **index)
     names = docs.columns
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             columns = dict(zip(names, batch.column("row").flatten(), strict=True))
             texts, chars = columns["text"].to_pylist(), columns["n_chars"].to_pylist()
-            for i, found in enumerate(batch.column("runs").to_pylist()):
+            for i, found in enumerate(batch.column("found").to_pylist()):
                 if found:
                     raw = texts[i].encode()
                     texts[i] = np.frombuffer(raw, np.uint8)[~covered_bytes(len(raw), found)].tobytes().decode("utf-8", "ignore")
@@ -361,4 +500,4 @@ def cut_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
             columns |= {"text": pa.array(texts, pa.string()), "n_chars": pa.array(chars, columns["n_chars"].type)}
             yield pa.RecordBatch.from_arrays(list(columns.values()), names)
 
-    return rows.join(runs, "key", "left").select("row", "runs").mapInArrow(cut, docs.schema)
+    return rows.join(runs, "key", "left").select("row", "found").mapInArrow(cut, docs.schema)

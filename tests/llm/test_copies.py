@@ -1,16 +1,18 @@
 import hashlib
+import os
 import random
 from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
-from lineweave.llm.common import Bytes, Scratch, read_table
+from lineweave.llm.common import Scratch, read_table
 from lineweave.llm.decontaminate import clean, contaminated, tile
 from lineweave.llm.graph import components
 from lineweave.llm.near_duplicates import bands, near_duplicates, prob_min_hash, shingles, similarity
-from lineweave.llm.repeats import LogIndex, anchors, cut_repeats, remove_repeats, repeated_windows
+from lineweave.llm.repeats import Level, _pieces, anchors, cut_repeats, enter, merge_depth, remove_repeats, removed_runs, text_key
 from tests.conftest import SF
 from tests.llm.conftest import edge_rows, prose
 
@@ -159,51 +161,96 @@ def test_repeats_against_brute_force(spark, edge, empty):
     texts += [r[1] for r in edge_rows() if r[0] != 5] + [prose(9, 100) + "é" + prose(8, 100), prose(9, 100) + "è" + prose(8, 100)]
     rows = [(i % 100, t) for i, t in enumerate(texts)]
     want = [(rows[i][0], *x[:4]) for i, x in enumerate(brute_repeats(texts, 200))]
-    for together in (20_000, 2):  # blocks of an anchor meet in one task, or only their windows' hashes do
-        got = remove_repeats(spark.createDataFrame(rows, "doc_id long, text string").repartition(4), together=together).collect()
+    for index in ({}, {"hot": 2, "batches": 7, "unit_bytes": 20_000}):  # blocks as they are, or cut into pieces
+        got = remove_repeats(spark.createDataFrame(rows, "doc_id long, text string").repartition(4), **index).collect()
         assert sorted(map(repr, (tuple(r)[:5] for r in got))) == sorted(map(repr, want))
     assert all(hashlib.sha256(bytes(r["kept"])).hexdigest() == r["kept_sha256"] for r in got)
     assert remove_repeats(empty).count() == 0
     assert remove_repeats(edge).count() == len(edge_rows())
 
 
-def test_repeats_tell_blocks_of_one_anchor_apart(spark):
-    """Different blocks around one frequent line whose 64-bit block hashes agree in their upper half."""
-    rng = np.random.default_rng(7)
-    pool = rng.integers(97, 123, 1 << 20, np.uint8).tobytes()
-    starts = np.arange(len(pool) - 63)
-    low = int(Bytes(pool).hashes(starts, starts + 64).argmin())
-    line = pool[low : low + 64]  # least hash of a million strings, so it is the anchor
-    around = rng.integers(97, 123, (200_000, 136), np.uint8).tobytes()
-    texts = [around[i : i + 68] + line + around[i + 68 : i + 136] for i in range(0, len(around), 136)]
-    seen: dict[tuple, bytes] = {}
-    pairs = []
-    for i in range(0, len(texts), 1000):
-        _, at, count, anchor, whole = anchors(texts[i : i + 1000])
-        assert len(at) == 1000 and (count == 1).all()
-        for t, a, h in zip(texts[i : i + 1000], anchor.tolist(), (whole >> np.uint64(32)).tolist(), strict=True):
-            if seen.setdefault((a, h), t) != t:
-                pairs.append((seen[a, h], t))
-    assert pairs
-    rows = [(i, t.decode()) for i, t in enumerate(pairs[0])]
-    for together in (20_000, 1):
-        got = remove_repeats(spark.createDataFrame(rows, "doc_id long, text string"), together=together).collect()
-        assert [r["n_removed"] for r in got] == [0, 0]
+def test_repeats_on_whole_table(spark):
+    rows = [(r["doc_id"], r["text"]) for r in read_table(spark, SF, "documents").select("doc_id", "text").collect()]
+    want = [(d, *x[:4]) for (d, _), x in zip(rows, brute_repeats([t for _, t in rows], 200), strict=True)]
+    got = [tuple(r)[:5] for r in remove_repeats(read_table(spark, SF, "documents")).collect()]
+    assert sorted(got, key=repr) == sorted(want, key=repr)
+
+
+def test_repeats_around_a_common_line(spark):
+    """A line of 150 bytes in ever different surroundings, some of which agree by a few bytes: no
+    task gets all its blocks, and none is taken for another."""
+    rng = random.Random(8)
+    line = prose(31, 60)[:150]
+    sides = [prose(500 + i, 40)[:90] for i in range(12)]
+    texts = ["".join([prose(900 + i, 30)[: rng.randint(0, 90)], rng.choice(sides)[rng.randint(0, 90) :], line, rng.choice(sides)[: rng.randint(0, 90)], prose(5000 + i, 30)]) for i in range(400)]
+    rows = list(enumerate(texts))
+    want = [(i, *x[:4]) for i, x in enumerate(brute_repeats(texts, 200))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    for hot in (10**9, 20):
+        assert sorted(tuple(r)[:5] for r in remove_repeats(docs, hot=hot).collect()) == want
+    assert sum(r[2] for r in want) > 10_000
+
+
+def test_copies_of_one_text_enter_once_a_batch(spark):
+    """Many copies, also rows alike in all columns: the index gets each block once for each group of
+    rows that a task has at hand."""
+    text = prose(77, 200)
+    docs = spark.range(4000).select((F.col("id") % 1000 * (F.col("id") % 2)).alias("doc_id"), F.lit(text).alias("text")).repartition(4)
+    got = remove_repeats(docs).select("n_removed").distinct().collect()
+    assert [r["n_removed"] for r in got] == [len(text)]
+    key = docs.withColumn("key", text_key("doc_id", "text")).select("key", "text")
+    runs, scratch = removed_runs(key)
+    work = spark.read.parquet(f"{scratch.root}/{[p for p in os.listdir(scratch.root.removeprefix('file://')) if p.endswith('work')][0]}")
+    blocks = len(anchors([text.encode()]).doc)
+    strings = work.where("part >= 0").groupBy("h1", "h2").agg(F.count("*").alias("rows"), F.sum("n").alias("n")).collect()
+    assert len(strings) == blocks and all(r["n"] == 4000 for r in strings)
+    assert max(r["rows"] for r in strings) <= 4 * 4 * 2  # tasks, batches, groups of 1,000 rows
+
+
+def test_pieces_share_units():
+    """Equal windows of hot anchors get the same number, whatever stands around them."""
+    line = prose(31, 60)[:150].encode()
+    texts = [prose(100 + i, 40).encode()[:140] + line + prose(200 + i % 3, 40).encode()[:140] for i in range(9)]
+    b = anchors(texts)
+    block, start, end, seed = _pieces(b, np.arange(len(b.doc)), np.ones(len(b.doc), bool), 200, 8)
+    data, where, seen = b.buffer.data.tobytes(), defaultdict(set), Counter()
+    for x, y, unit, d in zip(start.tolist(), end.tolist(), seed.tolist(), b.doc[block].tolist(), strict=True):
+        assert b.begin[d] <= x and y - x - 200 < 8 and y <= b.begin[d] + len(texts[d])
+        for i in range(x, y - 199):
+            where[data[i : i + 200]].add(unit)
+            seen[d] += 1
+    assert all(len(units) == 1 for units in where.values())
+    assert [seen[d] for d in range(9)] == [len(t) - 199 for t in texts]  # every window is in one piece
 
 
 @pytest.mark.parametrize("length", [10, 24])
-def test_log_index(length):
+def test_family_of_levels(length):
+    """Batches enter one by one; what the scans find is what counting finds, levels grow
+    geometrically, and each is a suffix array."""
     rng = random.Random(length)
-    blocks = ["".join(rng.choices("ab", k=rng.randint(length, 60))).encode() for _ in range(200)]
+    blocks = ["".join(rng.choices("ab\0", k=rng.randint(length, 60))).encode() for _ in range(200)]
     count = Counter(b[i : i + length] for b in blocks for i in range(len(b) - length + 1))
-    for batch in (7, 64, 1000):
-        for b, flags in zip(blocks, repeated_windows(blocks, length, batch), strict=True):
-            assert flags.tolist() == [count[b[i : i + length]] > 1 for i in range(len(b) - length + 1)]
-    index = LogIndex(length)
-    for i in range(0, 200, 5):
-        index.add(blocks[i : i + 5])
-    sizes = [len(k) for k, _ in index.levels]
-    assert all(a > 2 * b for a, b in zip(sizes, sizes[1:], strict=False)) and len(sizes) < 10
+    for batch in (5, 40, 200):
+        levels, flags = {}, [np.zeros(len(b) - length + 1, bool) for b in blocks]
+        for step, i in enumerate(range(0, 200, batch)):
+            some = blocks[i : i + batch]
+            names = np.stack([np.arange(i, i + len(some)), np.zeros(len(some), int)], 1)
+            fresh, places = Level.build(np.frombuffer(b"".join(some), np.uint8), np.array([len(b) for b in some]), names, length)
+            owner, first, last = fresh.runs(places, length)
+            carry, found = enter(fresh, levels, merge_depth(step), length)
+            for name, a, e in [(names[owner], first, last), *found]:
+                for k, x, y in zip(name[:, 0].tolist(), a.tolist(), e.tolist(), strict=True):
+                    flags[k][x : y - length + 1] = True
+            for number in range(merge_depth(step)):
+                del levels[number]
+            levels[merge_depth(step)] = Level.from_bytes(carry.to_bytes())
+            assert sorted(levels) == [k for k in range(9) if (step + 1) >> k & 1]
+            for level in levels.values():
+                text = level.text.tobytes()
+                windows = [text[p : p + length] for p in level.order.tolist()]
+                assert windows == sorted(set(windows))
+        for b, f in zip(blocks, flags, strict=True):
+            assert f.tolist() == [count[b[i : i + length]] > 1 for i in range(len(b) - length + 1)]
 
 
 def test_cut_repeats_keeps_rows_and_columns(spark, edge):
