@@ -128,35 +128,47 @@ class Level:
         begin = np.cumsum(size) - size
         at = np.repeat(begin - (np.cumsum(count) - count), count) + np.arange(int(count.sum()))
         level = cls(text, size, names, at)
-        return level._sorted(level.windows(length))
+        windows = np.empty((len(at), length), np.uint8)
+        level._windows(windows)
+        return level._sorted(windows)
 
-    def windows(self, length: int) -> np.ndarray:
-        """The windows themselves, in the array's order, as fixed-width byte strings."""
-        if not len(self.order):
-            return np.zeros(0, f"S{length}")
-        some = np.lib.stride_tricks.sliding_window_view(self.text, length)[self.order]
-        return np.ascontiguousarray(some).view(f"S{length}").ravel()
+    def _windows(self, out: np.ndarray) -> None:
+        """Puts the windows themselves, in the array's order, into the rows of ``out``."""
+        if len(self.order):
+            view = np.lib.stride_tricks.sliding_window_view(self.text, out.shape[1])
+            for i in range(0, len(self.order), 4096):
+                out[i : i + 4096] = view[self.order[i : i + 4096]]
 
     def _sorted(self, windows: np.ndarray) -> tuple[Level, np.ndarray]:
         """Sorts by the windows (a stable sort: it merges what is in order already), finds equal
-        neighbours, and keeps one of each. All have one width, so trailing zeros compare right."""
-        by = np.argsort(windows, kind="stable")
-        windows, order = windows[by], self.order[by]
-        same = windows[1:] == windows[:-1]
-        twice = np.zeros(len(order), bool)
+        neighbours, and keeps one of each."""
+        n, length = windows.shape
+        # one fixed width for all, so the order of such strings is that of their bytes, zeros included
+        by = np.argsort(windows.view(f"S{length}").ravel(), kind="stable") if n else np.zeros(0, np.int64)
+        order = self.order[by]
+        tail = windows[:, -8:].copy().view(np.uint64).ravel()[by] if n and length >= 8 else by * 0
+        maybe = np.flatnonzero(tail[1:] == tail[:-1])
+        same = np.zeros(max(0, n - 1), bool)
+        for i in range(0, len(maybe), 1 << 14):
+            some = maybe[i : i + (1 << 14)]
+            same[some] = (windows[by[some]] == windows[by[some + 1]]).all(1)
+        twice = np.zeros(n, bool)
         twice[1:] |= same
         twice[:-1] |= same
-        keep = np.concatenate(([True], ~same))[: len(order)]
+        keep = np.concatenate(([True], ~same))[:n]
         return Level(self.text, self.size, self.names, order[keep]), order[twice]
 
     def merged(self, other: Level, length: int) -> tuple[Level, np.ndarray]:
         """Both arrays in one, by a merge of the two sorted sequences, and the places (in the joint
         text) of windows that met an equal one."""
+        n = len(self.order)
+        windows = np.empty((n + len(other.order), length), np.uint8)
+        self._windows(windows[:n]), other._windows(windows[n:])
         joint = Level(
             np.concatenate([self.text, other.text]), np.concatenate([self.size, other.size]),
             np.concatenate([self.names, other.names]), np.concatenate([self.order, other.order + len(self.text)]),
         )
-        return joint._sorted(np.concatenate([self.windows(length), other.windows(length)]))
+        return joint._sorted(windows)
 
     def runs(self, places: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Windows' places as runs within strings: number of the string, first byte, last byte + 1."""
@@ -169,25 +181,30 @@ class Level:
         return owner[first], places[first] - begin[owner[first]], places[last[: len(first)]] - begin[owner[first]] + length
 
     def to_bytes(self) -> bytes:
-        """The level without the strings that have no window left in it."""
+        """The level without the strings that have no window left in it; the text compressed, as
+        strings of one anchor are much alike."""
         begin = np.cumsum(self.size) - self.size
         owner = np.searchsorted(begin, self.order, side="right") - 1
         used = np.zeros(len(self.size), bool)
         used[owner] = True
-        text, size = self.text[np.repeat(used, self.size)], self.size[used]
-        shift = begin - np.cumsum(np.where(used, self.size, 0)) + np.where(used, self.size, 0)
+        number = np.cumsum(used) - 1
+        text, size = pa.compress(self.text[np.repeat(used, self.size)].tobytes(), "zstd", asbytes=True), self.size[used]
         head = self._HEAD.pack(len(size), len(self.order), len(text))
-        parts = [size.astype("<u4"), self.names[used].astype("<i8"), (self.order - shift[owner]).astype("<u4"), text]
-        return head + b"".join(x.tobytes() for x in parts)
+        wide = "<u2" if len(size) <= 1 << 16 else "<u4"
+        parts = [size.astype("<u4"), self.names[used].astype("<i8"), number[owner].astype(wide), (self.order - begin[owner]).astype(np.uint8)]
+        return head + b"".join(x.tobytes() for x in parts) + text
 
     @classmethod
     def from_bytes(cls, blob: bytes) -> Level:
-        n, windows, length = cls._HEAD.unpack_from(blob)
+        n, windows, packed = cls._HEAD.unpack_from(blob)
         at = cls._HEAD.size
         size = np.frombuffer(blob, "<u4", n, at).astype(np.int64)
         names = np.frombuffer(blob, "<i8", 2 * n, at + 4 * n).reshape(n, 2)
-        order = np.frombuffer(blob, "<u4", windows, at + 20 * n).astype(np.int64)
-        return cls(np.frombuffer(blob, np.uint8, length, at + 20 * n + 4 * windows), size, names, order)
+        wide = np.dtype("<u2" if n <= 1 << 16 else "<u4")
+        owner = np.frombuffer(blob, wide, windows, at + 20 * n).astype(np.int64)
+        inside = np.frombuffer(blob, np.uint8, windows, at + 20 * n + wide.itemsize * windows).astype(np.int64)  # a block has fewer windows
+        text = pa.decompress(memoryview(blob)[len(blob) - packed :], int(size.sum()), "zstd", asbytes=True) if n else b""
+        return cls(np.frombuffer(text, np.uint8), size, names, (np.cumsum(size) - size)[owner] + inside)
 
 
 def enter(fresh: Level, levels: dict[int, Level], merge: int, length: int) -> tuple[Level, list[tuple[np.ndarray, np.ndarray, np.ndarray]]]:
@@ -219,11 +236,6 @@ def _encoded(batch: pa.RecordBatch) -> list[bytes]:
     return [b"" if t is None else t for t in batch.column("text").cast(pa.large_binary()).to_pylist()]
 
 
-def _runs(covered: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    edge = np.diff(np.concatenate(([0], covered.view(np.int8), [0])))
-    return np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
-
-
 def _pieces(blocks: Blocks, some: np.ndarray, hot: np.ndarray, length: int, span: int) -> tuple[np.ndarray, ...]:
     """Of the blocks numbered ``some``: block, first byte and last byte + 1 in the buffer, and the
     number that says to which unit it goes. Blocks of ``hot`` anchors are cut into pieces."""
@@ -272,7 +284,7 @@ class _Index:
         owner, start, end = fresh.runs(places, self.length)
         found.append((names[owner], start, end))
         own = sum(len(f[0]) for f in found)
-        carry, more = enter(fresh, levels, self.merge, self.length)
+        carry, more = enter(fresh, levels, self.merge if self.keep else 0, self.length)
         found += more
         name, start, end = (np.concatenate(x) for x in zip(*found, strict=True))
         if len(name):
@@ -428,11 +440,30 @@ def removed_runs(docs: DataFrame, length: int = LENGTH, k: int = K, batches: int
     return runs.groupBy("key").agg(F.collect_set(F.struct("at", "runs")).alias("found")), scratch
 
 
-def covered_bytes(n: int, found: list[dict]) -> np.ndarray:
-    edge = np.zeros(n + 1, np.int64)
-    np.add.at(edge, [f["at"] + r["at"] for f in found for r in f["runs"]], 1)
-    np.add.at(edge, [f["at"] + r["end"] for f in found for r in f["runs"]], -1)
-    return np.cumsum(edge[:-1]) > 0
+def kept_bytes(texts: list[bytes], found: pa.ListArray) -> tuple[list[bytes], np.ndarray, np.ndarray]:
+    """Of some texts and what ``removed_runs`` found of each: the bytes that stay, how many go, and in
+    how many stretches."""
+    size = np.array([len(t) for t in texts], np.int64)
+    begin = np.cumsum(size + 1) - size - 1  # a byte between texts, so that stretches end with their text
+    struct_ = found.values
+    runs = struct_.field("runs")
+    doc = np.repeat(np.arange(len(found)), np.diff(found.offsets.to_numpy()))
+    first = int(found.offsets[0].as_py()) if len(found) else 0
+    inner = runs.offsets.to_numpy()[first : first + len(doc) + 1]
+    base = np.repeat(begin[doc] + struct_.field("at").to_numpy(zero_copy_only=False)[first : first + len(doc)], np.diff(inner))
+    at, end = (runs.values.field(c).to_numpy(zero_copy_only=False)[inner[0] : inner[-1]] if len(doc) else np.zeros(0, np.int64) for c in ("at", "end"))
+    edge = np.zeros(int(size.sum()) + len(texts) + 1, np.int32)
+    np.add.at(edge, base + at, 1)
+    np.add.at(edge, base + end, -1)
+    covered = np.cumsum(edge[:-1], dtype=np.int32) > 0
+    removed = np.add.reduceat(covered, begin, dtype=np.int64) if len(texts) else size
+    starts = np.diff(covered.view(np.int8), prepend=0) == 1
+    spans = np.add.reduceat(starts, begin, dtype=np.int64) if len(texts) else size
+    out = list(texts)
+    for i in np.flatnonzero(removed).tolist():
+        mine = covered[begin[i] : begin[i] + size[i]]
+        out[i] = b"" if removed[i] == size[i] else np.frombuffer(texts[i], np.uint8)[~mine].tobytes()
+    return out, removed, spans
 
 
 def text_key(doc_id: str, text: str) -> F.Column:
@@ -456,22 +487,12 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, **index: int) -> DataF
 
     def digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            n_bytes, n_removed, n_spans, sha, kept = [], [], [], [], []
-            for text, found in zip(_encoded(batch), batch.column("found").to_pylist(), strict=True):
-                n_bytes.append(len(text))
-                if found:
-                    covered = covered_bytes(len(text), found)
-                    n_spans.append(len(_runs(covered)[0]))
-                    n_removed.append(int(covered.sum()))
-                    text = np.frombuffer(text, np.uint8)[~covered].tobytes()
-                else:
-                    n_spans.append(0), n_removed.append(0)
-                sha.append(hashlib.sha256(text).hexdigest())
-                kept.append(text)
-            numbers = [pa.array(x, pa.int64()) for x in (n_bytes, n_removed, n_spans)]
+            texts = _encoded(batch)
+            kept, removed, spans = kept_bytes(texts, batch.column("found"))
+            numbers = [pa.array(np.array([len(t) for t in texts], np.int64)), pa.array(removed), pa.array(spans)]
+            sha = pa.array([hashlib.sha256(t).hexdigest() for t in kept], pa.string())
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), *numbers, pa.array(sha, pa.string()), pa.array(kept, pa.binary())],
-                ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"],
+                [batch.column("doc_id"), *numbers, sha, pa.array(kept, pa.binary())], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"]
             )
 
     joined = rows.join(runs, "key", "left").select("doc_id", "text", "found")
@@ -492,11 +513,10 @@ def cut_repeats(docs: DataFrame, length: int = LENGTH, **index: int) -> DataFram
         for batch in batches:
             columns = dict(zip(names, batch.column("row").flatten(), strict=True))
             texts, chars = columns["text"].to_pylist(), columns["n_chars"].to_pylist()
-            for i, found in enumerate(batch.column("found").to_pylist()):
-                if found:
-                    raw = texts[i].encode()
-                    texts[i] = np.frombuffer(raw, np.uint8)[~covered_bytes(len(raw), found)].tobytes().decode("utf-8", "ignore")
-                    chars[i] = chars[i] if chars[i] is None else len(texts[i])
+            kept, removed, _ = kept_bytes([b"" if t is None else t.encode() for t in texts], batch.column("found"))
+            for i in np.flatnonzero(removed).tolist():
+                texts[i] = kept[i].decode("utf-8", "ignore")
+                chars[i] = chars[i] if chars[i] is None else len(texts[i])
             columns |= {"text": pa.array(texts, pa.string()), "n_chars": pa.array(chars, columns["n_chars"].type)}
             yield pa.RecordBatch.from_arrays(list(columns.values()), names)
 
