@@ -133,10 +133,10 @@ def mix(h: np.ndarray) -> np.ndarray:
 
 
 class Bytes:
-    """Polynomial hashes of any runs of one byte buffer, from a single prefix sum."""
+    """Polynomial hashes of any runs of one buffer of bytes (or of other numbers), from a single prefix sum."""
 
-    def __init__(self, data: bytes):
-        self.data = np.frombuffer(data, np.uint8)
+    def __init__(self, data: bytes | np.ndarray):
+        self.data = data if isinstance(data, np.ndarray) else np.frombuffer(data, np.uint8)
         self.n = len(self.data)
         p = powers(self.n + 1)
         self.prefix = np.zeros(self.n + 1, np.uint64)

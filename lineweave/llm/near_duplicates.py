@@ -6,7 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lineweave.llm.common import Bytes, Scratch, gram_hashes, mix, small_batches, word_runs
@@ -209,7 +209,7 @@ def joining_links(ids: np.ndarray, roots: np.ndarray, own: np.ndarray, texts: li
 
 
 def _block_joiner(words: int, least: float):
-    """Runs joining_links on each (cluster, i, j) of sorted rows."""
+    """Runs joining_links on each (bucket, i, j) of sorted rows."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         group: list[tuple] = []
@@ -222,7 +222,7 @@ def _block_joiner(words: int, least: float):
             return pa.RecordBatch.from_arrays([pa.array([f[k] for f in found], pa.int64()) for k in (0, 1)], ["a", "b"])
 
         for batch in batches:
-            keys = zip(*(batch.column(c).to_pylist() for c in ("cluster", "i", "j")), strict=True)
+            keys = zip(*(batch.column(c).to_pylist() for c in ("bucket", "i", "j")), strict=True)
             rows = zip(*(batch.column(c).to_pylist() for c in ("id", "root", "own")), _bytes(batch.column("text")), strict=True)
             for k, row in zip(keys, rows, strict=True):
                 if k != key and group:
@@ -236,92 +236,102 @@ def _block_joiner(words: int, least: float):
     return run
 
 
+def text_name(text: str = "text") -> Column:
+    """128 bits that name a text; null counts as empty."""
+    return F.unhex(F.md5(F.coalesce(F.col(text), F.lit("")).cast("binary")))
+
+
 def near_duplicates(docs: DataFrame, words: int = WORDS, least: float = SIMILARITY, n_bands: int = BANDS, rows: int = ROWS) -> tuple[DataFrame, Scratch]:
-    """(doc_id, class_id, id, first) of each row of ``docs`` (doc_id, text), and the scratch it reads.
+    """(doc_id, class_id, name, first) of each row of ``docs`` (doc_id, text), and the scratch it reads.
 
     A class is a connected component of texts linked by a similarity of ``least`` or more;
-    ``class_id`` is its least doc_id. Equal texts are one node of the graph from the start, named
-    by a 64-bit hash (``id``), so copies are never compared with each other. ``first`` marks the row
-    that stands for its class, the one with the least doc_id (of several, the least ``id``; rows
-    equal in both are all marked).
+    ``class_id`` is its least doc_id. Equal texts are one node of the graph from the start: each
+    distinct text (told apart by 128 bits, ``name``) gets a number of its own, and only one of its
+    copies is signed and compared. ``first`` marks the row that stands for its class, the one with the
+    least doc_id (of several, the least ``name``; rows equal in both are all marked).
 
     Candidates share a band of the signatures of counted shingles, which follow probability Jaccard,
     or of distinct ones, which follow plain Jaccard; a text without repeated shingles has one
     signature for both. First each member of a bucket of any size meets two others, those first
     and last by a hash, which are mostly the same ones in all buckets of a group of copies. The links
-    found join texts into components. Then, where texts that hang together by shared bands are still
-    of several components, all pairs of different components are compared exactly, in blocks of
-    ``BLOCK`` texts: a task gets two blocks, counts common shingles by postings and returns only
-    links that join components, fewer than it has texts. So no pair that shares a band goes unseen,
-    and pairs are never rows.
+    found join texts into components. Then, in each bucket whose texts are still of several
+    components, all pairs of different components are compared exactly, in blocks of ``BLOCK``
+    texts; buckets of the same texts count once. A task gets two blocks of one bucket, counts common
+    shingles by postings and returns only links that join components, fewer than it has texts. So
+    no pair that shares a band goes unseen, and pairs are never rows.
 
     A null text counts as empty; empty texts are equal. A text of fewer words than a shingle is
-    one shingle. Rows with a null doc_id take part, and a class of such rows alone has a null
-    class_id. Rows that share a doc_id each get the class of their own text.
+    one shingle. Very long texts are compared whole. Rows with a null doc_id take part, and a class
+    of such rows alone has a null class_id. Rows that share a doc_id each get the class of their own
+    text. An empty table gives no row; other columns are not read.
     """
     spark = docs.sparkSession
     small_batches(spark)
     scratch = Scratch(spark, "near")
     kind = docs.schema["doc_id"].dataType
-    nodes = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).withColumn("id", F.xxhash64("text"))
+    named = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).withColumn("name", text_name())
+    owner = F.min(F.struct(F.col("doc_id").isNull().alias("nameless"), "doc_id")).alias("owner")
+    texts = named.groupBy("name").agg(F.first("text").alias("text"), owner)
+    texts = scratch.table(texts.withColumn("id", F.monotonically_increasing_id()), "texts")  # written, so the numbers stay
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids, texts = batch.column("id").to_numpy(), _bytes(batch.column("text"))
-            for first, some in _in_chunks(texts):
+            ids, some_texts = batch.column("id").to_numpy(), _bytes(batch.column("text"))
+            for first, some in _in_chunks(some_texts):
                 doc, h, n = shingles(some, words)
                 present = np.unique(doc)
                 if not len(present):
                     continue
                 number = np.searchsorted(present, doc)
-                out = bands(prob_min_hash(number, h, n, len(present), n_bands * rows), n_bands, rows)
+                bucket = bands(prob_min_hash(number, h, n, len(present), n_bands * rows), n_bands, rows).ravel()
+                own = np.repeat(first + present, n_bands)
                 # texts with repeated shingles also get the signature of their distinct ones
                 twice = np.unique(number[n > 1])
                 if len(twice):
                     again = np.isin(number, twice)
                     plain = prob_min_hash(np.searchsorted(twice, number[again]), h[again], np.ones(int(again.sum()), np.int64), len(twice), n_bands * rows)
-                    out = np.concatenate([out, bands(plain, n_bands, rows)])
-                own = np.repeat(ids[first + np.concatenate([present, present[twice]])], n_bands)
-                yield pa.RecordBatch.from_arrays([pa.array(out.ravel().view(np.int64)), pa.array(own)], ["bucket", "id"])
-
-    members = nodes.select("id", "text").mapInArrow(sign, "bucket long, id long").distinct()
+                    bucket = np.concatenate([bucket, bands(plain, n_bands, rows).ravel()])
+                    own = np.concatenate([own, np.repeat(first + present[twice], n_bands)])
+                    order = np.lexsort((bucket, own))
+                    bucket, own = bucket[order], own[order]
+                    new = np.concatenate(([True], (bucket[1:] != bucket[:-1]) | (own[1:] != own[:-1])))
+                    bucket, own = bucket[new], own[new]
+                yield pa.RecordBatch.from_arrays([pa.array(bucket.view(np.int64)), pa.array(ids[own])], ["bucket", "id"])
+
+    members = texts.select("id", "text").mapInArrow(sign, "bucket long, id long")
     place = F.xxhash64("id", F.lit(11))
     sized = members.groupBy("bucket").agg(F.count("*").alias("n"), F.min(F.struct(place, "id")).alias("first"), F.max(F.struct(place, "id")).alias("last"))
-    sized = sized.where("n > 1").select("bucket", F.col("first.id").alias("first"), F.col("last.id").alias("last"))
+    sized = sized.where("n > 1").select("bucket", "n", F.col("first.id").alias("first"), F.col("last.id").alias("last"))
     # only buckets with company are kept
     shared = scratch.table(members.join(sized, "bucket"), "shared")
     ordered = lambda x, y: F.array_sort(F.array(x, y))
     pairs = shared.select(F.explode(F.array(ordered(F.col("id"), F.col("first")), ordered(F.col("id"), F.col("last")))).alias("p"))
     pairs = pairs.select(F.col("p")[0].alias("a"), F.col("p")[1].alias("b")).where("a <> b").distinct()
-    # one text of each node that is in a bucket with others
     wanted = scratch.table(shared.select("id").distinct(), "wanted")
-    picked = nodes.select("id", "doc_id").join(wanted, "id").groupBy("id").agg(F.min("doc_id").alias("doc_id"))
-    same = (F.col("n.id") == F.col("p.id")) & F.col("n.doc_id").eqNullSafe(F.col("p.doc_id"))
-    texts = nodes.alias("n").join(picked.alias("p"), same)
-    texts = texts.select(F.col("n.id").alias("id"), F.col("n.text").alias("text")).dropDuplicates(["id"])
-    texts = scratch.table(texts, "texts")
-    links = scratch.table(_verified(pairs, texts, words, least), "links")
+    company = scratch.table(texts.select("id", "text").join(wanted, "id"), "company")
+    links = scratch.table(_verified(pairs, company, words, least), "links")
     roots = components(links, scratch)
 
-    # texts that hang together by shared bands, proven similar or not
-    coarse = components(pairs, scratch)
-    name = lambda df, c: df.select(F.col("node").alias("id"), F.col("root").alias(c))
-    state = wanted.join(name(coarse, "cluster"), "id", "left").join(name(roots, "root"), "id", "left")
-    state = scratch.table(state.select("id", F.coalesce("cluster", "id").alias("cluster"), F.coalesce("root", "id").alias("root")), "state")
-    sizes = state.groupBy("cluster", "root").agg(F.count("*").alias("n")).groupBy("cluster").agg(F.sum("n").alias("n"), F.count("*").alias("kinds"))
-    sizes = scratch.table(sizes.where("kinds > 1 AND n > 2").select("cluster", F.ceil(F.col("n") / BLOCK).alias("blocks")), "sizes")
-    own = F.pmod(F.xxhash64("id", F.lit(5)), F.col("blocks"))
-    work = state.join(sizes, "cluster").withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    work = work.select("cluster", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "id", "root")
-    work = work.join(texts, "id").repartition("cluster", "i", "j").sortWithinPartitions("cluster", "i", "j", "id")
+    # buckets that the first pass did not settle: in one of three texts or fewer all pairs have met
+    root = F.coalesce("root", "id").alias("root")
+    tagged = shared.where("n > 3").select("bucket", "id").join(roots.select(F.col("node").alias("id"), "root"), "id", "left").select("bucket", "id", root)
+    tagged = scratch.table(tagged, "tagged")
+    prints = [F.expr(f"bit_xor(xxhash64(id, {k}))").alias(f"x{k}") for k in (1, 2)]
+    unsettled = tagged.groupBy("bucket").agg(F.count("*").alias("n"), F.min("root").alias("low"), F.max("root").alias("high"), *prints).where("low <> high")
+    unsettled = unsettled.groupBy("n", "x1", "x2").agg(F.min("bucket").alias("bucket")).select("bucket", F.ceil(F.col("n") / BLOCK).alias("blocks"))
+    work = tagged.join(scratch.table(unsettled, "unsettled"), "bucket")
+    work = work.withColumn("own", F.pmod(F.xxhash64("id", F.lit(5)), F.col("blocks"))).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    work = work.select("bucket", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "id", "root")
+    work = scratch.table(work, "work").join(company, "id").repartition("bucket", "i", "j").sortWithinPartitions("bucket", "i", "j", "id")
     more = scratch.table(work.mapInArrow(_block_joiner(words, least), "a long, b long"), "more")
     if not more.isEmpty():
         roots = components(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).union(more), scratch)
 
-    rooted = nodes.select("doc_id", "id").join(roots.select(F.col("node").alias("id"), "root"), "id", "left")
-    rooted = rooted.select("doc_id", "id", F.coalesce("root", "id").alias("root"))
-    head = F.min(F.struct(F.col("doc_id").isNull().alias("nameless"), "doc_id", "id")).alias("head")
-    # written, as are others above, so that both sides of the join are exchanges that Spark can split
-    heads = scratch.table(rooted.groupBy("root").agg(head), "heads")
-    mine = (F.col("id") == F.col("head.id")) & F.col("doc_id").eqNullSafe(F.col("head.doc_id"))
-    return rooted.join(heads, "root").select("doc_id", F.col("head.doc_id").cast(kind).alias("class_id"), "id", mine.alias("first")), scratch
+    # classes of texts first; only the last join has a row per document
+    rooted = texts.select("id", "name", "owner").join(roots.select(F.col("node").alias("id"), "root"), "id", "left").select("name", "owner", root)
+    rooted = scratch.table(rooted, "rooted")
+    heads = scratch.table(rooted.groupBy("root").agg(F.min(F.struct("owner", "name")).alias("head")), "heads")
+    classes = scratch.table(rooted.join(heads, "root").select("name", "head"), "classes")
+    mine = (F.col("name") == F.col("head.name")) & F.col("doc_id").eqNullSafe(F.col("head.owner.doc_id"))
+    result = named.select("doc_id", "name").join(classes, "name")
+    return result.select("doc_id", F.col("head.owner.doc_id").cast(kind).alias("class_id"), "name", mine.alias("first")), scratch
