@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 from lineweave.llm.common import Scratch, read_table
 from lineweave.llm.decontaminate import clean
-from lineweave.llm.near_duplicates import near_duplicates
+from lineweave.llm.near_duplicates import near_duplicates, text_name
 from lineweave.llm.packing import pack
 from lineweave.llm.quality import quality
 from lineweave.llm.repeats import cut_repeats
@@ -39,11 +39,12 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    docs = _only(docs).withColumn("id", F.xxhash64(F.coalesce("text", F.lit(""))))
+    """One row of each class of near duplicates, the one with the least doc_id."""
+    docs = _only(docs).withColumn("name", text_name())
     classes, _ = near_duplicates(docs.select("doc_id", "text"))
-    first = classes.where("first").select("doc_id", "id")
-    same = (docs["id"] == first["id"]) & docs["doc_id"].eqNullSafe(first["doc_id"])
-    return docs.join(first, same, "left_semi").dropDuplicates(["doc_id", "id"]).select(*COLUMNS)
+    first = classes.where("first").select("doc_id", "name")
+    same = (docs["name"] == first["name"]) & docs["doc_id"].eqNullSafe(first["doc_id"])
+    return docs.join(first, same, "left_semi").dropDuplicates(["doc_id", "name"]).select(*COLUMNS)
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
