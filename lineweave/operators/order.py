@@ -8,6 +8,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lineweave.functions.grammar import ORDER
+from lineweave.sources.shared import Scratch
+
+#: Lines that splitters are sampled from.
+SAMPLE = 4096
 
 
 def sort_lines(parsed: DataFrame) -> DataFrame:
@@ -25,21 +29,22 @@ def ranges(parsed: DataFrame, n: int | None = None) -> DataFrame:
 def ranked(parsed: DataFrame, *ties: str) -> DataFrame:
     """Adds ``rank`` (from 1) in the global order, ties by further columns.
 
-    Ranks count within string parts' buckets, not in one task: lines are dealt by the first eight
-    bytes of the string part, each bucket is ranked by itself, and a running sum over the buckets'
-    counts, far fewer than the lines, gives their offsets.
+    One range exchange deals lines by all sort columns (and, as the last one, by where they were
+    read, so that even equal lines spread over the ranges); each range is sorted and written once
+    with its rows' numbers. A running sum over the ranges' counts, one row for each range, gives
+    their offsets; no window has a row per line.
     """
-    bucketed = parsed.withColumn("_bucket", F.rpad(F.hex(F.substring("string_part", 1, 8)), 16, "0"))
-    counts = bucketed.groupBy("_bucket").agg(F.count("*").alias("_n"))
-    before = Window.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
-    base = counts.select("_bucket", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_base"))
-    inside = Window.partitionBy("_bucket").orderBy(*ORDER, *ties)
-    return (
-        bucketed.withColumn("_r", F.row_number().over(inside))
-        .join(base, "_bucket")
-        .withColumn("rank", F.col("_base") + F.col("_r"))
-        .drop("_bucket", "_r", "_base")
-    )
+    numbered = parsed.withColumn("_read", F.monotonically_increasing_id())
+    keys = [*ORDER, *ties, "_read"]
+    dealt = numbered.repartitionByRange(*keys).sortWithinPartitions(*keys).withColumn("_at", F.monotonically_increasing_id()).drop("_read")
+    # written, as a range exchange may draw other borders when it is computed again
+    placed = Scratch(parsed.sparkSession, "ranked").table(dealt, "lines")
+    inside = F.col("_at").bitwiseAND(F.lit((1 << 33) - 1))
+    counts = placed.groupBy(F.shiftright("_at", 33).alias("_range")).agg(F.count("*").alias("_n"))
+    before = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    base = counts.select("_range", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_base"))
+    placed = placed.withColumn("_range", F.shiftright("_at", 33))
+    return placed.join(base, "_range").withColumn("rank", F.col("_base") + inside + 1).drop("_at", "_range", "_base")
 
 
 @dataclass(frozen=True)
@@ -93,6 +98,25 @@ def splitters(parsed: DataFrame, n: int) -> DataFrame:
     return ranked(parsed).join(F.broadcast(places), "rank").select("slice", "rank", "line")
 
 
+def sampled_splitters(parsed: DataFrame, n: int, sample: int = SAMPLE) -> DataFrame:
+    """slice, line: n - 1 lines that cut the relation into about equal shares, from a bounded sample.
+
+    The sample is the ``sample`` distinct lines of least md5, the same on every run and in any
+    partitioning; tasks keep heaps of that size. Fewer distinct lines than slices give fewer splitters.
+    """
+    chosen = parsed.select(*ORDER).distinct().orderBy(F.md5("line"), "line").limit(sample)
+    placed = chosen.withColumn("_r", F.row_number().over(Window.orderBy(*ORDER)) - 1)  # at most `sample` rows
+    total = chosen.count()
+    wanted = sorted({k * total // n: k for k in range(n - 1, 0, -1) if k * total // n}.items())
+    places = parsed.sparkSession.createDataFrame([(k, r) for r, k in wanted], "slice int, _r int")
+    return placed.join(F.broadcast(places), "_r").select("slice", "line")
+
+
+def bit_reversed(n: Column, bits: int) -> Column:
+    """The lowest ``bits`` bits of a number in reverse order: 0, 1, 2 ... spread evenly over the range."""
+    return F.conv(F.reverse(F.lpad(F.bin(n), bits, "0")), 2, 10).cast("long")
+
+
 def top(parsed: DataFrame, k: int) -> DataFrame:
     """The first k lines: a bounded heap per task, no full sort."""
     return parsed.orderBy(*ORDER).limit(k)

@@ -8,10 +8,14 @@ import secrets
 import shutil
 from collections.abc import Callable, Iterator
 from pathlib import Path
+from typing import BinaryIO
 
-from pyspark.sql import DataFrame
+from py4j.protocol import Py4JJavaError
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
+from lineweave.sources.shared import Scratch
+
 
 class PublishError(OSError):
     """The finished file could not take its place."""
@@ -47,37 +51,69 @@ def work_folder(parent: str) -> Iterator[str]:
         shutil.rmtree(path, ignore_errors=True)
 
 
-def write_parts(df: DataFrame, folder: str, line: str = "line") -> None:
-    """Part files in partition order. Bytes pass unchanged; any store that Spark writes will do."""
-    df.select(F.col(line).cast("string").alias("value")).write.option("lineSep", "\n").option("compression", "none").text(folder)
+def write_parts(df: DataFrame, folder: str, line: str = "line") -> tuple[int, int]:
+    """Part files in partition order; returns the lines and bytes that the tasks wrote, as they
+    counted them. Bytes pass unchanged; any store that Spark writes will do."""
+    seen = Observation()
+    size = F.coalesce(F.sum(F.octet_length(line).cast("long") + 1), F.lit(0)).alias("bytes")
+    counted = df.select(line).observe(seen, F.count("*").alias("lines"), size)
+    counted.select(F.col(line).cast("string").alias("value")).write.option("lineSep", "\n").option("compression", "none").text(folder)
+    try:
+        found = seen.get
+    except Py4JJavaError:  # a plan that turned out empty has no metrics
+        found = {}
+    return found.get("lines", 0), found.get("bytes", 0)
+
+
+def _append(spark: SparkSession, folder: str, work: str, out: BinaryIO) -> int:
+    """Appends the part files of a folder, in their order; a store that is not local is fetched file
+    by file. Returns the bytes that the store says they have."""
+    jvm = spark.sparkContext._jvm
+    path = jvm.org.apache.hadoop.fs.Path(folder)
+    fs = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    parts = sorted((f for f in fs.listStatus(path) if f.getPath().getName().startswith("part-")), key=lambda f: f.getPath().getName())
+    total = 0
+    for part in parts:
+        total += part.getLen()
+        local = part.getPath().toUri().getPath() if fs.getScheme() == "file" else os.path.join(work, "part")
+        if fs.getScheme() != "file":
+            fs.copyToLocalFile(False, part.getPath(), jvm.org.apache.hadoop.fs.Path(f"file://{os.path.abspath(local)}"), True)
+        with open(local, "rb") as f:
+            shutil.copyfileobj(f, out, 1 << 20)
+        fs.delete(part.getPath(), False)
+    return total
 
 
 def publish(df: DataFrame, destination: str, temp: str, line: str = "line", accept: Callable[[], None] | None = None) -> int:
-    """Writes an ordered DataFrame's lines to one local file; returns its bytes.
+    """Writes an ordered DataFrame's lines to one file on the driver's disk; returns its bytes.
 
-    Tasks write ordered part files; the driver appends them in order to a staging file, checks the
-    size, and renames it. ``accept`` runs once the parts are written and may still raise. An existing result stays untouched until then, and a link is replaced, not
-    followed. Where one file is not wanted, ``write_parts`` is the distributed end of the sort.
+    Tasks write ordered part files: below ``temp`` if they run on this machine, else in the folder
+    that the cluster shares. The driver appends them in order to a staging file. Only if that has
+    exactly the bytes that the tasks counted is it renamed to ``destination``; whatever else is there, parts
+    that went missing among it, raises. ``accept`` runs once the parts are written and may still
+    raise. An existing result stays untouched until then, and a link is replaced, not followed.
+    Where one file is not wanted, ``write_parts`` is the distributed end of the sort.
     """
+    spark = df.sparkSession
     os.makedirs(temp, exist_ok=True)
-    with work_folder(temp) as folder, staging(destination) as partial:
-        parts = os.path.join(folder, "parts")
-        write_parts(df, Path(parts).absolute().as_uri(), line)
+    near = spark.sparkContext.master.split("[")[0] == "local"
+    with work_folder(temp) as work, staging(destination) as partial, contextlib.ExitStack() as stack:
+        if near:
+            parts = (Path(work).absolute() / "parts").as_uri()
+        else:
+            shared = Scratch(spark, "parts")
+            stack.callback(shared.release)
+            parts = shared.path("parts")
+        lines, size = write_parts(df, parts, line)
         if accept is not None:
             accept()
-        names = sorted(n for n in os.listdir(parts) if n.startswith("part-"))
-        total = 0
         with open(partial, "wb") as out:
-            for name in names:
-                path = os.path.join(parts, name)
-                total += os.path.getsize(path)
-                with open(path, "rb") as part:
-                    shutil.copyfileobj(part, out, 1 << 20)
-                os.unlink(path)
-        if os.path.getsize(partial) != total:
-            raise OSError(f"{partial} has {os.path.getsize(partial)} bytes where {total} were written")
+            listed = _append(spark, parts, work, out)
+        there = os.path.getsize(partial)
+        if not there == listed == size:
+            raise OSError(f"the tasks wrote {lines} lines of {size} bytes, their files have {listed}, and {there} arrived in {partial}; {destination} stays as it was")
         try:
             os.replace(partial, destination)
         except OSError as e:
             raise PublishError(str(e)) from e
-        return total
+        return size
