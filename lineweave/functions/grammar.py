@@ -42,6 +42,32 @@ def parse(df: DataFrame, line: str = "line") -> DataFrame:
     )
 
 
+#: What a sort moves of a line: its bytes once. They sort like ORDER, see ``compact``.
+COMPACT = ("string_part", "number", "field", "late")
+
+
+def compact(parsed: DataFrame, line: str = "line") -> DataFrame:
+    """string_part, number, field, late of parsed lines, in whose order lines are in order.
+
+    Among lines of one string part and number, those of one ``field`` (the number's text) differ at
+    most by the blank after the period. The one with it comes first where the string part begins
+    above a blank, and last otherwise; ``late`` says so. A field that another one begins with stays
+    first, as a period sorts below digits.
+    """
+    head = F.octet_length(line) - F.octet_length("string_part")
+    spaced = F.substring(F.col(line), head, F.lit(1)) == F.lit(b" ")
+    field = F.substring(F.col(line), F.lit(1), head - F.when(spaced, 2).otherwise(1))
+    above = F.substring("string_part", 1, 1) > F.lit(b" ")
+    return parsed.select("string_part", "number", field.alias("field"), (spaced != above).alias("late"))
+
+
+def rebuilt(compacted: DataFrame) -> DataFrame:
+    """The lines of ``compact``."""
+    above = F.substring("string_part", 1, 1) > F.lit(b" ")
+    blank = F.when(F.col("late") != above, F.lit(b" ")).otherwise(F.lit(b""))
+    return compacted.select(F.concat("field", F.lit(b"."), blank, "string_part").alias("line"))
+
+
 def reason(line: str = "line", max_line: int = DEFAULT_MAX_LINE) -> Column:
     """Why a parsed line is malformed, else null: too_long, no_separator, bad_number, out_of_range."""
     text = F.decode(F.col(line), "ISO-8859-1")

@@ -8,9 +8,8 @@ from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
-from lineweave.functions.grammar import DEFAULT_MAX_LINE, parse
+from lineweave.functions.grammar import COMPACT, DEFAULT_MAX_LINE, compact, parse, rebuilt
 from lineweave.operators.malformed import MalformedLine, check
-from lineweave.operators.order import sort_lines
 from lineweave.sources.lines import edges, input_lines
 from lineweave.sources.sink import publish, write_parts
 
@@ -24,7 +23,7 @@ class _Sorted:
         self.seen = Observation()
         bad = (F.octet_length("line") > max_line) | F.col("number").isNull()
         watched = self.parsed.observe(self.seen, F.count(F.when(bad, 1)).alias("bad"))
-        self.lines = sort_lines(watched.select("line", "number", "string_part"))
+        self.lines = rebuilt(compact(watched).orderBy(*COMPACT))
 
     def accept(self) -> None:
         """After the lines were written: raises MalformedLine for the first bad one, if any."""
@@ -38,10 +37,10 @@ class _Sorted:
 
 def sorted_lines(spark: SparkSession, path: str, max_line: int = DEFAULT_MAX_LINE) -> DataFrame:
     """The file's lines in order (``line``); raises MalformedLine before anything is sorted. The
-    exchange carries the parsed key beside the line, so nothing is parsed after it."""
+    exchange carries a line's bytes once, cut into its parts."""
     parsed = parse(input_lines(spark, path))
     check(parsed, max_line, edges(spark, path).bom)
-    return sort_lines(parsed.select("line", "number", "string_part"))
+    return rebuilt(compact(parsed).orderBy(*COMPACT))
 
 
 def sort_file(spark: SparkSession, source: str, destination: str, temp: str | None = None, max_line: int = DEFAULT_MAX_LINE) -> int:
