@@ -51,16 +51,16 @@ def split_arguments(args: list[str], options: dict[str, Callable[[str], object]]
         if arg in options:
             value = next(rest, None)
             if value is None:
-                raise UsageError(f"{arg} needs a value.")
+                raise UsageError(f"Nothing follows {arg}.")
             values[arg] = options[arg](value)
         elif arg.startswith("--"):
-            raise UsageError(f"Unknown option '{arg}'.")
+            raise UsageError(f"There is no option {arg}.")
         elif len(found) == paths:
-            raise UsageError(f"Unexpected argument '{arg}'.")
+            raise UsageError(f"'{arg}' is one path too many.")
         else:
             found.append(arg)
     if len(found) < paths or not all(p.strip() for p in found):
-        raise UsageError("A path is missing." if paths == 1 else "An input and an output path are required.")
+        raise UsageError("Say where to write." if paths == 1 else "Say what to read and where to write.")
     return found, values
 
 
@@ -68,7 +68,7 @@ def _size(name: str, low: int, high: int) -> Callable[[str], int]:
     def convert(text: str) -> int:
         n = parse_size(text)
         if n is None or not low <= n <= high:
-            raise UsageError(f"{name} expects a byte count between {low} and {high}, optionally suffixed B, KiB, MiB or GiB, but got '{text}'.")
+            raise UsageError(f"{name}: '{text}' is no size from {low} to {high} bytes (B, KiB, MiB and GiB may follow the digits).")
         return n
 
     return convert
@@ -76,13 +76,13 @@ def _size(name: str, low: int, high: int) -> Callable[[str], int]:
 
 def _count(text: str) -> int:
     if not (text.isascii() and text.isdigit()) or not 0 < int(text) < 2**31:
-        raise UsageError(f"--parallelism expects a positive integer, but got '{text}'.")
+        raise UsageError(f"--parallelism: '{text}' is no whole number above 0.")
     return int(text)
 
 
 def _pipeline(text: str) -> str:
     if text.lower() not in ("akka", "channels"):
-        raise UsageError(f"--pipeline expects 'akka' or 'channels', but got '{text}'.")
+        raise UsageError(f"--pipeline: '{text}' is neither akka nor channels.")
     return text.lower()
 
 
@@ -92,7 +92,7 @@ def _seed(text: str) -> int:
     except ValueError:
         n = 2**31
     if not -(2**31) <= n < 2**31:
-        raise UsageError(f"--seed expects a 32-bit integer, but got '{text}'.")
+        raise UsageError(f"--seed: '{text}' is no whole number of 32 bits.")
     return n
 
 
@@ -102,7 +102,7 @@ def _ratio(text: str) -> float:
     except ValueError:
         r = -1.0
     if not 0 <= r <= 1:
-        raise UsageError(f"--duplicate-ratio expects a number from 0 to 1, but got '{text}'.")
+        raise UsageError(f"--duplicate-ratio: '{text}' is not from 0 to 1.")
     return r
 
 
@@ -113,7 +113,7 @@ def sort_options(args: list[str]) -> tuple[str, str, dict[str, object]]:
     }
     (source, target), values = split_arguments(args, options, 2)
     if os.path.abspath(source) == os.path.abspath(target) or os.path.realpath(source) == os.path.realpath(target):
-        raise UsageError("Input and output must be different files.")
+        raise UsageError("The sort would overwrite what it reads.")
     return source, target, values
 
 
@@ -124,7 +124,7 @@ def preflight(source: str | None, target: str | None, temp: str | None = None) -
             with open(source, "rb"):
                 pass
         except OSError as e:
-            raise UsageError(f"Input file '{source}' cannot be read: {e.strerror}") from e
+            raise UsageError(f"No reading from '{source}': {e.strerror}") from e
     for folder in filter(None, (target and os.path.dirname(os.path.abspath(target)), temp)):
         try:
             if folder == temp:
@@ -132,7 +132,7 @@ def preflight(source: str | None, target: str | None, temp: str | None = None) -
             with tempfile.TemporaryFile(dir=folder):
                 pass
         except OSError as e:
-            raise UsageError(f"Directory '{folder}' cannot be written: {e.strerror}") from e
+            raise UsageError(f"No writing into '{folder}': {e.strerror}") from e
 
 
 def check_space(source: str, target: str, temp: str) -> None:
@@ -146,9 +146,9 @@ def check_space(source: str, target: str, temp: str) -> None:
             free = None
         outcome, required, available = disk_decision(kind, size, free)
         if outcome == "Insufficient":
-            raise NoSpace(f"Insufficient space on the {kind} volume ('{folder}'): need {describe_size(required)}, but only {describe_size(available)} is available.")
+            raise NoSpace(f"'{folder}' ({kind}) lacks space: {describe_size(required)} wanted, {describe_size(available)} free.")
         if outcome == "Unknown":
-            say(f"Could not determine free space of '{folder}'.")
+            say(f"How much space '{folder}' has is unknown.")
 
 
 @contextmanager
@@ -201,7 +201,7 @@ def run_sort(args: list[str], spark=None) -> int:
     preflight(source, None)
     if plan_memory(budget, cores, max_line, mean_for(max_line)) is None:
         least = least_budget(cores, max_line)
-        raise UsageError(f"The --memory budget of {budget} bytes is too small; the minimum is {least} bytes." if least else "No --memory budget can support this line length and parallelism.")
+        raise UsageError(f"No plan fits into {budget} bytes; --memory {least} would do." if least else "No --memory is enough for such lines and parallelism.")
     preflight(None, target, temp)
     check_space(source, target, temp)
     began = time.monotonic()
@@ -236,7 +236,7 @@ def run_generate(args: list[str], spark=None) -> int:
     options = {"--size": _size("--size", 0, 2**63 - 1), "--seed": _seed, "--duplicate-ratio": _ratio}
     (target,), values = split_arguments(args, options, 1)
     if "--size" not in values:
-        raise UsageError("--size is required.")
+        raise UsageError("Say how much with --size.")
     preflight(None, target)
     spark = spark or session("generate")
     with reported(spark):
@@ -260,7 +260,7 @@ def main(args: list[str], spark=None) -> int:
     name, rest = ("verify", args[1:]) if args[0] == "--verify" else (args[0], args[1:])
     try:
         if name not in COMMANDS:
-            raise UsageError(f"Unknown command '{name}'.")
+            raise UsageError(f"'{name}' is no command.")
         return COMMANDS[name](rest, spark)
     except UsageError as e:
         say(f"{e}\n\n{__doc__}")

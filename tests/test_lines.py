@@ -4,7 +4,7 @@ import pytest
 from tests.naive import fnv, key, records
 from tests.naive import sort as naive_sort
 
-from lineweave.functions.grammar import parse
+from lineweave.functions.grammar import COMPACT, compact, parse, rebuilt
 from lineweave.functions.hashing import fnv1a64_batch
 from lineweave.operators.malformed import MalformedLine
 from lineweave.operators.sort_file import sort_file, sort_to_parts, sorted_lines
@@ -12,10 +12,10 @@ from lineweave.operators.verify import verify_file
 from lineweave.sources.lines import edges, input_lines, numbered
 
 GRAMMAR = [
-    b"415. Apple", b"1. Apple. Banana is yellow", b"7.Apple", b"7. . leading dot", b"3.  two", b"42. ", b"88.", b"-0. x", b"+5. x", b"007. x",
+    b"628. Linen", b"1. Linen. Paper burns", b"7.Linen", b"7. . leading dot", b"3.  two", b"42. ", b"88.", b"-0. x", b"+5. x", b"007. x",
     b"-9223372036854775808. x", b"9223372036854775807. x", b"9223372036854775808. x", b"-9223372036854775809. x", b"0000000000000000000000042. x",
     b"12\0. x", "12². x".encode(), b"+-5. x", b"1\t. x", b"\0 12. x", b"1\x002. x", b"+. x", b"-. x", b"++1. x", b"1+. x", b" 1. x", b"1 . x",
-    b"415 Apple", b"abc. Apple", b"12x. Apple", b".", b"", b"12345", b"1. caf\xc3\xa9", b"1. \xfe\xff", b"1. a\rb", b"5. a\0",
+    b"628 Linen", b"abc. Linen", b"12x. Linen", b".", b"", b"12345", b"1. caf\xc3\xa9", b"1. \xfe\xff", b"1. a\rb", b"5. a\0",
 ]
 
 
@@ -28,9 +28,9 @@ def test_grammar(spark):
 
 
 SHAPES = [
-    b"", b"\r", b"\xef\xbb\xbf", b"42. Only line\n", b"30. Cherry\n2. Apple\n100. Banana", b"30. Cherry\r\n2. Apple\n100. Banana\r\n2. Aardvark\n",
-    b"\xef\xbb\xbf30. Cherry\n2. Apple\n100. Banana\n", b"2. Banana\n1. Apple\r", b"1. a\r\r\n", b"1. Apple\n2. Banana\n\r",
-    b"1. Ban\n9. Apple\n1. Banana is yellow\n4. Apple\n30. Apple\n5. \n5. A\n1. Apple\n1. apple\n1. ab\n1. ab\0\n1. ab\0c\n007. Apple\n7. Apple\n+5. Apple\n5. Apple\n1. \xfe\n1. \xff\n",
+    b"", b"\r", b"\xef\xbb\xbf", b"42. Only line\n", b"64. Tin\n2. Linen\n250. Paper", b"64. Tin\r\n2. Linen\n250. Paper\r\n2. Abacus\n",
+    b"\xef\xbb\xbf64. Tin\n2. Linen\n250. Paper\n", b"2. Paper\n1. Linen\r", b"1. a\r\r\n", b"1. Linen\n2. Paper\n\r",
+    b"1. Pap\n9. Linen\n1. Paper burns\n4. Linen\n64. Linen\n5. \n5. A\n1. Linen\n1. linen\n1. ab\n1. ab\0\n1. ab\0c\n007. Linen\n7. Linen\n+5. Linen\n5. Linen\n1. \xfe\n1. \xff\n",
 ]
 
 
@@ -44,7 +44,7 @@ def test_shapes(spark, tmp_path, data):
     assert sorted(p.name for p in tmp_path.iterdir()) == ["in", "out"]
 
 
-@pytest.mark.parametrize("data,line_no", [(b"1. Apple\nno separator here\n3. Banana\n", 2), (b"2. Banana\n1. Apple\n\n", 3), (b"\xef\xbb\xbfx\n", 1), (b"1. a\r\n\r\n", 2)])
+@pytest.mark.parametrize("data,line_no", [(b"1. Linen\nno separator here\n3. Paper\n", 2), (b"2. Paper\n1. Linen\n\n", 3), (b"\xef\xbb\xbfx\n", 1), (b"1. a\r\n\r\n", 2)])
 def test_malformed(spark, tmp_path, data, line_no):
     source, target = tmp_path / "in", tmp_path / "out"
     source.write_bytes(data)
@@ -120,14 +120,14 @@ def test_sort_is_the_same_for_any_partitions(spark, tmp_path):
 
 
 VERIFY = [
-    (b"3. Cherry\n1. Apple\n2. Banana\n", b"1. Apple\n2. Banana\n3. Cherry\n", "Verified", None),
-    (b"1. Apple\n2. Banana\n3. Cherry\n", b"1. Apple\n3. Cherry\n2. Banana\n", "OrderViolation", 3),
-    (b"1. Apple\n2. Banana\n3. Cherry\n", b"1. Apple\n3. Cherry\n", "CountMismatch", None),
-    (b"1. Apple\n2. Banana\n", b"1. Apple\n1. Apple\n", "HashMismatch", None),
-    (b"2. Banana\r\n1. Apple\r\n", b"1. Apple\n2. Banana\n", "Verified", None),
-    (b"1. Apple\n2. Banana\n", b"1. Apple\n2. Banana", "OutputNotTerminated", None),
-    (b"1. Apple\n", b"1. Apple\r", "OutputNotTerminated", None),
-    (b"1. Apple\n", b"1. Apple\n\r", "OutputNotTerminated", None),
+    (b"3. Tin\n1. Linen\n2. Paper\n", b"1. Linen\n2. Paper\n3. Tin\n", "Verified", None),
+    (b"1. Linen\n2. Paper\n3. Tin\n", b"1. Linen\n3. Tin\n2. Paper\n", "OrderViolation", 3),
+    (b"1. Linen\n2. Paper\n3. Tin\n", b"1. Linen\n3. Tin\n", "CountMismatch", None),
+    (b"1. Linen\n2. Paper\n", b"1. Linen\n1. Linen\n", "HashMismatch", None),
+    (b"2. Paper\r\n1. Linen\r\n", b"1. Linen\n2. Paper\n", "Verified", None),
+    (b"1. Linen\n2. Paper\n", b"1. Linen\n2. Paper", "OutputNotTerminated", 2),
+    (b"1. Linen\n", b"1. Linen\r", "OutputNotTerminated", 1),
+    (b"1. Linen\n", b"1. Linen\n\r", "OutputNotTerminated", 2),
     (b"", b"", "Verified", None),
 ]
 
@@ -141,8 +141,108 @@ def test_verify(spark, tmp_path, source, result, outcome, line):
     assert v.input.hash == sum(map(fnv, records(source))) % 2**64
 
 
+@pytest.mark.parametrize("split", ["200", "64k"])
+def test_verify_over_splits(spark, tmp_path, split):
+    """Order, termination and malformed lines at the borders of splits, in one scan of each file."""
+    data = random_file(random.Random(3), 400)
+    want = naive_sort(data)
+    lines = want.split(b"\n")[:-1]
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", split)
+    spark.conf.set("spark.sql.files.openCostInBytes", "0")
+    (tmp_path / "in").write_bytes(data)
+
+    def verdict(result):
+        (tmp_path / "out").write_bytes(result)
+        return verify_file(spark, (tmp_path / "in").as_uri(), (tmp_path / "out").as_uri())
+
+    try:
+        v = verdict(want)
+        assert (v.outcome, v.output.lines, v.output.hash) == ("Verified", 400, sum(map(fnv, lines)) % 2**64) and v.input.hash == v.output.hash
+        for at in (1, 57, 200, 399):
+            i = next(k for k in range(at, 0, -1) if lines[k] != lines[k - 1])
+            swapped = [*lines[: i - 1], lines[i], lines[i - 1], *lines[i + 1 :]]
+            v = verdict(b"".join(x + b"\n" for x in swapped))
+            assert (v.outcome, v.violation_line) == ("OrderViolation", i + 1)
+            assert v.output.lines == i and v.output.hash == sum(map(fnv, swapped[:i])) % 2**64
+            assert lines[i - 1][:20].decode("utf-8", "replace")[:5] in v.detail and lines[i][:20].decode("utf-8", "replace")[:5] in v.detail
+            broken = [*lines[:i], b"broken", *lines[i:]]
+            with pytest.raises(MalformedLine) as e:
+                verdict(b"".join(x + b"\n" for x in broken))
+            assert (e.value.line_no, e.value.byte_offset, e.value.preview) == (i + 1, sum(len(x) + 1 for x in lines[:i]), "broken")
+        v = verdict(want[:-1])
+        assert (v.outcome, v.violation_line, v.output.lines) == ("OutputNotTerminated", 400, 399)
+        assert f"byte offset {len(want) - len(lines[-1]) - 1}" in v.detail
+        with pytest.raises(MalformedLine) as e:  # of the output: its mark is content
+            verdict(b"\xef\xbb\xbf" + want)
+        assert (e.value.line_no, e.value.byte_offset) == (1, 0)
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+        spark.conf.unset("spark.sql.files.openCostInBytes")
+
+
+def test_a_sort_moves_bytes_once_and_keeps_the_order(spark):
+    """Heads that differ in sign, zeros and blank, before string parts below and above a blank."""
+    rows = [h + s for h in (b"5.", b"5. ", b"05.", b"05. ", b"+5. ", b"+5.", b"-0.", b"0. ") for s in (b"", b"x", b"\x01", b"\x1fz", b"!", b"  y", b"\xff")]
+    parsed = parse(spark.createDataFrame([(bytearray(x),) for x in rows], "line binary").repartition(3))
+    got = [bytes(r["line"]) for r in rebuilt(compact(parsed).orderBy(*COMPACT)).collect()]
+    assert got == sorted(rows, key=key)
+
+
+def test_a_missing_part_is_no_result(spark, tmp_path, monkeypatch):
+    """What the tasks counted must arrive, or an existing result stays."""
+    from lineweave.sources import sink
+
+    target = tmp_path / "out"
+    target.write_bytes(b"old")
+    df = spark.createDataFrame([(bytearray(b"%d. x" % i),) for i in range(100)], "line binary").repartition(4)
+    write = sink.write_parts
+
+    def loses_one(*args):
+        counted = write(*args)
+        next(p for p in sorted(tmp_path.glob("sorter-*/parts/part-*")) if p.stat().st_size).unlink()
+        return counted
+
+    def loses_all(*args):
+        counted = write(*args)
+        for p in tmp_path.glob("sorter-*/parts/part-*"):
+            p.unlink()
+        return counted
+
+    for broken in (loses_one, loses_all):
+        monkeypatch.setattr(sink, "write_parts", broken)
+        with pytest.raises(OSError, match="stays as it was"):
+            sink.publish(df, str(target), str(tmp_path))
+        assert target.read_bytes() == b"old" and [p.name for p in tmp_path.iterdir()] == ["out"]
+    monkeypatch.setattr(sink, "write_parts", write)
+    assert sink.publish(df, str(target), str(tmp_path)) == target.stat().st_size == sum(len(b"%d. x\n" % i) for i in range(100))
+
+
+def test_scratch_is_refused_without_a_shared_folder(spark, monkeypatch):
+    from lineweave.sources import shared
+
+    class Elsewhere:
+        class sparkContext:  # noqa: N801
+            master = "spark://far:7077"
+
+            @staticmethod
+            def getConf():  # noqa: N802
+                return {}
+
+    with pytest.raises(shared.NoSharedFolder):
+        shared.shared_dir(Elsewhere())
+    scratch = shared.Scratch(spark, "test")
+    table = scratch.table(spark.range(3), "numbers")
+    assert table.count() == 3 and scratch in shared.Scratch.live()
+    scratch.forget("numbers")
+    with pytest.raises(Exception):  # noqa: B017
+        spark.read.parquet(f"{scratch.root}/1-numbers").count()
+    scratch.release()
+    assert scratch not in shared.Scratch.live()
+
+
 def test_fnv_vectors():
-    want = {b"1. Apple": 0xA728E17F52C3B0F6, b"2. B": 0xD704CE0BA1A98663, b"415. Apple": 0x351409DDADCD17C5, b"\xff\x00\x80zz": 0x8892FAE14B1C56E2}
+    want = {b"": 0xCBF29CE484222325, b"a": 0xAF63DC4C8601EC8C, b"foobar": 0x85944171F73967E8}  # fixed values, as the function's authors publish them
     assert dict(zip(want, fnv1a64_batch(list(want)).tolist(), strict=True)) == want
     lines = [bytes(random.Random(i).randbytes(i % 50)) for i in range(300)]
     assert fnv1a64_batch(lines).tolist() == [fnv(x) for x in lines]
