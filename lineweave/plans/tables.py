@@ -10,12 +10,12 @@ from pyspark.sql import functions as F
 
 from lineweave.functions.grammar import ORDER, base36, key_prefix, parse, preview, reason, strip_cr
 from lineweave.functions.hashing import fnv1a64, unsigned_sum
-from lineweave.functions.sizes import describe_size
+from lineweave.functions.sizes import describe_size, parse_size
 from lineweave.operators import order
-from lineweave.operators.generate import draw, repeated_share
+from lineweave.operators.generate import SHARED, WORDS, draw, lines, repeated_share
 from lineweave.operators.malformed import split_lenient
 from lineweave.operators.verify import first_violation, multiset_diff
-from lineweave.plans.resources import disk_decision, merge_passes, plan_memory
+from lineweave.plans.resources import disk_decision, least_budget, merge_passes, plan_memory
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -335,6 +335,22 @@ def _sliced(spark, sf_dir) -> DataFrame:
     return ranked.crossJoin(F.broadcast(total)).withColumn("slice", F.expr("CAST((rank - 1) * 8 DIV total AS INT)"))  # one total row
 
 
+@query(
+    f"""WITH s AS (SELECT raw, row_number() OVER (ORDER BY sp, number, raw) - 1 AS r, count(*) OVER () AS n FROM (
+  SELECT DISTINCT raw, sp, number FROM {parsed_sql(RELATIONS["twin"])} ORDER BY md5(raw), raw LIMIT 500))
+SELECT CAST(k AS INTEGER) AS slice, raw AS line FROM s JOIN (SELECT unnest(range(1, 8)) AS k) ON r = k * n // 8"""
+)
+def sampled_range_splitters(spark, sf_dir):
+    return order.sampled_splitters(relation(spark, sf_dir, "twin"), 8, 500).select("slice", F.col("line").cast("string").alias("line"))
+
+
+@query("SELECT p_partkey AS id, CAST(list_reduce(list_prepend(0, list_transform(range(0, 12), lambda i: CAST(p_partkey AS BIGINT) // CAST(2 ** i AS BIGINT) % 2)), lambda a, b: a * 2 + b) AS BIGINT) AS reversed FROM part")
+def bit_reversal(spark, sf_dir):
+    part = spark.read.parquet(f"{sf_dir}/part.parquet")
+    low = F.col("p_partkey") % 4096
+    return part.select(F.col("p_partkey").alias("id"), order.bit_reversed(low, 12).alias("reversed"))
+
+
 _SLICES = f"""(SELECT CAST((rank - 1) * 8 // n AS INTEGER) AS slice, count(*) AS rows, CAST(sum(octet_length(encode(raw)) + 1) AS BIGINT) AS slice_bytes,
   min((sp, number, raw)) AS first_key, max((sp, number, raw)) AS last_key FROM {_RANKED_PART} GROUP BY 1)"""
 
@@ -403,6 +419,30 @@ def memory_plan_vectors(spark, sf_dir):
     return spark.createDataFrame(rows, "budget long, parallelism long, max_line long, chunk long, fan_in long, read_window long, workers long")
 
 
+@query(
+    f"""WITH b(budget, p, max_line) AS (VALUES {", ".join(f"(CAST({a} AS BIGINT), {p}, {m})" for a, p, m in _BUDGETS)}),
+c AS (SELECT DISTINCT p, max_line, max_line + 2 AS w0, least(32, max_line) AS m FROM b),
+d AS (SELECT *, 2 * w0 + w0 // m * 32 + 44 AS cursor_, (p + 2) * (m + 32) + m AS unit_ FROM c)
+SELECT CAST(p AS BIGINT) AS parallelism, CAST(max_line AS BIGINT) AS max_line,
+  CAST(greatest(p * 65536 + ((w0 + 1) * unit_ + m - 1) // m, 1048576 + 2 * cursor_) AS BIGINT) AS budget FROM d"""
+)
+def least_budgets(spark, sf_dir):
+    rows = sorted({(p, m, least_budget(p, m)) for _, p, m in _BUDGETS})
+    return spark.createDataFrame(rows, "parallelism long, max_line long, budget long")
+
+
+_PHASES = f"""(SELECT budget, parallelism AS p, max_line, chunk, fan_in, read_window AS w, workers AS k, least(32, max_line) AS m FROM ({ORACLES["memory_plan_vectors"]}))"""
+
+
+@query(
+    f"""SELECT budget, p AS parallelism, max_line, CAST((p + 2) * (chunk + chunk // m * 32) + chunk + p * 65536 AS BIGINT) AS phase_one,
+  CAST(k * fan_in * (2 * w + w // m * 32) + k * 1048576 + k * fan_in * 44 + CASE WHEN k > 1 THEN fan_in * (k + 1) * 8 ELSE 0 END AS BIGINT) AS phase_two FROM {_PHASES}"""
+)
+def plan_worst_cases(spark, sf_dir):
+    rows = [(b, p, m, x.phase_one, x.phase_two) for b, p, m in _BUDGETS if (x := plan_memory(b, p, m))]
+    return spark.createDataFrame(rows, "budget long, parallelism long, max_line long, phase_one long, phase_two long")
+
+
 _DISKS = [(k, n, f) for k in ("temp", "same", "output") for n in (0, 1000, 1 << 30, 2**62) for f in (None, 2000, 1 << 31, (1 << 31) + (1 << 20))]
 
 
@@ -428,6 +468,20 @@ def byte_size_describe(spark, sf_dir):
     return spark.createDataFrame([(n, describe_size(n)) for n in _SIZES], "bytes long, shown string")
 
 
+#: Texts that are sizes, and some that are none.
+_LITERALS = ["0", "7", "7B", "12b", "3KiB", "3kib", "64MIB", "5GiB", "", "B", "-1", "1 KiB", "1.5KiB", "KiB", "9223372036854775807", "9223372036854775808", "8589934592GiB", "0x10"]
+
+
+@query(
+    f"""SELECT shown, CASE WHEN n IS NULL OR n * f > 9223372036854775807 THEN NULL ELSE CAST(n * f AS BIGINT) END AS bytes FROM (
+  SELECT shown, TRY_CAST(nullif(regexp_extract(shown, '^([0-9]+)(?i:B|KiB|MiB|GiB)?$', 1), '') AS HUGEINT) AS n,
+    CASE lower(regexp_extract(shown, '[A-Za-z]*$')) WHEN 'kib' THEN 1024 WHEN 'mib' THEN 1048576 WHEN 'gib' THEN 1073741824 ELSE 1 END AS f
+  FROM (SELECT unnest({_LITERALS}) AS shown))"""
+)
+def byte_size_parse(spark, sf_dir):
+    return spark.createDataFrame([(x, parse_size(x)) for x in _LITERALS], "shown string, bytes long")
+
+
 @query("SELECT event_id AS id, lower(to_base(event_id, 36)) AS token FROM events")
 def base36_tokens(spark, sf_dir):
     return spark.read.parquet(f"{sf_dir}/events.parquet").select(F.col("event_id").alias("id"), base36(F.col("event_id")).alias("token"))
@@ -443,3 +497,26 @@ def generated_draws(spark, sf_dir):
     """The generator's seeded draws, from an id alone."""
     events, key = spark.read.parquet(f"{sf_dir}/events.parquet"), F.col("event_id")
     return events.select(key.alias("id"), (draw(42, key, "share", 100) < 10).alias("shared"), draw(42, key, "slot", 64).alias("slot"), (draw(42, key, "digits", 19) + 1).alias("digits"))
+
+
+def _made(key: str, purpose: str, modulus: int) -> str:
+    return f"CAST(concat('0x', substr(md5(concat('42:', {key}, ':{purpose}')), 1, 15)) AS BIGINT) % {modulus}"
+
+
+def _composed(key: str, purpose: str) -> str:
+    picked = ", ".join(f"words[{_made(key, f'{purpose}{i}', len(WORDS))} + 1]" for i in range(4))
+    return f"array_to_string(list_slice([{picked}], 1, {_made(key, purpose + 'n', 4)} + 1), ' ')"
+
+
+_VOCABULARY = "[" + ", ".join(f"'{w}'" for w in WORDS) + "]"
+
+
+@query(
+    f"""WITH i AS (SELECT id, {_VOCABULARY} AS words, {_made("id", "share", 1_000_000)} < 250000 OR id < 2 AS shared, CASE WHEN id < 2 THEN 0 ELSE {_made("id", "slot", SHARED)} END AS slot,
+  left(lpad(concat({_made("id", "high", 10**9)}, lpad(CAST({_made("id", "low", 10**10)} AS VARCHAR), 10, '0')), 19, '1'), CAST({_made("id", "digits", 19)} + 1 AS INTEGER)) AS wide FROM (SELECT unnest(range(0, 3000)) AS id)),
+t AS (SELECT id, coalesce(TRY_CAST(ltrim(wide, '0') AS BIGINT), 0) AS number, CASE WHEN shared THEN concat({_composed("slot", "part")}, ' s') ELSE concat({_composed("id", "word")}, ' ', lower(to_base(id, 36))) END AS string_part FROM i)
+SELECT id, number, string_part, concat(number, '. ', string_part) AS line FROM t"""
+)
+def generated_lines(spark, sf_dir):
+    """The generator's lines themselves, each from its id alone."""
+    return lines(spark, 3000, 42, 0.25).select("id", "number", "string_part", F.col("line").cast("string").alias("line"))

@@ -1,7 +1,7 @@
 import duckdb
 import pytest
 from tests.conftest import SF
-from tests.naive import key
+from tests.naive import fnv, key
 
 import __spark_entry__ as entry
 from lineweave import plans
@@ -53,6 +53,29 @@ def test_range_slices_cover_the_order(spark):
     assert order.balance(one, 6).non_empty == 1 and order.balance(one, 6).imbalance == float("inf")
 
 
+def test_ranks_of_one_key_spread_over_tasks(spark):
+    """No task of the ranking gets all lines, even if all are equal."""
+    same = parse(spark.range(4000).selectExpr("CAST('7. same' AS BINARY) AS line").repartition(4))
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        ranks = order.ranked(same)
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert sorted(r["rank"] for r in ranks.select("rank").collect()) == list(range(1, 4001))
+    files = {r["f"]: r["n"] for r in spark.read.parquet(*{f.rsplit("/", 1)[0] for f in ranks.inputFiles()}).groupBy("_metadata.file_path").count().toDF("f", "n").collect()}
+    assert max(files.values()) < 3000
+
+
+def test_sampled_splitters_are_near_the_exact_ones(spark):
+    parsed = parse(lines(spark, 5000, 11, 0.0).select("line"))
+    found = [r["slice"] for r in order.sampled_splitters(parsed, 8, 1000).collect()]
+    assert sorted(found) == list(range(1, 8))
+    cuts = {r["slice"]: bytes(r["line"]) for r in order.sampled_splitters(parsed, 8, 1000).collect()}
+    ordered = [bytes(r["line"]) for r in order.sort_lines(parsed).collect()]
+    assert all(abs(ordered.index(cuts[k]) - 5000 * k // 8) < 350 for k in cuts)
+    assert order.sampled_splitters(parsed.limit(3), 8).count() == 2 and order.sampled_splitters(parsed.limit(0), 8).count() == 0
+
+
 def test_generator_contract(spark):
     made = lines(spark, 4000, 3, 0.3).collect()
     assert all(key(bytes(r["line"])) == (r["string_part"].encode(), r["number"], bytes(r["line"])) for r in made)
@@ -121,3 +144,17 @@ def test_streaming(spark, tmp_path):
     q.awaitTermination(60)
     assert sorted(bytes(r["line"]) for r in spark.read.parquet(str(tmp_path / "runs")).collect()) == [b"1. a", b"1. a", b"2. b", b"3. c"]
     assert [bytes(r["line"]) for r in spark.read.parquet(str(tmp_path / "bad")).collect()] == [b"bad"]
+
+
+def test_running_report(spark, tmp_path):
+    from lineweave.streaming.lines import read_lines, running_report
+
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in" / "1").write_bytes(b"3. c\r\n1. a\nbad\n")
+    (tmp_path / "in" / "2").write_bytes(b"2. b\n")
+    report = running_report(read_lines(spark, str(tmp_path / "in"), 1))
+    q = report.writeStream.outputMode("complete").format("memory").queryName("report").option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
+    q.awaitTermination(60)
+    row = spark.table("report").first()
+    assert (row["lines"], row["malformed"]) == (4, 1)
+    assert (int(row["hash_high"] * 2**32 + row["hash_low"])) % 2**64 == sum(map(fnv, (b"3. c", b"1. a", b"bad", b"2. b"))) % 2**64
