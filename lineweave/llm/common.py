@@ -2,16 +2,15 @@
 
 from __future__ import annotations
 
-import atexit
-import shutil
-import tempfile
-import uuid
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lineweave.sources.shared import Scratch, shared_dir
+
+__all__ = ["Scratch", "shared_dir"]
+
 #: Rows handed to a Python worker at once; whole texts travel, so the batches stay small.
 ARROW_ROWS = 1000
 
@@ -35,74 +34,6 @@ def remainder(column: str, modulus: int) -> Column:
     return F.crc32(text.cast("binary")) % F.lit(modulus)
 
 
-# ---------------------------------------------------------------- shared scratch space
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir, or a temporary one where it is unset."""
-    sc = spark.sparkContext
-    base = sc.getConf().get("spark.checkpoint.dir")
-    if not base:
-        base = getattr(shared_dir, "own", None)
-        if base is None:
-            base = shared_dir.own = tempfile.mkdtemp(prefix="lineweave-")
-            atexit.register(shutil.rmtree, base, ignore_errors=True)
-        base = f"file://{base}"
-    if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(base)
-    return base
-
-
-class Scratch:
-    """Tables that cut lineage. Each is written once to the shared folder and read back.
-
-    ``release()`` deletes them; a caller does so when the results that read them are written.
-    What is never released goes when the interpreter ends.
-    """
-
-    _live: list["Scratch"] = []
-
-    def __init__(self, spark: SparkSession, name: str):
-        self.spark = spark
-        self.root = f"{shared_dir(spark).rstrip('/')}/lineweave-{name}-{uuid.uuid4().hex}"
-        self._n = 0
-        Scratch._live.append(self)
-
-    def path(self, name: str) -> str:
-        self._n += 1
-        return f"{self.root}/{self._n}-{name}"
-
-    def table(self, df: DataFrame, name: str) -> DataFrame:
-        path = self.path(name)
-        df.write.option("compression", "zstd").parquet(path)
-        return self.spark.read.schema(df.schema).parquet(path)
-
-    def drop(self, path: str) -> None:
-        """Deletes a path below the scratch that nothing reads any more."""
-        path = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-        path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
-
-    def release(self) -> None:
-        self.drop(self.root)
-        if self in Scratch._live:
-            Scratch._live.remove(self)
-
-    @classmethod
-    def live(cls) -> list["Scratch"]:
-        return list(cls._live)
-
-    @classmethod
-    def release_all(cls) -> None:
-        for scratch in list(cls._live):
-            try:
-                scratch.release()
-            except Exception:  # the session may be gone already; its folder is then left to its owner
-                cls._live.remove(scratch)
-
-
-atexit.register(Scratch.release_all)
-
-
 # ---------------------------------------------------------------- hashing runs of bytes
 
 _BASE = np.uint64(0x9E3779B97F4A7C15)

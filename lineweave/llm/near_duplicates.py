@@ -298,12 +298,14 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, least: float = SIMILARI
                     bucket, own = bucket[new], own[new]
                 yield pa.RecordBatch.from_arrays([pa.array(bucket.view(np.int64)), pa.array(ids[own])], ["bucket", "id"])
 
-    members = texts.select("id", "text").mapInArrow(sign, "bucket long, id long")
+    # written, as it is read twice and both sides of the join must be exchanges that Spark can split
+    members = scratch.table(texts.select("id", "text").mapInArrow(sign, "bucket long, id long"), "members")
     place = F.xxhash64("id", F.lit(11))
     sized = members.groupBy("bucket").agg(F.count("*").alias("n"), F.min(F.struct(place, "id")).alias("first"), F.max(F.struct(place, "id")).alias("last"))
     sized = sized.where("n > 1").select("bucket", "n", F.col("first.id").alias("first"), F.col("last.id").alias("last"))
     # only buckets with company are kept
     shared = scratch.table(members.join(sized, "bucket"), "shared")
+    scratch.forget("members")
     ordered = lambda x, y: F.array_sort(F.array(x, y))
     pairs = shared.select(F.explode(F.array(ordered(F.col("id"), F.col("first")), ordered(F.col("id"), F.col("last")))).alias("p"))
     pairs = pairs.select(F.col("p")[0].alias("a"), F.col("p")[1].alias("b")).where("a <> b").distinct()
