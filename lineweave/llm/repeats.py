@@ -413,6 +413,7 @@ def removed_runs(docs: DataFrame, length: int = LENGTH, k: int = K, batches: int
     path = scratch.path("work")
     numbered.join(todo, "key").mapInArrow(cut, schema).write.partitionBy("part").option("compression", "zstd").parquet(path)
     work = spark.read.schema(schema).parquet(path)
+    scratch.forget("anchors", "shared", "many")
     total = work.where("part >= 0").agg(F.sum("at")).first()[0] or 0
     units = max(1, -(-int(total) // unit_bytes))
 
@@ -432,6 +433,8 @@ def removed_runs(docs: DataFrame, length: int = LENGTH, k: int = K, batches: int
         for number in range(merge):
             scratch.drop(f"{levels.pop(number)[0]}/is_level=true")
         levels[merge] = out, written.where("is_level")
+        if not work.where(F.col("part") == batch).isEmpty():
+            scratch.drop(f"{path}/part={batch}")  # the levels have its strings
     found = verdicts[0]
     for more in verdicts[1:]:
         found = found.unionAll(more)
