@@ -16,13 +16,12 @@ from lineweave.llm.sampling import bounded_ids
 
 #: Hashed n-gram space. What a task counts or the driver receives is bounded by it.
 BUCKETS = 1 << 20
-#: N-gram lengths in UTF-8 bytes.
-LENGTHS = (4, 5, 6)
+#: N-gram lengths in characters (code points).
+LENGTHS = (3, 4, 5)
 #: Most labelled documents the classifier is fitted on.
 TRAIN_DOCS = 12_000
-#: Most features with a weight, the strongest log-count ratios first.
-FEATURES = 10_000
-#: Fewest documents an n-gram is seen in to be a feature, and least |ratio| / standard error.
+#: What makes an n-gram a feature: the fewest documents it was seen in, and how many standard errors
+#: its log-count ratio lies from 0. All such n-grams are features.
 MIN_DOCS, MIN_Z = 3, 2.6
 _CHUNK = 1 << 16
 NOT_LETTERS = regex.compile(r"[^\p{L}]+")
@@ -37,20 +36,19 @@ class Toxicity:
     base: float  # the score of a text without any n-gram
 
 
-def plain(text: str) -> bytes:
-    """Lower case, with one blank for each run of other characters than letters."""
-    return f" {NOT_LETTERS.sub(' ', text.lower()).strip()} ".encode("utf-8", "surrogatepass")
+def plain(text: str) -> np.ndarray:
+    """Code points in lower case, with one blank for each run of other characters than letters."""
+    return np.frombuffer(f" {NOT_LETTERS.sub(' ', text.lower()).strip()} ".encode("utf-32-le", "surrogatepass"), "<u4")
 
 
 def features(texts: list[str], known: np.ndarray | None = None) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
-    """Distinct (text, bucket) pairs of the texts' n-grams, for runs of texts of about _CHUNK bytes:
+    """Distinct (text, bucket) pairs of the texts' n-grams, for runs of texts of about _CHUNK characters:
     first text, last + 1, text, bucket. ``known``: flags of the buckets that matter."""
     first, size, some = 0, 0, []
     for i in range(len(texts) + 1):
         if some and (i == len(texts) or size >= _CHUNK):
-            data = Bytes(b"".join(some))
+            data = Bytes(np.concatenate(some))
             length = np.array([len(t) for t in some])
-            begin = np.cumsum(length) - length
             doc = np.repeat(np.arange(len(some)), length)
             keys = []
             for n in LENGTHS:
@@ -65,7 +63,6 @@ def features(texts: list[str], known: np.ndarray | None = None) -> Iterator[tupl
             key = np.unique(np.concatenate(keys))
             yield first, i, key // BUCKETS, key % BUCKETS
             first, size, some = i, 0, []
-            del begin
         if i < len(texts):
             some.append(plain(texts[i]))
             size += len(some[-1])
@@ -73,8 +70,10 @@ def features(texts: list[str], known: np.ndarray | None = None) -> Iterator[tupl
 
 def fit(docs: DataFrame, labels: DataFrame, train_docs: int = TRAIN_DOCS) -> Toxicity:
     """Fits on at most ``train_docs`` rows of ``docs`` (doc_id, text) that ``labels`` (doc_id, toxic)
-    covers, chosen by a hash of their ids. Rows with a null label teach nothing; of several labels
-    of one id the largest counts. Without rows of both classes every score is the share of toxic rows.
+    covers, chosen by a hash of their ids. Rows with a null label or a null doc_id teach nothing; of
+    several labels of one id the largest counts, and each row of that id is learned from. Without rows
+    of both classes every score is the share of toxic rows; without any, 0. Very long texts teach
+    whole. Other columns of either table are not read.
     """
     spark = docs.sparkSession
     small_batches(spark)
@@ -110,7 +109,6 @@ def fit(docs: DataFrame, labels: DataFrame, train_docs: int = TRAIN_DOCS) -> Tox
     ratio = np.log(c1 / (n1 + 1)) - np.log(c0 / (n0 + 1))
     z = np.abs(ratio) / np.sqrt(1 / c0 + 1 / c1)
     chosen = np.flatnonzero(z >= MIN_Z)
-    chosen = chosen[np.lexsort((place[chosen], -z[chosen]))[:FEATURES]]
     scale = np.zeros(BUCKETS, np.float32)
     scale[place[chosen]] = ratio[chosen]
     is_feature = scale != 0
@@ -123,7 +121,7 @@ def fit(docs: DataFrame, labels: DataFrame, train_docs: int = TRAIN_DOCS) -> Tox
             yield pa.RecordBatch.from_arrays([batch.column("toxic"), pa.array(out, pa.binary())], ["toxic", "found"])
 
     number = (np.cumsum(is_feature) - 1).astype(np.int32)
-    got = sample.mapInArrow(extract, "toxic int, found binary").toArrow()  # at most train_docs rows of FEATURES numbers
+    got = sample.mapInArrow(extract, "toxic int, found binary").toArrow()  # at most train_docs rows of numbers of features
     rows = sorted(zip(got.column("toxic").to_pylist(), got.column("found").to_pylist(), strict=True))  # the same order on every run
     size = np.array([len(f) // 4 for _, f in rows])
     col = np.frombuffer(b"".join(f for _, f in rows), np.int32).astype(np.int64)
@@ -163,14 +161,18 @@ def logistic(size: np.ndarray, col: np.ndarray, scale: np.ndarray, y: np.ndarray
 def score(docs: DataFrame, model: Toxicity, threshold: float = 0.7) -> DataFrame:
     """doc_id, score, predicted of each row of ``docs``: one scan, no shuffle.
 
-    Every n-gram of the whole text counts once. A null or letterless text has no n-gram and gets the
-    share of toxic rows as its score. Null and repeated doc_ids pass through.
+    Every n-gram of the whole text, however long, counts once. A null or letterless text has no n-gram
+    and gets the share of toxic rows as its score. Null and repeated doc_ids pass through, a row each;
+    equal texts get equal scores; an empty table gives no row; other columns are not read. The model,
+    of fixed size, is broadcast.
     """
     small_batches(docs.sparkSession)
     kind = docs.schema["doc_id"].dataType.simpleString()
-    known = model.effect != 0
+    sent = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model = sent.value
+        known = model.effect != 0
         for batch in batches:
             texts = texts_of(batch)
             logit = np.zeros(len(texts))
