@@ -11,12 +11,11 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from lineweave.llm.common import Bytes, gram_hashes, mix, small_batches, texts_of, word_runs
-from lineweave.llm.sampling import bounded_ids
 
 #: Hash buckets of the two multinomials; what is broadcast has this size at any size of corpus.
 BUCKETS = 1 << 16
-#: Most labelled documents the trusted multinomial is fitted on.
-TARGET_DOCS = 20_000
+#: Most ids of trusted documents that are broadcast; more are joined by an exchange.
+BROADCAST_IDS = 1_000_000
 #: Mean log-likelihood ratio per n-gram, in nats, from which a document is kept.
 THRESHOLD = -0.3
 #: Words of the windows whose repeats count.
@@ -94,16 +93,17 @@ def buckets(chunk: Chunk) -> tuple[np.ndarray, np.ndarray]:
     run = data[:-3] | (data[1:-2] << 8) | (data[2:-1] << 16) | (data[3:] << 24) if len(data) > 3 else data[:0]
     run = (run * np.uint32(0x9E3779B1)) >> np.uint32(16)
     at = np.repeat(np.arange(chunk.n), np.diff(np.append(chunk.begin, len(data) + 1)))[: len(data)]
-    inside = at[: len(run)] == at[3:] if len(run) else np.zeros(0, bool)
+    at[chunk.begin[1:] - 1] = -1  # what parts two texts belongs to neither
+    inside = (at[: len(run)] == at[3:]) & (at[3:] >= 0) if len(run) else np.zeros(0, bool)
     return np.concatenate([word.astype(np.int64), run[inside].astype(np.int64)]), np.concatenate([*(d for _, d in parts), at[: len(run)][inside]])
 
 
 def fit_ratio(docs: DataFrame, trusted_ids: DataFrame, smoothing: float = 1.0) -> np.ndarray:
     """log(p_target / p_raw) of each bucket.
 
-    The raw multinomial counts every document, the target one the documents in ``trusted_ids``
-    (bounded, so it is broadcast). Every task adds up its own counts, at most BUCKETS rows; the sums
-    that reach the driver are BUCKETS rows too.
+    The raw multinomial counts every document, the target one every document in ``trusted_ids``
+    (distinct), whose number is checked before they are broadcast. Every task adds up its own counts,
+    at most BUCKETS rows; the sums that reach the driver are BUCKETS rows too.
     """
     small_batches(docs.sparkSession)
 
@@ -118,7 +118,10 @@ def fit_ratio(docs: DataFrame, trusted_ids: DataFrame, smoothing: float = 1.0) -
         some = np.flatnonzero(raw)
         yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(raw[some]), pa.array(target[some])], ["bucket", "raw", "target"])
 
-    marked = docs.select("doc_id", "text").join(F.broadcast(trusted_ids.select("doc_id", F.lit(True).alias("trusted"))), "doc_id", "left")
+    known = trusted_ids.select("doc_id", F.lit(True).alias("trusted"))
+    if trusted_ids.count() <= BROADCAST_IDS:
+        known = F.broadcast(known)
+    marked = docs.select("doc_id", "text").join(known, "doc_id", "left")
     marked = marked.select("text", F.coalesce("trusted", F.lit(False)).alias("trusted"))
     sums = marked.mapInArrow(count, "bucket long, raw long, target long").groupBy("bucket").agg(F.sum("raw").alias("raw"), F.sum("target").alias("target"))
     raw, target = np.full(BUCKETS, smoothing), np.full(BUCKETS, smoothing)
@@ -131,26 +134,30 @@ def fit_ratio(docs: DataFrame, trusted_ids: DataFrame, smoothing: float = 1.0) -
 
 
 def quality(
-    docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, target_docs: int = TARGET_DOCS, min_words: int = 20, max_repeat_percent: int = 30, carry: Sequence[str] = ("doc_id",)
+    docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, min_words: int = 20, max_repeat_percent: int = 30, carry: Sequence[str] = ("doc_id",)
 ) -> DataFrame:
     """doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept, ratio.
 
-    ``labels`` (doc_id, quality) names trusted documents by quality 1; at most ``target_docs`` of
-    them, chosen by a hash of their ids, make the target multinomial. ``ratio`` is the mean log
-    ratio of a document's n-grams (words, word pairs, runs of four bytes); the verdict is ratio >= threshold. Two scans of the
-    texts, no shuffle of them.
+    ``labels`` (doc_id, quality) names trusted documents by quality 1; all of them make the target
+    multinomial. ``ratio`` is the mean log ratio of a document's n-grams (words, word pairs, runs of
+    four bytes); the verdict is ratio >= threshold. Two scans of the texts, no shuffle of them while
+    the trusted ids are few enough to be broadcast.
 
-    A null text has no words and fails; null and repeated doc_ids pass through, a row each. Equal
-    texts get equal verdicts. Without trusted rows every ratio is 0. ``carry`` names the columns of
-    ``docs`` that come along; others are not read.
+    A null text has no words and fails; null and repeated doc_ids pass through, a row each. Very long
+    texts are judged whole. Equal texts get equal verdicts. Without trusted rows every ratio is 0; an
+    empty table gives no row. ``carry`` names the columns of ``docs`` that come along, none of them
+    named like a measure, which raises ValueError; others are not read.
     """
-    trusted = bounded_ids(labels.where(F.col("quality") == 1), target_docs)
-    ratio = fit_ratio(docs, trusted)
+    trusted = labels.where((F.col("quality") == 1) & F.col("doc_id").isNotNull()).select("doc_id").distinct()
     carry = list(carry)
+    if clash := {"n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "ratio"} & set(carry):
+        raise ValueError(f"carried columns have the names of measures: {sorted(clash)}")
+    sent = docs.sparkSession.sparkContext.broadcast(fit_ratio(docs, trusted))
     measures = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, kept boolean, ratio double"
     schema = StructType([docs.schema[c] for c in carry] + StructType.fromDDL(measures).fields)
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ratio = sent.value
         for batch in batches:
             texts = texts_of(batch)
             words, chars, symbols, repeats = (np.zeros(len(texts), np.int64) for _ in range(4))
