@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from collections import defaultdict
 from collections.abc import Iterator
 from functools import reduce
 
@@ -14,7 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructField, StructType
 
-from lineweave.llm.common import Bytes, gram_hashes, small_batches, texts_of, word_runs
+from lineweave.llm.common import Bytes, small_batches, texts_of, word_runs
 
 #: Shortest run of tokens that is a seed or a tile.
 MIN_MATCH = 5
@@ -40,81 +39,134 @@ def tokens(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return buffer.hashes(start, end), np.searchsorted(np.cumsum(size) - size, start, side="right") - 1
 
 
+def _grams(words: np.ndarray, n: int) -> np.ndarray:
+    """Running hashes of all runs of n tokens, from one prefix sum."""
+    if len(words) < n:
+        return np.zeros(0, np.uint64)
+    at = np.arange(len(words) - n + 1)
+    return Bytes(words).hashes(at, at + n)
+
+
+def _under(starts: np.ndarray, size: int, width: int) -> np.ndarray:
+    """Flags of the places that runs of ``width`` from ``starts`` cover."""
+    edge = np.zeros(size + 1, np.int64)
+    np.add.at(edge, starts, 1)
+    np.add.at(edge, starts + width, -1)
+    return np.cumsum(edge[:-1]) > 0
+
+
+class _Side:
+    """Tokens of one side that lie under shared seeds, pressed together with a gap between stretches,
+    and which of them are unmarked."""
+
+    def __init__(self, words: np.ndarray, covered: np.ndarray):
+        at = np.flatnonzero(covered)
+        gap = np.concatenate(([0], np.diff(at) > 1)).cumsum() if len(at) else at
+        self.place = np.full(len(at) + (int(gap[-1]) if len(at) else 0), -1)
+        self.place[np.arange(len(at)) + gap] = at
+        self.free = self.place >= 0
+        self.words = np.where(self.free, words[self.place], 0) if len(at) else words[:0]
+        self.hashes = Bytes(self.words)
+
+    def longest(self) -> int:
+        edge = np.diff(np.concatenate(([0], self.free.view(np.int8), [0])))
+        return int((np.flatnonzero(edge == -1) - np.flatnonzero(edge == 1)).max(initial=0))
+
+    def runs(self, n: int) -> tuple[np.ndarray, np.ndarray]:
+        """Starts and hashes of the unmarked runs of n tokens."""
+        total = np.concatenate(([0], np.cumsum(self.free)))
+        at = np.flatnonzero(total[n:] - total[:-n] == n) if len(self.free) >= n else np.zeros(0, np.int64)
+        return at, self.hashes.hashes(at, at + n)
+
+
 def tile(pattern: np.ndarray, text: np.ndarray, least: int = MIN_MATCH) -> list[tuple[int, int, int]]:
     """Greedy string tiling of token hashes: (place in pattern, place in text, length), no overlaps.
 
-    Each round looks for matches of the current length among unmarked tokens by running Karp-Rabin
-    hashes, extends them, and marks the longest, until nothing of ``least`` tokens is left. The
-    length starts at the longest extension of any seed, as in the running form of the method.
+    Tokens that share no seed of ``least`` with the other side cannot be in a tile and are left out.
+    Each round finds the length of the longest match among unmarked tokens by running Karp-Rabin
+    hashes of one length for all places at once, halving the range of lengths; then marks matches of
+    that length from the pattern's start, each at the first place in the text that is unmarked. So a
+    round takes time in proportion to both sides, not to their product, however often they repeat
+    themselves. It ends when no match of ``least`` tokens is left.
     """
-    free_p, free_t = np.ones(len(pattern), bool), np.ones(len(text), bool)
-    tiles = []
+    hp, ht = _grams(pattern, least), _grams(text, least)
+    p = _Side(pattern, _under(np.flatnonzero(np.isin(hp, ht)), len(pattern), least))
+    t = _Side(text, _under(np.flatnonzero(np.isin(ht, hp)), len(text), least))
+    tiles: list[tuple[int, int, int]] = []
     while True:
-        hp, ht = gram_hashes(pattern, least), gram_hashes(text, least)
-        # seeds whose tokens are all unmarked
-        wp = np.flatnonzero(np.convolve(free_p, np.ones(least, int), "valid") == least) if len(hp) else np.zeros(0, int)
-        wt = np.flatnonzero(np.convolve(free_t, np.ones(least, int), "valid") == least) if len(ht) else np.zeros(0, int)
-        where = defaultdict(list)
-        wanted = np.isin(ht[wt], hp[wp])
-        for t in wt[wanted].tolist():
-            where[int(ht[t])].append(t)
-        best, found, reached = least, [], {}
-        for p in wp.tolist():
-            for t in where.get(int(hp[p]), ()):
-                if (p - 1, t - 1) in reached:  # inside a match that began earlier
-                    reached[p, t] = reached[p - 1, t - 1] - 1
-                    continue
-                n = 0
-                while p + n < len(pattern) and t + n < len(text) and free_p[p + n] and free_t[t + n] and pattern[p + n] == text[t + n]:
-                    n += 1
-                if n >= least:
-                    reached[p, t] = n
-                if n > best:
-                    best, found = n, [(p, t)]
-                elif n == best:
-                    found.append((p, t))
-        if not found:
+        low, high, matches = least - 1, min(p.longest(), t.longest()), None
+        while low < high:
+            n = (low + high + 1) // 2
+            (ap, hp), (at, ht) = p.runs(n), t.runs(n)
+            shared = np.isin(hp, ht)
+            if shared.any():
+                low, matches = n, (ap[shared], hp[shared], at, ht)
+            else:
+                high = n - 1
+        if matches is None:
             return tiles
-        for p, t in found:
-            if free_p[p : p + best].all() and free_t[t : t + best].all():
-                free_p[p : p + best] = free_t[t : t + best] = False
-                tiles.append((p, t, best))
+        ap, hp, at, ht = matches
+        by = np.lexsort((at, ht))
+        at, ht = at[by], ht[by]
+        begin, end = (np.searchsorted(ht, hp, side=x) for x in ("left", "right"))
+        after, nxt = 0, {}
+        for i, a in enumerate(ap.tolist()):
+            if a < after:
+                continue
+            k, last = nxt.get(int(begin[i]), int(begin[i])), int(end[i])
+            while k < last and not t.free[at[k] : at[k] + low].all():
+                k += 1
+            nxt[int(begin[i])] = k
+            if k == last:
+                continue
+            b = int(at[k])
+            p.free[a : a + low] = t.free[b : b + low] = False
+            nxt[int(begin[i])] = int(np.searchsorted(at[k:last], b + low)) + k
+            tiles.append((int(p.place[a]), int(t.place[b]), low))
+            after = a + low
 
 
 class Index:
-    """Seeds of a block of benchmark items."""
+    """Seeds of a block of benchmark items. Items of fewer tokens than a seed have none."""
 
     def __init__(self, items: list[tuple], least: int):
         self.least = least
         self.ids = [i for i, _ in items]
         words, owner = tokens([plain(t) for _, t in items])
         self.words = np.split(words, np.searchsorted(owner, np.arange(1, len(items)))) if items else []
-        # an item of fewer tokens is one seed of its own length
-        seeds: dict[int, list[tuple[int, int]]] = defaultdict(list)
-        for k, w in enumerate(self.words):
-            n = min(least, len(w))
-            if n:
-                seeds[n].append((k, n))
-        self.seeds: dict[int, tuple[np.ndarray, np.ndarray]] = {}
-        for n, some in seeds.items():
-            h = np.concatenate([gram_hashes(self.words[k], n) for k, _ in some])
-            own = np.concatenate([np.full(len(self.words[k]) - n + 1, k) for k, _ in some])
-            order = np.argsort(h, kind="stable")
-            self.seeds[n] = h[order], own[order]
-
-    def candidates(self, words: np.ndarray, owner: np.ndarray, n_docs: int) -> Iterator[tuple[int, set[int]]]:
-        """Documents with the items they share a seed with."""
-        hits: dict[int, set[int]] = defaultdict(set)
-        for n, (h, own) in self.seeds.items():
-            grams = gram_hashes(words, n)
-            if not len(grams):
-                continue
-            low = np.searchsorted(h, grams)
-            found = np.flatnonzero((h[np.minimum(low, len(h) - 1)] == grams) & (owner[: len(grams)] == owner[n - 1 :]))
-            high = np.searchsorted(h, grams[found], side="right")
-            for at, a, b in zip(found.tolist(), low[found].tolist(), high.tolist(), strict=True):
-                hits[int(owner[at])].update(own[a:b].tolist())
-        yield from hits.items()
+        grams = [_grams(w, least) for w in self.words]
+        h = np.concatenate(grams) if grams else np.zeros(0, np.uint64)
+        own = np.repeat(np.arange(len(grams)), [len(g) for g in grams])
+        order = np.lexsort((own, h))
+        self.grams, self.hash, self.own = grams, h[order], own[order]
+
+    def candidates(self, words: np.ndarray, owner: np.ndarray, coverage: float) -> Iterator[tuple[int, int]]:
+        """Pairs of a document and an item whose shared seeds cover enough of the item for it to be
+        in reach of ``coverage``; all such pairs, each once."""
+        h = _grams(words, self.least)
+        if not len(h) or not len(self.hash):
+            return
+        inside = owner[: len(h)] == owner[self.least - 1 :]
+        low = np.searchsorted(self.hash, h)
+        hit = np.flatnonzero(inside & (self.hash[np.minimum(low, len(self.hash) - 1)] == h))
+        order = np.lexsort((h[hit], owner[hit]))
+        hit = hit[order]
+        new = np.concatenate(([True], (h[hit][1:] != h[hit][:-1]) | (owner[hit][1:] != owner[hit][:-1])))[: len(hit)]
+        hit = hit[new]  # a seed counts once a document
+        ends = np.flatnonzero(np.append(owner[hit][1:] != owner[hit][:-1], len(hit) > 0)) + 1
+        start = 0
+        for end in ends.tolist():
+            mine = hit[start:end]
+            start = end
+            seeds = h[mine]  # sorted
+            first, last = low[mine], np.searchsorted(self.hash, seeds, side="right")
+            items = np.unique(np.concatenate([self.own[a:b] for a, b in zip(first.tolist(), last.tolist(), strict=True)]))
+            for k in items.tolist():
+                at = np.searchsorted(seeds, self.grams[k])
+                starts = np.flatnonzero(seeds[np.minimum(at, len(seeds) - 1)] == self.grams[k])
+                n = len(self.words[k])
+                if _under(starts, n, self.least).sum() >= coverage * n:
+                    yield int(owner[mine[0]]), k
 
 
 def _blocks(benchmark: DataFrame, block_chars: int) -> Iterator[list[tuple]]:
@@ -138,14 +190,12 @@ def _matches(batch: pa.RecordBatch, index: Index, coverage: float) -> Iterator[t
             size += len(texts[last])
             last += 1
         words, owner = tokens(texts[first:last])
-        for doc, some in index.candidates(words, owner, last - first):
+        for doc, k in index.candidates(words, owner, coverage):
             a, b = np.searchsorted(owner, [doc, doc + 1])
-            for k in sorted(some):
-                pattern = index.words[k]
-                tiles = tile(pattern, words[a:b], min(index.least, len(pattern)))
-                n = sum(t[2] for t in tiles)
-                if n >= coverage * len(pattern):
-                    yield first + doc, index.ids[k], len(pattern), n, len(tiles)
+            tiles = tile(index.words[k], words[a:b], index.least)
+            n = sum(t[2] for t in tiles)
+            if n >= coverage * len(index.words[k]):
+                yield first + doc, index.ids[k], len(index.words[k]), n, len(tiles)
         first = last
 
 
@@ -156,11 +206,12 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, least: int = MIN_MATCH,
     if tiles of at least ``least`` tokens cover ``coverage`` of its tokens, in whatever order they
     stand in the document. The benchmark's size is measured first; it goes to the workers in blocks
     of at most ``block_chars`` characters (an item is never cut), each block against all documents
-    in one scan that shuffles nothing. Only pairs that share a seed are tiled.
+    in one scan that shuffles nothing. Only pairs whose shared seeds could cover enough are tiled.
 
     Null and empty texts, and texts without letters or digits, match nothing. An item of fewer
-    tokens than ``least`` must be there whole. Repeated rows of either table each give their pairs.
-    Null ids are kept. An empty benchmark or table gives no row.
+    tokens than ``least`` says too little to contaminate anything and matches nothing; see
+    ``short_items``. Very long texts are tiled whole. Repeated rows of either table each give their
+    pairs. Null ids are kept; other columns are not read. An empty benchmark or table gives no row.
     """
     small_batches(docs.sparkSession)
     fields = [StructField("doc_id", docs.schema["doc_id"].dataType), StructField("item_id", benchmark.schema["item_id"].dataType)]
@@ -168,8 +219,10 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, least: int = MIN_MATCH,
     arrow = to_arrow_schema(schema)
 
     def one(items: list[tuple]) -> DataFrame:
+        sent = docs.sparkSession.sparkContext.broadcast(items)
+
         def match(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            index = Index(items, least)
+            index = Index(sent.value, least)
             for batch in batches:
                 ids = batch.column("doc_id").to_pylist()
                 found = [(ids[i], item, of, n, tiles, n / of) for i, item, of, n, tiles in _matches(batch, index, coverage)]
@@ -187,8 +240,10 @@ def clean(docs: DataFrame, benchmark: DataFrame, least: int = MIN_MATCH, coverag
     small_batches(docs.sparkSession)
 
     def one(rows: DataFrame, items: list[tuple]) -> DataFrame:
+        sent = docs.sparkSession.sparkContext.broadcast(items)
+
         def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            index = Index(items, least)
+            index = Index(sent.value, least)
             for batch in batches:
                 stay = np.ones(batch.num_rows, bool)
                 stay[[m[0] for m in _matches(batch, index, coverage)]] = False
@@ -197,3 +252,17 @@ def clean(docs: DataFrame, benchmark: DataFrame, least: int = MIN_MATCH, coverag
         return rows.mapInArrow(keep, docs.schema)
 
     return reduce(one, _blocks(benchmark, block_chars), docs)
+
+
+def short_items(benchmark: DataFrame, least: int = MIN_MATCH) -> DataFrame:
+    """item_id, n_item_tokens of the items that are too short to be looked for: fewer tokens than a
+    seed. A null text has none."""
+    small_batches(benchmark.sparkSession)
+    kind = benchmark.schema["item_id"].dataType.simpleString()
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            n = [len(plain(t).split()) for t in texts_of(batch)]
+            yield pa.RecordBatch.from_arrays([batch.column("item_id"), pa.array(n, pa.int64())], ["item_id", "n_item_tokens"])
+
+    return benchmark.select("item_id", "text").mapInArrow(count, f"item_id {kind}, n_item_tokens long").where(F.col("n_item_tokens") < least)

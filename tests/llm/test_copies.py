@@ -1,6 +1,7 @@
 import hashlib
 import os
 import random
+import time
 from collections import Counter, defaultdict
 
 import numpy as np
@@ -9,7 +10,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from lineweave.llm.common import Scratch, read_table
-from lineweave.llm.decontaminate import clean, contaminated, tile
+from lineweave.llm.decontaminate import clean, contaminated, plain, short_items, tile
 from lineweave.llm.graph import components
 from lineweave.llm.near_duplicates import bands, near_duplicates, prob_min_hash, shingles, similarity
 from lineweave.llm.repeats import Level, _pieces, anchors, cut_repeats, enter, merge_depth, remove_repeats, removed_runs, text_key
@@ -261,11 +262,75 @@ def test_cut_repeats_keeps_rows_and_columns(spark, edge):
         assert r["text"] is None or hashlib.sha256(r["text"].encode()).hexdigest() in kept
 
 
+def naive_tiles(p, t, least):
+    """Greedy string tiling from its definition: all maximal matches, longest first, pattern's start first."""
+    mp, mt, tiles = [False] * len(p), [False] * len(t), []
+    while True:
+        best, found = least - 1, []
+        for i in range(len(p)):
+            for j in range(len(t)):
+                n = 0
+                while i + n < len(p) and j + n < len(t) and p[i + n] == t[j + n] and not mp[i + n] and not mt[j + n]:
+                    n += 1
+                if n > best:
+                    best, found = n, [(i, j)]
+                elif n == best and n >= least:
+                    found.append((i, j))
+        if not found:
+            return tiles
+        for i, j in found:
+            if not any(mp[i : i + best]) and not any(mt[j : j + best]):
+                mp[i : i + best] = mt[j : j + best] = [True] * best
+                tiles.append((i, j, best))
+
+
 def test_tile():
     v = lambda s: np.array([ord(c) for c in s], np.uint64)
-    assert tile(v("abcdefghij"), v("xxfghijyyabcdezz"), 5) in ([(0, 9, 5), (5, 2, 5)], [(5, 2, 5), (0, 9, 5)])
+    assert tile(v("abcdefghij"), v("xxfghijyyabcdezz"), 5) == [(0, 9, 5), (5, 2, 5)]
     assert tile(v("abcdefghij"), v("abcdefgh"), 5) == [(0, 0, 8)]
     assert tile(v("abcd"), v("abcd"), 5) == [] and tile(v("aaaaaaaa"), v("aaaaaaaaaaaaaaaaaaaa"), 5) == [(0, 0, 8)]
+    rng = random.Random(12)
+    for i in range(300):
+        letters = "ab" if i % 3 == 0 else "abcdefgh"
+        text = "".join(rng.choices(letters, k=rng.randint(0, 60)))
+        cut = [text[k : k + rng.randint(3, 20)] for k in (rng.randint(0, max(0, len(text))) for _ in range(3))]
+        pattern = "".join([*cut, *rng.choices(letters, k=rng.randint(0, 8))])
+        least = rng.choice([2, 3, 5])
+        assert tile(v(pattern), v(text), least) == naive_tiles(pattern, text, least), (pattern, text, least)
+
+
+def test_tile_of_texts_that_repeat_themselves():
+    """A million tokens of one kind against thousands: a round is linear in both."""
+    began = time.process_time()
+    same = lambda n: np.full(n, 7, np.uint64)
+    assert tile(same(8000), same(1_000_000), 5) == [(0, 0, 8000)]
+    pattern = np.tile(np.arange(40, dtype=np.uint64), 100)
+    assert sum(t[2] for t in tile(pattern, np.tile(np.arange(39, dtype=np.uint64), 20_000), 5)) == 100 * 39
+    assert time.process_time() - began < 20
+
+
+def test_decontamination_against_naive_tiling(spark):
+    rng = random.Random(13)
+    items = [(i, prose(800 + i, rng.randint(1, 25))) for i in range(12)] + [(12, prose(800, 25) + " " + prose(801, 3))]
+    docs = []
+    for i in range(40):
+        parts = [prose(900 + i, rng.randint(0, 12))]
+        for _ in range(rng.randint(0, 3)):
+            w = rng.choice(items)[1].split()
+            k = rng.randint(0, len(w))
+            parts += [" ".join(w[k:]).upper() + "!", prose(950 + i, rng.randint(0, 4)), " ".join(w[:k])]
+        docs.append((i, " ".join(parts)))
+    want = set()
+    for d, text in docs:
+        for k, item in items:
+            p, t = plain(item).split(), plain(text).split()
+            covered = sum(x[2] for x in naive_tiles(p, t, 5))
+            if len(p) >= 5 and covered >= 0.6 * len(p):
+                want.add((d, k, len(p), covered))
+    got = contaminated(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string"))
+    assert {(r["doc_id"], r["item_id"], r["n_item_tokens"], r["n_covered"]) for r in got.collect()} == want and len(want) > 15
+    short = short_items(spark.createDataFrame([*items, (13, None)], "item_id long, text string")).collect()
+    assert {r["item_id"] for r in short} == {13} | {k for k, t in items if len(t.split()) < 5}
 
 
 def test_decontamination(spark, edge, empty):
@@ -277,10 +342,10 @@ def test_decontamination(spark, edge, empty):
     ]
     table = spark.createDataFrame(docs, "doc_id long, text string")
     bench = spark.createDataFrame(items, "item_id long, text string")
-    want = {(1, 0), (2, 0), (5, 20), (7, 1), (7, 2)}
+    want = {(1, 0), (2, 0), (7, 1), (7, 2)}  # an item of three words is too short to look for
     for chars in (8 << 20, 400):  # one block, and many
         assert {(r["doc_id"], r["item_id"]) for r in contaminated(table, bench, block_chars=chars).collect()} == want
-        assert {r["doc_id"] for r in clean(table, bench, block_chars=chars).collect()} == {3, 4, 6, 8}
+        assert {r["doc_id"] for r in clean(table, bench, block_chars=chars).collect()} == {3, 4, 5, 6, 8}
     assert contaminated(empty, bench).count() == contaminated(table, bench.limit(0)).count() == 0
     assert clean(edge, bench).columns == edge.columns and clean(edge, bench).count() == edge.count()
     real = read_table(spark, SF, "benchmark")
@@ -302,19 +367,79 @@ def test_pipeline_on_edge_rows(spark, edge, empty):
         assert rows.count() >= least
 
 
-def test_pipeline_stages_take_effect(spark):
-    docs = read_table(spark, SF, "documents")
-    kept = []
+def test_recall_of_links(spark):
+    """Pairs of texts just above 0.8, by counted and by distinct shingles: bands miss almost none."""
+    rng = random.Random(21)
+    rows, pairs = [], 0
+    for k in range(300):
+        w = [f"{k}w{rng.randrange(10**6)}" for _ in range(rng.randint(60, 200))]
+        other = list(w)
+        if k % 2:  # one stretch replaced
+            n = int(len(w) * 0.07)
+            at = rng.randrange(5, len(w) - n - 5)
+            other[at : at + n] = [f"x{rng.randrange(10**6)}" for _ in range(n)]
+        else:  # a stretch repeated often beside a small change
+            at = rng.randrange(5, len(w) - 20)
+            other = w[:at] + w[at : at + 8] * rng.randint(10, 40) + w[at:]
+        a, b = " ".join(w), " ".join(other)
+        if brute_similarity(brute_shingles(a), brute_shingles(b)) >= 0.8:
+            pairs += 1
+            rows += [(2 * k, a), (2 * k + 1, b)]
+    got = dict(near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"))[0].select("doc_id", "class_id").collect())
+    assert pairs > 200 and sum(got[d] == d & ~1 for d, _ in rows) >= 0.99 * 2 * pairs
+
+
+def test_copies_are_signed_once(spark):
+    rows = [(i, prose(40, 100)) for i in range(500)] + [(1000 + i, prose(41, 100)) for i in range(3)]
+    found, scratch = near_duplicates(spark.createDataFrame(rows, "doc_id long, text string").repartition(4))
+    assert dict(found.select("doc_id", "class_id").collect()) == {d: 0 if d < 1000 else 1000 for d, _ in rows}
+    assert spark.read.parquet(scratch._tables["texts"]).count() == 2
+    assert found.where("first").count() == 2
+
+
+def brute_quality(docs, trusted):
+    """Which documents the rules and the mean log ratio keep, in exact arithmetic over hashed n-grams."""
+    from lineweave.llm.quality import BUCKETS, THRESHOLD, Chunk, buckets
+    from tests.llm.test_text import rules
+
+    raw, target, grams = Counter(), Counter(), {}
+    for d, text in docs.items():
+        grams[d] = buckets(Chunk([(text or "").encode()]))[0].tolist()
+        raw.update(grams[d])
+        if d in trusted:
+            target.update(grams[d])
+    n, m = sum(raw.values()) + BUCKETS, sum(target.values()) + BUCKETS
+    score = lambda b: np.log((target[b] + 1) / m) - np.log((raw[b] + 1) / n)
+    return {d for d, t in docs.items() if not rules(t)[5] and sum(map(score, grams[d])) / max(1, len(grams[d])) >= THRESHOLD}
+
+
+def test_pipeline_stages_against_brute_force(spark):
+    """Each stage on what the one before it kept."""
+    docs = read_table(spark, SF, "documents").select(*corpus_pipeline.COLUMNS)
+    seen = [{r["doc_id"]: r["text"] for r in docs.collect()}]
     for _, stage in corpus_pipeline.STAGES[:-1]:
         docs = stage(spark, docs, SF)
         docs = spark.createDataFrame(docs.collect(), docs.schema)
-        kept.append({r["doc_id"]: r["text"] for r in docs.collect()})
-    quality, near, cut, safe = kept
-    assert all(len(t.split()) >= 20 for t in quality.values())
+        seen.append({r["doc_id"]: r["text"] for r in docs.collect()})
+    documents, quality, near, cut, safe = seen
+    trusted = {r["doc_id"] for r in read_table(spark, SF, "labels").where("quality = 1").collect()}
+    assert set(quality) == brute_quality(documents, trusted) and len(quality) < len(documents)
     classes = dict(brute_classes(sorted(quality.items())))
-    assert set(near) == {d for d, c in classes.items() if d == c}
-    assert set(cut) == set(near) and any(cut[d] != near[d] for d in cut) or cut == near
-    bench = spark.createDataFrame([(1, "zz")], "item_id long, text string")
-    assert clean(spark.createDataFrame(list(safe.items()), "doc_id long, text string"), bench).count() == len(safe)
+    assert set(near) == {d for d, c in classes.items() if d == c} and len(near) < len(quality)
+    ids = sorted(near)
+    want = {d: x[4].decode("utf-8", "ignore") for d, x in zip(ids, brute_repeats([near[d] for d in ids], 200), strict=True)}
+    assert cut == want and cut != near
+    bench = [(r["item_id"], plain(r["text"]).split()) for r in read_table(spark, SF, "benchmark").collect()]
+    bad = set()
+    for d, text in cut.items():
+        words = plain(text).split()
+        have = {tuple(words[i : i + 5]) for i in range(len(words) - 4)}
+        for _, p in bench:
+            if any(tuple(p[i : i + 5]) in have for i in range(len(p) - 4)) and sum(x[2] for x in naive_tiles(p, words, 5)) >= 0.6 * len(p):
+                bad.add(d)
+                break
+    assert set(safe) == set(cut) - bad and all(safe[d] == cut[d] for d in safe)
     pieces = corpus_pipeline.run(spark, SF)
     assert {r["doc_id"] for r in pieces.select("doc_id").distinct().collect()} == set(safe)
+    starts = pieces.groupBy("sequence_id").agg(F.sum("length").alias("n")).agg(F.max("n")).first()[0]
+    assert starts <= 2048
