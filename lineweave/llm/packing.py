@@ -155,14 +155,16 @@ def pack(docs: DataFrame, tokenizer: str, end_id: int, window: int = 2048, memo:
     once and do not move; what is shuffled is a few numbers per document. The remainders' histogram
     (fewer than ``window`` counts) goes to the driver, which plans sequences on it. Documents find
     their place by their rank among remainders of the same length. Ranks are counted in salted
-    groups, so one frequent length is no hot key: a rank is the group's offset plus the rank in it.
+    groups, so neither a frequent length nor any number of equal rows makes a hot key: a rank is the
+    group's offset plus the rank in it. Groups are drawn by the rows' numbers.
 
     Null texts are empty and have the end id alone; null or repeated doc_ids are documents like
     others; an empty table gives no piece.
     """
     spark = docs.sparkSession
     scratch = Scratch(spark, "packing")
-    sizes = scratch.table(measured(docs, tokenizer, end_id, window, memo), "sizes")
+    # rows are numbered where they are written, so that rows alike in all else can be told apart
+    sizes = scratch.table(measured(docs, tokenizer, end_id, window, memo).withColumn("row", F.monotonically_increasing_id()), "sizes")
     sizes = sizes.withColumn("rest", F.col("doc_tokens") % window).withColumn("full", F.floor(F.col("doc_tokens") / window))
     counted = sizes.groupBy("rest").agg(F.count("*").alias("n"), F.sum("full").alias("full")).collect()  # at most `window` rows
     histogram = np.zeros(window + 1, np.int64)
@@ -173,7 +175,7 @@ def pack(docs: DataFrame, tokenizer: str, end_id: int, window: int = 2048, memo:
     key, first, shift, _ = slots(plan(histogram, window))
 
     salts = max(16, -(-rows // RANKED_ROWS))
-    salted = sizes.withColumn("salt", F.pmod(F.xxhash64("doc_id", "crcs"), F.lit(salts)))
+    salted = sizes.withColumn("salt", F.pmod(F.xxhash64("row"), F.lit(salts)))
     groups = salted.groupBy("salt", "rest").agg(F.count("*").alias("n"), F.sum("full").alias("full"))
     # offsets: of a length over the salts before; of full sequences over the groups before, in two steps
     per_salt = groups.groupBy("salt").agg(F.sum("full").alias("f"))
@@ -181,7 +183,7 @@ def pack(docs: DataFrame, tokenizer: str, end_id: int, window: int = 2048, memo:
     per_salt = per_salt.select("salt", F.coalesce(F.sum("f").over(before), F.lit(0)).alias("full_base"))
     by_rest = Window.partitionBy("rest").orderBy("salt").rowsBetween(Window.unboundedPreceding, -1)
     offsets = groups.select("salt", "rest", F.coalesce(F.sum("n").over(by_rest), F.lit(0)).alias("rank_base")).join(per_salt, "salt")
-    order = ["doc_id", "doc_tokens", "crcs"]
+    order = ["doc_id", "doc_tokens", "row"]
     in_group = Window.partitionBy("salt", "rest").orderBy(*order)
     in_salt = Window.partitionBy("salt").orderBy("rest", *order).rowsBetween(Window.unboundedPreceding, -1)
     ranked = (

@@ -4,18 +4,20 @@ File format. A file is a sequence of segments, each followed by one line end. A
 little-endian:
 
 ====================  =======================================================
-8 bytes               magic ``LWTOKEN1``
+8 bytes               magic ``LWTOKEN2``
 u32 x 4               block length, documents, blocks, words
 u64                   ids
 u32                   crc32 of what follows in the segment
-i64 x documents       doc_id (the lowest 64-bit value stands for null)
+i64 x documents       doc_id, 0 where it is null
 u32 x documents       ids of the document
+u8 x documents        1 where the doc_id is null
 u32 x blocks          offset of the block's first word, for decoding a part
 u64 x words           Simple-8b words
 ====================  =======================================================
 
 Documents ascend by doc_id within a segment, across a file's segments and across files by part
-number. A document never spans segments. Spark's text writer commits the files, so lost executors
+number and number within the part. A document never spans segments; a file has ``FILE_SEGMENTS`` of
+them at most. Spark's text writer commits the files, so lost executors
 and retried tasks leave no half files, and any file system that Spark knows will do.
 """
 
@@ -34,11 +36,12 @@ from lineweave.llm import simple8b
 from lineweave.llm.bpe import MEMO, Encoder, kept, tokenizer_json
 from lineweave.llm.common import Scratch, small_batches
 
-MAGIC = b"LWTOKEN1"
+MAGIC = b"LWTOKEN2"
 HEAD = struct.Struct("<8s4IQI")
-NULL_ID = -(2**63)
 #: Ids after which a segment is closed; it bounds a task's memory.
 SEGMENT_IDS = 1 << 20
+#: Segments of a file, some 150 MB of common text; a part with more goes on in further files.
+FILE_SEGMENTS = 64
 #: Ids coded in one go, so that the coder's arrays stay in cache.
 SLICE = 1 << 16
 
@@ -56,8 +59,9 @@ def pack_segment(doc_ids: list[int | None], ids: list[bytes], block: int = simpl
     offset = np.concatenate(offsets) if offsets else np.zeros(0, np.uint32)
     body = b"".join(
         [
-            np.array([NULL_ID if d is None else d for d in doc_ids], "<i8").tobytes(),
+            np.array([d or 0 for d in doc_ids], "<i8").tobytes(),
             np.array([len(x) // 4 for x in ids], "<u4").tobytes(),
+            np.array([d is None for d in doc_ids], np.uint8).tobytes(),
             offset.astype("<u4").tobytes(),
             *(w.astype("<u8").tobytes() for w in words),
         ]
@@ -65,26 +69,27 @@ def pack_segment(doc_ids: list[int | None], ids: list[bytes], block: int = simpl
     return HEAD.pack(MAGIC, block, len(doc_ids), len(offset), base, len(values), zlib.crc32(body)) + body
 
 
-def unpack_segments(content: bytes) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """doc_ids, lengths and ids of each segment of a file."""
+def unpack_segments(content: bytes) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """doc_ids, which of them are null, lengths and ids of each segment of a file."""
     at = 0
     while at < len(content):
         magic, _, docs, blocks, words, n, crc = HEAD.unpack_from(content, at)
         begin = at + HEAD.size
-        at = begin + 12 * docs + 4 * blocks + 8 * words
+        at = begin + 13 * docs + 4 * blocks + 8 * words
         if magic != MAGIC or zlib.crc32(content[begin:at]) != crc:
             raise ValueError("not a whole token segment")
         doc_ids = np.frombuffer(content, "<i8", docs, begin)
         lengths = np.frombuffer(content, "<u4", docs, begin + 8 * docs)
-        offset = np.frombuffer(content, "<u4", blocks, begin + 12 * docs)
-        coded = np.frombuffer(content, "<u8", words, begin + 12 * docs + 4 * blocks)
+        null = np.frombuffer(content, np.uint8, docs, begin + 12 * docs).astype(bool)
+        offset = np.frombuffer(content, "<u4", blocks, begin + 13 * docs)
+        coded = np.frombuffer(content, "<u8", words, begin + 13 * docs + 4 * blocks)
         block = HEAD.unpack_from(content, begin - HEAD.size)[1]
         per = max(1, SLICE // block)
         parts = []
         for b in range(0, blocks, per):
             end = offset[b + per] if b + per < blocks else words
             parts.append(simple8b.decode(coded[offset[b] : end], min(per * block, n - b * block)))
-        yield doc_ids, lengths, np.concatenate(parts) if parts else np.zeros(0, np.uint64)
+        yield doc_ids, null, lengths, np.concatenate(parts) if parts else np.zeros(0, np.uint64)
         at += 1  # the line end
 
 
@@ -92,8 +97,9 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, end_id: int, memo:
     """Writes the ids of ``docs`` (doc_id integer, text) with ``end_id`` after each document.
 
     One range exchange puts documents in doc_id order (nulls first; equal ids by their text, so the
-    files are the same on every run); its partitions are as many as Spark's settings say. Texts are
-    encoded after it. A null text is empty and has the end id alone.
+    files are the same on every run); its partitions are as many as Spark's settings say. The last
+    range key is where a row was read, so rows that are alike in all else spread over ranges too.
+    Texts are encoded after it. A null text is empty and has the end id alone.
     """
     spec = tokenizer_json(tokenizer)
     end = struct.pack("<I", end_id)
@@ -114,14 +120,14 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, end_id: int, memo:
             yield pa.RecordBatch.from_arrays([pa.array([pack_segment(doc_ids, ids)], pa.binary())], ["value"])
 
     ordered = (
-        docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("tie"))
-        .repartitionByRange("doc_id", "tie")
+        docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("tie"), F.monotonically_increasing_id().alias("read"))
+        .repartitionByRange("doc_id", "tie", "read")
         .sortWithinPartitions("doc_id", "tie", "text")
         .select("doc_id", "text")
     )
     segments = ordered.mapInArrow(encode, "value binary")
     # bytes pass through the text writer unchanged; nothing checks that they are UTF-8
-    segments.select(F.col("value").cast("string")).write.mode("overwrite").option("compression", "none").text(path)
+    segments.select(F.col("value").cast("string")).write.mode("overwrite").option("compression", "none").option("maxRecordsPerFile", FILE_SEGMENTS).text(path)
 
 
 def read_tokens(spark: SparkSession, path: str, ids: bool = False) -> DataFrame:
@@ -134,7 +140,7 @@ def read_tokens(spark: SparkSession, path: str, ids: bool = False) -> DataFrame:
         for batch in batches:
             for file, content in zip(batch.column("path").to_pylist(), batch.column("content"), strict=True):
                 place, at = 0, 0
-                for doc_ids, lengths, values in unpack_segments(content.as_py()):
+                for doc_ids, null, lengths, values in unpack_segments(content.as_py()):
                     ends = np.cumsum(lengths, dtype=np.int64)
                     raw = memoryview(values.astype("<u4").tobytes())
                     crcs = [zlib.crc32(raw[4 * (e - n) : 4 * e]) for e, n in zip(ends.tolist(), lengths.tolist(), strict=True)]
@@ -142,7 +148,7 @@ def read_tokens(spark: SparkSession, path: str, ids: bool = False) -> DataFrame:
                     columns = {
                         "file": pa.array([file] * k, pa.string()),
                         "place": pa.array(np.arange(place, place + k)),
-                        "doc_id": pa.array(doc_ids.astype(np.int64), mask=doc_ids == NULL_ID),
+                        "doc_id": pa.array(doc_ids.astype(np.int64), mask=null),
                         "at": pa.array(ends - lengths + at),
                         "n_tokens": pa.array(lengths.astype(np.int64)),
                         "ids_crc32": pa.array(crcs, pa.int64()),
@@ -172,8 +178,8 @@ def token_store_digest(docs: DataFrame, tokenizer: str, end_id: int = 2) -> Data
     path = scratch.path("store")
     write_tokens(docs, path, tokenizer, end_id)
     stored = scratch.table(read_tokens(spark, path), "digest")
-    number = F.regexp_extract("file", r"part-(\d+)", 1).cast("long")
+    number = [F.regexp_extract("file", p, 1).cast("long") for p in (r"part-(\d+)", r"-c(\d+)\.")]
     files = stored.groupBy("file").agg(F.sum("n_tokens").alias("n"))
-    before = F.sum("n").over(Window.orderBy(number).rowsBetween(Window.unboundedPreceding, -1))
+    before = F.sum("n").over(Window.orderBy(*number).rowsBetween(Window.unboundedPreceding, -1))
     base = files.select("file", F.coalesce(before, F.lit(0)).alias("base"))
     return stored.join(base, "file").select("doc_id", (F.col("base") + F.col("at")).alias("start"), "n_tokens", "ids_crc32")

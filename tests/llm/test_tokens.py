@@ -1,13 +1,15 @@
 import random
+import re
 import zlib
 from collections import defaultdict
 
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from lineweave.llm import simple8b
+from lineweave.llm import packing, simple8b, token_store
 from lineweave.llm.bpe import Counter, Encoder, prove_whole_tokens, tokenizer_json
 from lineweave.llm.common import read_table
 from lineweave.llm.packing import pack, plan
@@ -72,8 +74,8 @@ def test_simple8b_round_trip(high, n):
 def test_segments_and_damage():
     ids = [np.arange(i, dtype="<u4").tobytes() for i in (1, 0, 700)]
     raw = pack_segment([5, None, 7], ids)
-    ((doc_ids, lengths, values),) = unpack_segments(raw + b"\n")
-    assert lengths.tolist() == [1, 0, 700] and doc_ids.tolist() == [5, -(2**63), 7] and values[1:].tolist() == list(range(700))
+    ((doc_ids, null, lengths, values),) = unpack_segments(raw + b"\n")
+    assert lengths.tolist() == [1, 0, 700] and doc_ids.tolist() == [5, 0, 7] and null.tolist() == [False, True, False] and values[1:].tolist() == list(range(700))
     with pytest.raises(ValueError):
         list(unpack_segments(raw[:-3] + b"abc\n"))
 
@@ -127,3 +129,51 @@ def test_packing(spark, edge, empty, window):
         if docs is not edge:
             assert sum(p[2] for p in pieces) / (len(sequences) * window) > 0.97
     assert pack(empty, NAMES[1], 1).count() == 0
+
+
+def alike(spark, n=100_000):
+    """Rows alike in all columns, ids and texts null."""
+    return spark.range(n).select(F.lit(None).cast("long").alias("doc_id"), F.lit(None).cast("string").alias("text")).repartition(4)
+
+
+def test_store_of_rows_that_are_alike(spark, tmp_path, monkeypatch):
+    """They spread over files, and no file has more than its segments; the lowest id is no null."""
+    monkeypatch.setattr(token_store, "SEGMENT_IDS", 1000)
+    docs = alike(spark).unionAll(spark.createDataFrame([(-(2**63), "x")], "doc_id long, text string"))
+    path = (tmp_path / "store").as_uri()
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        token_store.write_tokens(docs, path, NAMES[0], 2)
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    files = token_store.read_tokens(spark, path).groupBy("file").agg(F.count("*").alias("n")).collect()
+    assert sum(r["n"] for r in files) == 100_001
+    assert len({re.search(r"part-(\d+)", r["file"])[1] for r in files}) >= 3 and max(r["n"] for r in files) <= 64 * 1000
+    got = token_store_digest(docs, NAMES[0], 2)
+    assert sorted(r["start"] for r in got.where("doc_id IS NULL").collect()) == list(range(100_000))
+    assert got.where(F.col("doc_id") == -(2**63)).count() == 1
+
+
+def test_packing_rows_that_are_alike(spark):
+    """Groups in which ranks are counted stay small."""
+    pieces = pack(alike(spark), NAMES[1], 1, 64)
+    n = pieces.agg(F.count("*"), F.count_distinct("sequence_id", "offset"), F.max("offset")).first()
+    assert tuple(n) == (100_000, 100_000, 63)
+    salted = spark.range(100_000).groupBy(F.pmod(F.xxhash64("id"), F.lit(max(16, 100_000 // packing.RANKED_ROWS)))).count()
+    assert salted.agg(F.max("count")).first()[0] < 2 * packing.RANKED_ROWS
+
+
+def test_nnls_meets_the_conditions_of_an_optimum():
+    """At the least distance no count can be raised, or lowered above 0, with profit."""
+    rng = np.random.default_rng(3)
+    columns = packing.combinations(24)
+    target = np.bincount(rng.integers(1, 24, 500), minlength=25).astype(float)
+    target[0] = target[24] = 0
+    columns = [c for c in columns if all(target[k] > 0 for k in c)]
+    x = packing.nnls(columns, target, rounds=20_000)
+    matrix = np.zeros((25, len(columns)))
+    for j, c in enumerate(columns):
+        for k in c:
+            matrix[k, j] += 1
+    slope = matrix.T @ (matrix @ x - target)
+    assert (x >= 0).all() and slope.min() > -1e-2 and np.abs(slope[x > 1e-6]).max() < 1e-2
