@@ -1,8 +1,7 @@
 """From raw documents to packed training sequences.
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame; its result is written as Parquet and
-read again as the next stage's ``docs``. All but the last return the columns of ``documents``. A
-stage deletes the scratch tables of the stages before it, as their results are written by then.
+read again as the next stage's ``docs``. All but the last return the columns of ``documents``.
 
 * quality_rules drops what the fixed rules or the n-gram ratio reject. Documents without text go;
   the trusted texts are the documents of ``docs`` that ``labels`` marks with quality 1.
@@ -11,10 +10,16 @@ stage deletes the scratch tables of the stages before it, as their results are w
   of a character that a cut splits; n_chars is counted anew where it was known. No row goes.
 * decontamination drops documents that contain a benchmark item.
 * packing returns the pieces of the packed sequences.
+
+An empty table gives an empty result at every stage. Texts of any length are treated whole, each in
+one task. Columns of ``docs`` beyond those of ``documents`` are not carried, so their names clash
+with nothing. Null doc_ids and repeated rows are rows like others, but the second stage leaves one of
+rows alike in doc_id and text.
 """
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -35,6 +40,7 @@ def _only(docs: DataFrame) -> DataFrame:
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The rows that neither the fixed rules nor the n-gram ratio reject."""
     return quality(docs, read_table(spark, sf_dir, "labels"), carry=COLUMNS).where("kept").select(*COLUMNS)
 
 
@@ -48,45 +54,53 @@ def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All rows, without the bytes of 200-byte strings that start elsewhere in ``docs`` too."""
     return cut_repeats(_only(docs), length=200).select(*COLUMNS)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The rows that no benchmark item contaminates."""
     return clean(_only(docs), read_table(spark, sf_dir, "benchmark"))
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The pieces of packed sequences, as ``pack`` returns them."""
     return pack(docs, "byte_bpe_50k.json", end_id=1, window=2048)
 
 
-_spent: list[Scratch] = []
+_spent: list[tuple[int, str, Scratch]] = []
 
 
-def _stage(f: Callable, first: bool) -> Callable:
-    """Frees the scratch tables of the run's earlier stages, whose results are written by then."""
+def _stage(number: int, f: Callable) -> Callable:
+    """Frees what earlier stages of the same input left behind, if ``docs`` reads none of it: then
+    their results are written. What stays is freed when the interpreter ends."""
 
+    @functools.wraps(f)
     def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-        while _spent:
-            scratch = _spent.pop()
-            if not first:
-                scratch.release()
+        done = [x for x in _spent if x[0] < number and x[1] == sf_dir]
+        read = " ".join(docs.inputFiles()) if done else ""
+        for spent in done:
+            if spent[2].root.removeprefix("file://") not in read:
+                spent[2].release()
+                _spent.remove(spent)
         before = {id(s) for s in Scratch.live()}
         result = f(spark, docs, sf_dir)
-        _spent.extend(s for s in Scratch.live() if id(s) not in before)
+        _spent.extend((number, sf_dir, s) for s in Scratch.live() if id(s) not in before)
         return result
 
     return run_stage
 
 
-STAGES = [
-    ("quality_rules", _stage(quality_rules, True)),
-    ("near_duplicates", _stage(near_duplicate_stage, False)),
-    ("repeated_passages", _stage(repeated_passages, False)),
-    ("decontamination", _stage(decontamination, False)),
-    ("packing", _stage(packing, False)),
-]
+_FUNCTIONS = {
+    "quality_rules": quality_rules,
+    "near_duplicates": near_duplicate_stage,
+    "repeated_passages": repeated_passages,
+    "decontamination": decontamination,
+    "packing": packing,
+}
+STAGES = [(name, _stage(k, f)) for k, (name, f) in enumerate(_FUNCTIONS.items())]
 
-#: No stage but the base rules can be said in SQL; the tests hold each against a brute-force version.
+#: No stage but the base rules can be said in SQL; the tests hold each stage against a brute-force version.
 ORACLE_SQL = None
 
 
