@@ -191,6 +191,7 @@ def reported(spark, every: float = 2.0):
 
 
 def run_sort(args: list[str], spark=None) -> int:
+    from lineweave.operators.progress import last_stage, merge_summary
     from lineweave.operators.sort_file import sort_file
     from lineweave.session import session
 
@@ -207,7 +208,7 @@ def run_sort(args: list[str], spark=None) -> int:
     began = time.monotonic()
     spark = spark or session("sort")
     with reported(spark):
-        size = sort_file(spark, f"file://{os.path.abspath(source)}", target, temp, max_line)
+        size = sort_file(spark, f"file://{os.path.abspath(source)}", target, temp, max_line, told=lambda parts: say(merge_summary(parts, last_stage(spark))))
     say(f"Sorted {describe_size(size)} in {time.monotonic() - began:.1f}s.")
     return OK
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -29,18 +30,27 @@ class Options:
             raise ValueError("the ratio is from 0 to 1 and the size not negative")
 
 
-def draw(seed: Column | int, key: Column, purpose: str, modulus: int) -> Column:
-    """A number below ``modulus`` from md5, the same in every engine that has it."""
+def digest(seed: Column | int, key: Column, purpose: str) -> Column:
+    """128 bits in hex from md5, the same in every engine that has it."""
     seed = seed if isinstance(seed, Column) else F.lit(seed)
-    digest = F.md5(F.concat_ws(":", seed.cast("string"), key.cast("string"), F.lit(purpose)).cast("binary"))
-    return F.conv(F.substring(digest, 1, 15), 16, 10).cast("long") % F.lit(modulus)
+    return F.md5(F.concat_ws(":", seed.cast("string"), key.cast("string"), F.lit(purpose)).cast("binary"))
 
 
-def _words(seed: int, key: Column, purpose: str) -> Column:
-    vocabulary = F.array(*[F.lit(w) for w in WORDS])
-    n = draw(seed, key, purpose + "n", 4) + 1
-    picked = F.array(*[F.element_at(vocabulary, (draw(seed, key, f"{purpose}{i}", len(WORDS)) + 1).cast("int")) for i in range(4)])
-    return F.array_join(F.slice(picked, F.lit(1), n.cast("int")), " ")
+def cut(hexes: Column, at: int, width: int, modulus: int) -> Column:
+    """A number below ``modulus`` from some digits of a digest, counted from 1."""
+    return F.conv(F.substring(hexes, at, width), 16, 10).cast("long") % F.lit(modulus)
+
+
+def draw(seed: Column | int, key: Column, purpose: str, modulus: int) -> Column:
+    """A number below ``modulus`` of its own digest."""
+    return cut(digest(seed, key, purpose), 1, 15, modulus)
+
+
+def shared_part(seed: int, slot: int) -> str:
+    """One of the string parts that lines share, made like others but on the driver."""
+    hexes = hashlib.md5(f"{seed}:{slot}:part".encode()).hexdigest()
+    numbers = [int(hexes[i : i + 8], 16) for i in range(0, 32, 8)]
+    return " ".join([*(WORDS[n % len(WORDS)] for n in numbers[: numbers[3] % 4 + 1]), "s"])
 
 
 def lines(spark: SparkSession, n: int, seed: int = 0, ratio: float = 0.1) -> DataFrame:
@@ -48,16 +58,21 @@ def lines(spark: SparkSession, n: int, seed: int = 0, ratio: float = 0.1) -> Dat
 
     A line shares its string part with probability ``ratio``, one of 64 parts; other parts end in a
     token of their own, so they never repeat by chance. With a ratio above 0 the first two lines
-    share a part. A number's count of digits is drawn first.
+    share a part. A number's count of digits is drawn first. Three digests serve a line.
     """
     ids = spark.range(n)
     key = F.col("id")
-    shared = (draw(seed, key, "share", 1_000_000) < int(round(ratio * 1_000_000))) | ((key < 2) if ratio > 0 else F.lit(False))
-    slot = F.when(key < 2, F.lit(0)).otherwise(draw(seed, key, "slot", SHARED))
-    digits = draw(seed, key, "digits", MAX_DIGITS) + 1
-    wide = F.concat(draw(seed, key, "high", 10**9).cast("string"), F.lpad(draw(seed, key, "low", 10**10).cast("string"), 10, "0"))
+    ids = ids.withColumns({"_line": digest(seed, key, "line"), "_number": digest(seed, key, "number"), "_words": digest(seed, key, "words")})
+    shared = (cut(F.col("_line"), 1, 8, 1_000_000) < int(round(ratio * 1_000_000))) | ((key < 2) if ratio > 0 else F.lit(False))
+    slot = F.when(key < 2, F.lit(0)).otherwise(cut(F.col("_line"), 9, 8, SHARED))
+    digits = cut(F.col("_line"), 17, 8, MAX_DIGITS) + 1
+    wide = F.concat(cut(F.col("_number"), 1, 15, 10**9).cast("string"), F.lpad(cut(F.col("_number"), 16, 15, 10**10).cast("string"), 10, "0"))
     number = F.expr("try_cast(ltrim('0', _wide) AS bigint)")
-    text = F.when(shared, F.concat_ws(" ", _words(seed, slot, "part"), F.lit("s"))).otherwise(F.concat_ws(" ", _words(seed, key, "word"), base36(key)))
+    vocabulary = F.array(*[F.lit(w) for w in WORDS])
+    picked = F.array(*[F.element_at(vocabulary, (cut(F.col("_words"), 8 * i + 1, 8, len(WORDS)) + 1).cast("int")) for i in range(4)])
+    own = F.array_join(F.slice(picked, F.lit(1), (cut(F.col("_line"), 25, 8, 4) + 1).cast("int")), " ")
+    parts = F.array(*[F.lit(shared_part(seed, k)) for k in range(SHARED)])
+    text = F.when(shared, F.element_at(parts, (slot + 1).cast("int"))).otherwise(F.concat_ws(" ", own, base36(key)))
     out = ids.withColumn("_wide", F.substring(F.lpad(wide, 19, "1"), F.lit(1), digits.cast("int"))).withColumn("string_part", text)
     out = out.withColumn("number", F.coalesce(number, F.lit(0)))
     return out.select("id", "number", "string_part", F.concat(F.col("number").cast("string"), F.lit(". "), "string_part").cast("binary").alias("line"))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+from collections.abc import Callable
 
 from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, Observation, SparkSession
@@ -43,13 +44,14 @@ def sorted_lines(spark: SparkSession, path: str, max_line: int = DEFAULT_MAX_LIN
     return rebuilt(compact(parsed).orderBy(*COMPACT))
 
 
-def sort_file(spark: SparkSession, source: str, destination: str, temp: str | None = None, max_line: int = DEFAULT_MAX_LINE) -> int:
+def sort_file(spark: SparkSession, source: str, destination: str, temp: str | None = None, max_line: int = DEFAULT_MAX_LINE, told: Callable[[list[int]], None] | None = None) -> int:
     """Sorts a file into one local file, published at once; returns its bytes. Empty input gives an
     empty file. Lines are validated on their way into the sort, which costs no pass of its own; a
-    malformed one stops the publication, so an existing result stays as it was."""
+    malformed one stops the publication, so an existing result stays as it was. ``told`` gets the bytes
+    of each range, in order."""
     temp = temp or os.path.dirname(os.path.abspath(destination))
     work = _Sorted(spark, source, max_line)
-    return publish(work.lines, destination, temp, accept=work.accept)
+    return publish(work.lines, destination, temp, accept=work.accept, told=told)
 
 
 def sort_to_parts(spark: SparkSession, source: str, folder: str, max_line: int = DEFAULT_MAX_LINE) -> None:

@@ -267,20 +267,21 @@ def verify_first_violation(spark, sf_dir):
     return found.select(F.col("seq").alias("line_no"), F.col("before").cast("string").alias("before"), F.col("line").cast("string").alias("line"))
 
 
-#: A result with one change: none, a line dropped, a line doubled in place of the next, two lines swapped.
-_VARIANTS = ("sorted", "dropped", "doubled", "swapped")
+#: A result with one change: none, a line dropped, a line doubled in place of the next, two lines
+#: swapped, the last line end gone (so that the last line is none).
+_VARIANTS = ("sorted", "dropped", "doubled", "swapped", "open")
 
 
 @query(
     f"""WITH r AS (SELECT raw, sp, number, row_number() OVER (ORDER BY sp, number, raw, id) AS rank FROM {parsed_sql(RELATIONS["part"])}),
 v AS (SELECT variant, CASE WHEN variant = 'swapped' AND rank IN (10, 11) THEN 21 - rank ELSE rank END AS pos,
-  CASE WHEN variant = 'doubled' AND rank = 11 THEN 10 ELSE rank END AS take FROM r, (VALUES ('sorted'), ('dropped'), ('doubled'), ('swapped')) t(variant)
-  WHERE NOT (variant = 'dropped' AND rank = 11)),
+  CASE WHEN variant = 'doubled' AND rank = 11 THEN 10 ELSE rank END AS take FROM r, (VALUES ('sorted'), ('dropped'), ('doubled'), ('swapped'), ('open')) t(variant)
+  WHERE NOT (variant = 'dropped' AND rank = 11) AND NOT (variant = 'open' AND rank = (SELECT max(rank) FROM r))),
 j AS (SELECT v.variant, v.pos, r.raw, r.sp, r.number FROM v JOIN r ON r.rank = v.take),
 l AS (SELECT variant, raw, lag(raw) OVER w IS NOT NULL AND (sp, number, raw) < (lag(sp) OVER w, lag(number) OVER w, lag(raw) OVER w) AS bad FROM j WINDOW w AS (PARTITION BY variant ORDER BY pos)),
 s AS (SELECT variant, bool_or(bad) AS bad, count(*) AS n, sum({_FNV}) % 18446744073709551616 AS h FROM l GROUP BY 1),
 o AS (SELECT count(*) AS n, sum({_FNV}) % 18446744073709551616 AS h FROM r)
-SELECT variant, CASE WHEN bad THEN 'OrderViolation' WHEN s.n <> o.n THEN 'CountMismatch' WHEN s.h <> o.h THEN 'HashMismatch' ELSE 'Verified' END AS outcome FROM s, o"""
+SELECT variant, CASE WHEN bad THEN 'OrderViolation' WHEN variant = 'open' THEN 'OutputNotTerminated' WHEN s.n <> o.n THEN 'CountMismatch' WHEN s.h <> o.h THEN 'HashMismatch' ELSE 'Verified' END AS outcome FROM s, o"""
 )
 def verify_outcome(spark, sf_dir):
     r = order.ranked(relation(spark, sf_dir, "part"), "id").select("line", "number", "string_part", "rank")
@@ -288,9 +289,11 @@ def verify_outcome(spark, sf_dir):
     v = v.select("variant", F.expr("CASE WHEN variant = 'swapped' AND rank IN (10, 11) THEN 21 - rank ELSE rank END AS at"), F.expr("CASE WHEN variant = 'doubled' AND rank = 11 THEN 10 ELSE rank END AS take"))
     j = v.join(r, v["take"] == r["rank"]).select("variant", "at", "line", F.struct(*ORDER).alias("key"))
     lagged = j.withColumn("bad", F.lag("key").over(Window.partitionBy("variant").orderBy("at")) > F.col("key")).withColumn("h", fnv1a64("line"))
+    last = lagged.groupBy("variant").agg(F.max("at").alias("last"))
+    lagged = lagged.join(F.broadcast(last), "variant").where("NOT (variant = 'open' AND at = last)")  # a row per variant
     s = lagged.groupBy("variant").agg(F.max("bad").alias("bad"), F.count("*").alias("n"), unsigned_sum(F.col("h")).alias("h"))
     o = r.select(fnv1a64("line").alias("h")).agg(F.count("*").alias("n0"), unsigned_sum(F.col("h")).alias("h0"))
-    outcome = F.when(F.col("bad"), "OrderViolation").when(F.col("n") != F.col("n0"), "CountMismatch").when(F.col("h") != F.col("h0"), "HashMismatch").otherwise("Verified")
+    outcome = F.when(F.col("bad"), "OrderViolation").when(F.col("variant") == "open", "OutputNotTerminated").when(F.col("n") != F.col("n0"), "CountMismatch").when(F.col("h") != F.col("h0"), "HashMismatch").otherwise("Verified")
     return s.crossJoin(F.broadcast(o)).select("variant", outcome.alias("outcome"))  # one row of totals
 
 
@@ -499,22 +502,21 @@ def generated_draws(spark, sf_dir):
     return events.select(key.alias("id"), (draw(42, key, "share", 100) < 10).alias("shared"), draw(42, key, "slot", 64).alias("slot"), (draw(42, key, "digits", 19) + 1).alias("digits"))
 
 
-def _made(key: str, purpose: str, modulus: int) -> str:
-    return f"CAST(concat('0x', substr(md5(concat('42:', {key}, ':{purpose}')), 1, 15)) AS BIGINT) % {modulus}"
-
-
-def _composed(key: str, purpose: str) -> str:
-    picked = ", ".join(f"words[{_made(key, f'{purpose}{i}', len(WORDS))} + 1]" for i in range(4))
-    return f"array_to_string(list_slice([{picked}], 1, {_made(key, purpose + 'n', 4)} + 1), ' ')"
+def _cut(digest: str, at: int, width: int, modulus: int) -> str:
+    return f"CAST(concat('0x', substr({digest}, {at}, {width})) AS BIGINT) % {modulus}"
 
 
 _VOCABULARY = "[" + ", ".join(f"'{w}'" for w in WORDS) + "]"
+_PICKED = "[" + ", ".join(f"v[{_cut('c', 8 * i + 1, 8, len(WORDS))} + 1]" for i in range(4)) + "]"
+_SHARED_PART = f"(SELECT k, concat(array_to_string(list_slice({_PICKED}, 1, least({_cut('c', 25, 8, 4)} + 1, 4)), ' '), ' s') AS part FROM (SELECT k, {_VOCABULARY} AS v, md5(concat('42:', k, ':part')) AS c FROM (SELECT unnest(range(0, {SHARED})) AS k)))"
 
 
 @query(
-    f"""WITH i AS (SELECT id, {_VOCABULARY} AS words, {_made("id", "share", 1_000_000)} < 250000 OR id < 2 AS shared, CASE WHEN id < 2 THEN 0 ELSE {_made("id", "slot", SHARED)} END AS slot,
-  left(lpad(concat({_made("id", "high", 10**9)}, lpad(CAST({_made("id", "low", 10**10)} AS VARCHAR), 10, '0')), 19, '1'), CAST({_made("id", "digits", 19)} + 1 AS INTEGER)) AS wide FROM (SELECT unnest(range(0, 3000)) AS id)),
-t AS (SELECT id, coalesce(TRY_CAST(ltrim(wide, '0') AS BIGINT), 0) AS number, CASE WHEN shared THEN concat({_composed("slot", "part")}, ' s') ELSE concat({_composed("id", "word")}, ' ', lower(to_base(id, 36))) END AS string_part FROM i)
+    f"""WITH i AS (SELECT id, {_VOCABULARY} AS v, md5(concat('42:', id, ':line')) AS a, md5(concat('42:', id, ':number')) AS b, md5(concat('42:', id, ':words')) AS c FROM (SELECT unnest(range(0, 3000)) AS id)),
+d AS (SELECT id, {_cut("a", 1, 8, 1_000_000)} < 250000 OR id < 2 AS shared, CASE WHEN id < 2 THEN 0 ELSE {_cut("a", 9, 8, SHARED)} END AS slot,
+  left(lpad(concat({_cut("b", 1, 15, 10**9)}, lpad(CAST({_cut("b", 16, 15, 10**10)} AS VARCHAR), 10, '0')), 19, '1'), CAST({_cut("a", 17, 8, 19)} + 1 AS INTEGER)) AS wide,
+  concat(array_to_string(list_slice({_PICKED}, 1, {_cut("a", 25, 8, 4)} + 1), ' '), ' ', lower(to_base(id, 36))) AS own FROM i),
+t AS (SELECT id, coalesce(TRY_CAST(ltrim(wide, '0') AS BIGINT), 0) AS number, CASE WHEN shared THEN part ELSE own END AS string_part FROM d JOIN {_SHARED_PART} ON k = slot)
 SELECT id, number, string_part, concat(number, '. ', string_part) AS line FROM t"""
 )
 def generated_lines(spark, sf_dir):

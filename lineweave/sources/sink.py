@@ -65,33 +65,34 @@ def write_parts(df: DataFrame, folder: str, line: str = "line") -> tuple[int, in
     return found.get("lines", 0), found.get("bytes", 0)
 
 
-def _append(spark: SparkSession, folder: str, work: str, out: BinaryIO) -> int:
+def _append(spark: SparkSession, folder: str, work: str, out: BinaryIO) -> list[int]:
     """Appends the part files of a folder, in their order; a store that is not local is fetched file
-    by file. Returns the bytes that the store says they have."""
+    by file. Returns the bytes that the store says each has."""
     jvm = spark.sparkContext._jvm
     path = jvm.org.apache.hadoop.fs.Path(folder)
     fs = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
     parts = sorted((f for f in fs.listStatus(path) if f.getPath().getName().startswith("part-")), key=lambda f: f.getPath().getName())
-    total = 0
+    sizes = []
     for part in parts:
-        total += part.getLen()
+        sizes.append(part.getLen())
         local = part.getPath().toUri().getPath() if fs.getScheme() == "file" else os.path.join(work, "part")
         if fs.getScheme() != "file":
             fs.copyToLocalFile(False, part.getPath(), jvm.org.apache.hadoop.fs.Path(f"file://{os.path.abspath(local)}"), True)
         with open(local, "rb") as f:
             shutil.copyfileobj(f, out, 1 << 20)
         fs.delete(part.getPath(), False)
-    return total
+    return sizes
 
 
-def publish(df: DataFrame, destination: str, temp: str, line: str = "line", accept: Callable[[], None] | None = None) -> int:
+def publish(df: DataFrame, destination: str, temp: str, line: str = "line", accept: Callable[[], None] | None = None, told: Callable[[list[int]], None] | None = None) -> int:
     """Writes an ordered DataFrame's lines to one file on the driver's disk; returns its bytes.
 
     Tasks write ordered part files: below ``temp`` if they run on this machine, else in the folder
     that the cluster shares. The driver appends them in order to a staging file. Only if that has
     exactly the bytes that the tasks counted is it renamed to ``destination``; whatever else is there, parts
     that went missing among it, raises. ``accept`` runs once the parts are written and may still
-    raise. An existing result stays untouched until then, and a link is replaced, not followed.
+    raise; ``told`` gets the bytes of each part. An existing result stays untouched until then, and a
+    link is replaced, not followed.
     Where one file is not wanted, ``write_parts`` is the distributed end of the sort.
     """
     spark = df.sparkSession
@@ -108,12 +109,14 @@ def publish(df: DataFrame, destination: str, temp: str, line: str = "line", acce
         if accept is not None:
             accept()
         with open(partial, "wb") as out:
-            listed = _append(spark, parts, work, out)
-        there = os.path.getsize(partial)
+            sizes = _append(spark, parts, work, out)
+        listed, there = sum(sizes), os.path.getsize(partial)
         if not there == listed == size:
             raise OSError(f"the tasks wrote {lines} lines of {size} bytes, their files have {listed}, and {there} arrived in {partial}; {destination} stays as it was")
         try:
             os.replace(partial, destination)
         except OSError as e:
             raise PublishError(str(e)) from e
+        if told is not None:
+            told(sizes)
         return size

@@ -1,3 +1,6 @@
+import re
+import signal
+
 import duckdb
 import pytest
 from tests.conftest import SF
@@ -123,6 +126,7 @@ def test_command_line(spark, tmp_path, capsys):
     a, b = str(tmp_path / "a"), str(tmp_path / "b")
     assert main(["generate", a, "--size", "20KiB", "--seed", "5"], spark) == 0
     assert main(["sort", a, b, "--max-line", "1KiB"], spark) == 0
+    assert re.search(r"ranges hold lines, the largest [\d.inf]+ times the smallest; tasks took [\d.]+ to [\d.]+ s", capsys.readouterr().err)
     assert main(["verify", a, b], spark) == 0
     assert main(["--verify", a, a], spark) == 4
     (tmp_path / "bad").write_bytes(b"1. a\nbad\n")
@@ -134,6 +138,37 @@ def test_command_line(spark, tmp_path, capsys):
     assert main(["--help"]) == 0
 
 
+def test_signals_cancel_and_are_given_back(spark, tmp_path, monkeypatch):
+    from lineweave import cli
+
+    old = signal.getsignal(signal.SIGINT)
+    with pytest.raises(KeyboardInterrupt), cli.cancellable(spark):
+        signal.raise_signal(signal.SIGINT)
+    assert signal.getsignal(signal.SIGINT) == old
+    (tmp_path / "a").write_bytes(b"1. a\n")
+
+    def stopped(*_):
+        raise KeyboardInterrupt
+
+    monkeypatch.setitem(cli.COMMANDS, "sort", stopped)
+    assert main(["sort", "a", "b"], spark) == 130
+
+
+def test_full_disk_is_refused(spark, tmp_path, monkeypatch, capsys):
+    from lineweave import cli
+
+    (tmp_path / "a").write_bytes(b"1. a\n" * 100)
+    args = ["sort", str(tmp_path / "a"), str(tmp_path / "b")]
+    monkeypatch.setattr(cli.shutil, "disk_usage", lambda _: cli.shutil._ntuple_diskusage(10**6, 10**6, 500))
+    assert main(args, spark) == 2 and "lacks space" in capsys.readouterr().err and not (tmp_path / "b").exists()
+
+    def unknown(_):
+        raise OSError("no answer")
+
+    monkeypatch.setattr(cli.shutil, "disk_usage", unknown)
+    assert main(args, spark) == 0 and "is unknown" in capsys.readouterr().err
+
+
 def test_streaming(spark, tmp_path):
     from lineweave.streaming.lines import read_lines, sorted_runs
 
