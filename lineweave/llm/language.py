@@ -200,7 +200,7 @@ def fit_languages(docs: DataFrame, train_docs: int = TRAIN_DOCS) -> LanguageMode
             yield done()
 
     labelled = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull()).select("doc_id", "text", "lang")
-    sample = labelled.join(bounded_per_group(labelled, train_docs, "lang"), ["doc_id", "lang"])
+    sample = labelled.join(F.broadcast(bounded_per_group(labelled, train_docs, "lang")), ["doc_id", "lang"])
     by_word = sample.select("text", "lang").mapInArrow(words, "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n"))
     sums = by_word.mapInArrow(grams, "kind int, key long, lang string, n long").groupBy("kind", "key", "lang").agg(F.sum("n").alias("n")).toArrow()
     names = sums.column("lang").combine_chunks().dictionary_encode() if sums.num_rows else None

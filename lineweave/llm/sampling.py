@@ -21,15 +21,16 @@ def bounded_ids(labelled: DataFrame, bound: int, key: str = "doc_id") -> DataFra
 
 
 def bounded_per_group(labelled: DataFrame, bound: int, group: str, key: str = "doc_id") -> DataFrame:
-    """Distinct (key, group) pairs of ``labelled``, about ``bound`` at most over all groups: each group
+    """Distinct (key, group) pairs of ``labelled``, ``bound`` at most over all groups: each group
     gives an equal share of them, or all it has if that is less, chosen by a hash of the key.
 
-    The share aims at nine tenths of the bound. Nothing is ranked, so a group that holds most rows
-    is no hot spot; one row per group is joined back.
+    The share aims at nine tenths of the bound, and the first ``bound`` by hash are the limit, so the
+    result is never larger. No group is ranked, so one that holds most rows is no hot spot; one row
+    per group is joined back.
     """
     pairs = labelled.select(key, group).where(F.col(key).isNotNull() & F.col(group).isNotNull()).distinct()
     counts = pairs.groupBy(group).agg(F.count("*").alias("n"))
     groups = counts.count()
     place = F.pmod(F.xxhash64(F.col(key), F.lit(7)), F.lit(1 << 30))
     share = counts.select(group, F.least(F.lit(1.0), F.lit(0.9 * bound / max(1, groups)) / F.col("n")).alias("share"))
-    return pairs.join(share, group).where(place < F.col("share") * (1 << 30)).select(key, group)
+    return pairs.join(share, group).where(place < F.col("share") * (1 << 30)).orderBy(place, key, group).limit(bound).select(key, group)
