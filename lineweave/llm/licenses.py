@@ -39,6 +39,14 @@ TEMPLATES = [
     ("cc-by-sa-4.0", "licensed under cc by sa 4 0", "licensed under cc by sa 4 0"),
     ("cc-by-nc-4.0", "licensed under cc by nc 4 0", "licensed under cc by nc 4 0"),
     ("cc-by-nc-sa-4.0", "licensed under cc by nc sa 4 0", "licensed under cc by nc sa 4 0"),
+    ("zlib", "permission is granted to anyone to use this software for any purpose including commercial applications and to alter it and redistribute it freely", "permission is granted to anyone to use this software for any purpose"),
+    ("bsl-1.0", "permission is hereby granted free of charge to any person or organization obtaining a copy of the software and accompanying documentation covered by this license", "free of charge to any person or organization obtaining a copy of the software and accompanying documentation covered by this license"),
+    ("epl-2.0", "this program and the accompanying materials are made available under the terms of the eclipse public license", "eclipse public license"),
+    ("cddl-1.0", "subject to the terms of the common development and distribution license", "common development and distribution license"),
+    ("gfdl", "permission is granted to copy distribute and or modify this document under the terms of the gnu free documentation license", "gnu free documentation license"),
+    ("artistic-2.0", "released under the terms of the artistic license 2 0", "artistic license 2 0"),
+    ("osl-3.0", "licensed under the open software license version 3 0", "open software license version 3 0"),
+    ("cc0-1.0", "dedicated to the public domain under the creative commons cc0 1 0 universal public domain dedication", "cc0 1 0 universal public domain dedication"),
     ("unlicense", "this is free and unencumbered software released into the public domain", "released into the public domain"),
 ]
 #: Share of a template's rarest words that are indexed, and share of these that must agree.
