@@ -116,7 +116,7 @@ class Level:
     of equal windows it holds one.
     """
 
-    _HEAD = struct.Struct("<3Q")
+    _HEAD = struct.Struct("<4Q")
 
     def __init__(self, text: np.ndarray, size: np.ndarray, names: np.ndarray, order: np.ndarray):
         self.text, self.size, self.names, self.order = text, size, names, order
@@ -189,20 +189,21 @@ class Level:
         used[owner] = True
         number = np.cumsum(used) - 1
         text, size = pa.compress(self.text[np.repeat(used, self.size)].tobytes(), "zstd", asbytes=True), self.size[used]
-        head = self._HEAD.pack(len(size), len(self.order), len(text))
-        wide = "<u2" if len(size) <= 1 << 16 else "<u4"
-        parts = [size.astype("<u4"), self.names[used].astype("<i8"), number[owner].astype(wide), (self.order - begin[owner]).astype(np.uint8)]
+        wide, inside = "<u2" if len(size) <= 1 << 16 else "<u4", self.order - begin[owner]
+        deep = 1 if inside.max(initial=0) < 256 else 4
+        head = self._HEAD.pack(len(size), len(self.order), len(text), deep)
+        parts = [size.astype("<u4"), self.names[used].astype("<i8"), number[owner].astype(wide), inside.astype(f"<u{deep}")]
         return head + b"".join(x.tobytes() for x in parts) + text
 
     @classmethod
     def from_bytes(cls, blob: bytes) -> Level:
-        n, windows, packed = cls._HEAD.unpack_from(blob)
+        n, windows, packed, deep = cls._HEAD.unpack_from(blob)
         at = cls._HEAD.size
         size = np.frombuffer(blob, "<u4", n, at).astype(np.int64)
         names = np.frombuffer(blob, "<i8", 2 * n, at + 4 * n).reshape(n, 2)
         wide = np.dtype("<u2" if n <= 1 << 16 else "<u4")
         owner = np.frombuffer(blob, wide, windows, at + 20 * n).astype(np.int64)
-        inside = np.frombuffer(blob, np.uint8, windows, at + 20 * n + wide.itemsize * windows).astype(np.int64)  # a block has fewer windows
+        inside = np.frombuffer(blob, f"<u{deep}", windows, at + 20 * n + wide.itemsize * windows).astype(np.int64)
         text = pa.decompress(memoryview(blob)[len(blob) - packed :], int(size.sum()), "zstd", asbytes=True) if n else b""
         return cls(np.frombuffer(text, np.uint8), size, names, (np.cumsum(size) - size)[owner] + inside)
 

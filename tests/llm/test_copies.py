@@ -165,6 +165,8 @@ def test_repeats_against_brute_force(spark, edge, empty):
     for index in ({}, {"hot": 2, "batches": 7, "unit_bytes": 20_000}):  # blocks as they are, or cut into pieces
         got = remove_repeats(spark.createDataFrame(rows, "doc_id long, text string").repartition(4), **index).collect()
         assert sorted(map(repr, (tuple(r)[:5] for r in got))) == sorted(map(repr, want))
+    want = [(rows[i][0], *x[:4]) for i, x in enumerate(brute_repeats(texts, 420))]  # windows beyond 256 a block
+    assert sorted(map(repr, (tuple(r)[:5] for r in remove_repeats(spark.createDataFrame(rows, "doc_id long, text string"), length=420).collect()))) == sorted(map(repr, want))
     assert all(hashlib.sha256(bytes(r["kept"])).hexdigest() == r["kept_sha256"] for r in got)
     assert remove_repeats(empty).count() == 0
     assert remove_repeats(edge).count() == len(edge_rows())
