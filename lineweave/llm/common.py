@@ -20,7 +20,8 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def small_batches(spark: SparkSession, rows: int = ARROW_ROWS) -> None:
-    """Caps the rows and bytes of an Arrow batch unless the user already chose smaller numbers."""
+    """Caps the rows and bytes of an Arrow batch unless the user already chose smaller numbers. The
+    session keeps them: results are lazy, and the settings count when they are computed."""
     for key, most in (("maxRecordsPerBatch", rows), ("maxBytesPerBatch", 16 << 20)):
         key = f"spark.sql.execution.arrow.{key}"
         now = spark.conf.get(key, "2147483647")

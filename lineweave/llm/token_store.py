@@ -98,7 +98,8 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, end_id: int, memo:
 
     One range exchange puts documents in doc_id order (nulls first; equal ids by their text, so the
     files are the same on every run); its partitions are as many as Spark's settings say. The last
-    range key is where a row was read, so rows that are alike in all else spread over ranges too.
+    range key is where a row was read, so rows that are alike in all else spread over ranges too; so
+    ``docs`` should come from files or written tables, whose rows stay where they are when a task runs again.
     Texts are encoded after it. A null text is empty and has the end id alone.
     """
     spec = tokenizer_json(tokenizer)

@@ -11,7 +11,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lineweave.llm.common import Bytes, mix, small_batches, texts_of
+from lineweave.llm.common import Bytes, small_batches, texts_of
 from lineweave.llm.sampling import bounded_ids
 
 #: Hashed n-gram space. What a task counts or the driver receives is bounded by it.
@@ -126,45 +126,32 @@ def fit(docs: DataFrame, labels: DataFrame, train_docs: int = TRAIN_DOCS) -> Tox
     size = np.array([len(f) // 4 for _, f in rows])
     col = np.frombuffer(b"".join(f for _, f in rows), np.int32).astype(np.int64)
     value = scale[is_feature].astype(float)
-    size, col, norm, group = merged_columns(size, col, value)
-    weight, bias = logistic(size, col, norm, np.array([t for t, _ in rows], float))
+    weight, bias = logistic(size, col, value, np.array([t for t, _ in rows], float))
     effect = np.zeros(BUCKETS, np.float32)
-    known = group >= 0
-    effect[np.flatnonzero(is_feature)[known]] = value[known] ** 2 * (weight / norm)[group[known]]
+    effect[is_feature] = value * weight
     return Toxicity(effect, bias, base)
 
 
-def merged_columns(size: np.ndarray, col: np.ndarray, value: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """The same problem with one column for all features that occur in the same rows: size, col and
-    value as for ``logistic``, and the new column of each feature (-1: in no row).
-
-    Such features' weights are in proportion to their values at the optimum, so together they act
-    like one feature whose value is the norm of theirs. The n-grams of a word mostly are such."""
-    row = np.repeat(np.arange(len(size)), size)
-    order = np.argsort(col, kind="stable")
-    first = np.flatnonzero(np.concatenate(([True], np.diff(col[order]) > 0))[: len(order)])
-    group = np.full(len(value), -1)
-    if not len(first):
-        return size * 0, col[:0], value[:0], group
-    names = [np.add.reduceat(mix(np.arange(1, len(size) + 1, dtype=np.uint64) * np.uint64(k))[row[order]], first) for k in (1, 2654435761)]
-    present = col[order][first]
-    _, at, of = np.unique(np.stack(names, 1), axis=0, return_index=True, return_inverse=True)
-    group[present] = of.ravel()
-    one = np.zeros(len(value), bool)
-    one[present[at]] = True
-    keep = one[col]
-    norm = np.sqrt(np.bincount(group[present], value[present] ** 2))
-    return np.bincount(row[keep], minlength=len(size)), group[col[keep]], norm, group
-
-
-def logistic(size: np.ndarray, col: np.ndarray, scale: np.ndarray, y: np.ndarray, penalty: float = 1e-5, rounds: int = 600, flat: float = 1e-6) -> tuple[np.ndarray, float]:
+def logistic(size: np.ndarray, col: np.ndarray, scale: np.ndarray, y: np.ndarray, penalty: float = 1e-5, rounds: int = 150, flat: float = 1e-6) -> tuple[np.ndarray, float]:
     """L2-penalised logistic regression by accelerated gradient steps, ``rounds`` at most, fewer once no
     partial derivative is above ``flat``. Row i has the next ``size[i]`` features of ``col``; feature j
     has the value ``scale[j]`` wherever it is."""
     m, n = len(y), len(scale)
-    row = np.repeat(np.arange(m), size)
-    forward = lambda x: np.bincount(row, (scale * x)[col], m)
-    back = lambda r: scale * np.bincount(col, r[row], n)
+    by = np.argsort(col, kind="stable")
+    row, begin = np.repeat(np.arange(m), size)[by], np.cumsum(size) - size
+    filled, used = np.flatnonzero(size), np.unique(col)
+    first = np.searchsorted(col[by], used)
+
+    def forward(x: np.ndarray) -> np.ndarray:
+        out = np.zeros(m)
+        out[filled] = np.add.reduceat((scale * x)[col], begin[filled]) if len(filled) else 0
+        return out
+
+    def back(r: np.ndarray) -> np.ndarray:
+        out = np.zeros(n)
+        out[used] = np.add.reduceat(r[row], first) if len(used) else 0
+        return scale * out
+
     v = np.ones(n)
     top = 1.0
     for _ in range(15):
