@@ -6,6 +6,7 @@ from decimal import Decimal
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
@@ -15,13 +16,11 @@ from pyspark.sql.types import LongType
 OFFSET, PRIME = 14695981039346656037, 1099511628211
 
 
-def fnv1a64_batch(lines: list[bytes]) -> np.ndarray:
-    """Hashes of a batch: all lines take their next byte together, longest lines first."""
-    size = np.array([len(x) for x in lines], np.int64)
+def fnv1a64_runs(data: np.ndarray, begin: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Hashes of runs of a buffer: all take their next byte together, longest runs first."""
     order = np.argsort(-size, kind="stable")
-    data = np.frombuffer(b"".join(lines), np.uint8)
-    begin = (np.cumsum(size) - size)[order]
-    h = np.full(len(lines), OFFSET, np.uint64)
+    begin = begin[order]
+    h = np.full(len(size), OFFSET, np.uint64)
     live = np.searchsorted(-size[order], -np.arange(1, int(size.max(initial=0)) + 1), side="right")
     prime = np.uint64(PRIME)
     for j, n in enumerate(live.tolist()):
@@ -31,6 +30,20 @@ def fnv1a64_batch(lines: list[bytes]) -> np.ndarray:
     return out
 
 
+def fnv1a64_batch(lines: list[bytes]) -> np.ndarray:
+    """Hashes of a list of lines."""
+    size = np.array([len(x) for x in lines], np.int64)
+    return fnv1a64_runs(np.frombuffer(b"".join(lines), np.uint8), np.cumsum(size) - size, size)
+
+
+def fnv1a64_column(lines: pa.Array) -> np.ndarray:
+    """Hashes of a column of bytes without nulls, read where it lies."""
+    lines = lines.cast(pa.large_binary())
+    _, ends, data = lines.buffers()
+    ends = np.frombuffer(ends, np.int64)[lines.offset : lines.offset + len(lines) + 1]
+    return fnv1a64_runs(np.frombuffer(data or b"", np.uint8), ends[:-1], np.diff(ends))
+
+
 @pandas_udf(LongType())
 def fnv1a64(lines: pd.Series) -> pd.Series:
     """The hash's 64 bits as a signed long; a null line hashes like an empty one."""

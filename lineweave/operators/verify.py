@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lineweave.functions.grammar import DEFAULT_MAX_LINE, ORDER, PREVIEW_BYTES, parse, strip_cr
-from lineweave.functions.hashing import fnv1a64, fnv1a64_batch, unsigned_sum
+from lineweave.functions.hashing import fnv1a64, fnv1a64_column, unsigned_sum
 from lineweave.operators.malformed import MalformedLine
 from lineweave.sources.lines import edges, raw_lines
 from lineweave.sources.shared import Scratch
@@ -69,8 +69,7 @@ class _Split:
     def take(self, batch: pa.RecordBatch) -> None:
         n = batch.num_rows
         line, sp, number = batch.column("line"), batch.column("string_part"), batch.column("number")
-        values = line.to_pylist()
-        h = fnv1a64_batch(values)
+        h = fnv1a64_column(line)
         size = batch.column("size").to_numpy().astype(np.int64)
         bad = batch.column("bad").to_numpy(zero_copy_only=False)
         low = np.zeros(n, bool)
@@ -82,7 +81,8 @@ class _Split:
             ties = pc.and_(same(number), more(line))
             below = pc.or_(more(sp), pc.and_(same(sp), pc.or_(more(number), ties)))
             low[1:] = pc.fill_null(below, False).to_numpy(zero_copy_only=False)
-        key = lambda i: (sp[i].as_py(), number[i].as_py(), values[i])
+        value = lambda i: line[i].as_py()
+        key = lambda i: (sp[i].as_py(), number[i].as_py(), value(i))
         if self.role and self.last is not None and not bad[0] and self.last[1] is not None:
             low[0] = key(0) < self.last
         if self.tail is not None:  # the record that was last until now is not
@@ -92,17 +92,17 @@ class _Split:
         before = np.concatenate(([0], np.cumsum(size)))[:n]
         if self.bad is None and bad[:-1].any():
             i = int(bad[:-1].argmax())
-            self.bad = self.lines + i, self.bytes + int(before[i]), shown(values[i])
+            self.bad = self.lines + i, self.bytes + int(before[i]), shown(value(i))
         if self.low is None and low[:-1].any():
             i = int(low[:-1].argmax())
-            earlier = values[i - 1] if i else self.last[2]
-            self.low = self.lines + i, self.bytes + int(before[i]), (self.hash + int(h[:i].sum(dtype=np.uint64))) % 2**64, shown(earlier), shown(values[i])
+            earlier = value(i - 1) if i else self.last[2]
+            self.low = self.lines + i, self.bytes + int(before[i]), (self.hash + int(h[:i].sum(dtype=np.uint64))) % 2**64, shown(earlier), shown(value(i))
         self.lines += n - 1
         self.bytes += int(before[-1])
         self.hash = (self.hash + int(h[:-1].sum(dtype=np.uint64))) % 2**64
-        earlier = values[-2] if n > 1 else self.last[2] if self.last else b""
+        earlier = value(n - 2) if n > 1 else self.last[2] if self.last else b""
         self.last = key(n - 1)
-        self.tail = int(size[-1]), int(h[-1]), bool(bad[-1]), bool(low[-1]), shown(earlier), shown(values[-1])
+        self.tail = int(size[-1]), int(h[-1]), bool(bad[-1]), bool(low[-1]), shown(earlier), shown(value(n - 1))
 
     def _count(self, tail: tuple) -> None:
         size, h, bad, low, earlier, text = tail

@@ -11,7 +11,6 @@ def session(app: str = "lineweave", **conf: str) -> SparkSession:
     builder = SparkSession.builder.appName(app)
     defaults = {
         "spark.sql.adaptive.enabled": "true",
-        "spark.sql.adaptive.coalescePartitions.parallelismFirst": "false",
         "spark.sql.session.timeZone": "UTC",
         "spark.ui.enabled": "false",
         # more samples per partition: range slices stay within a few percent of each other
