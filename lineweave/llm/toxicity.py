@@ -123,10 +123,12 @@ def fit(docs: DataFrame, labels: DataFrame, train_docs: int = TRAIN_DOCS) -> Tox
     number = (np.cumsum(is_feature) - 1).astype(np.int32)
     got = sample.mapInArrow(extract, "toxic int, found binary").toArrow()  # at most train_docs rows of numbers of features
     rows = sorted(zip(got.column("toxic").to_pylist(), got.column("found").to_pylist(), strict=True))  # the same order on every run
-    size = np.array([len(f) // 4 for _, f in rows])
-    col = np.frombuffer(b"".join(f for _, f in rows), np.int32).astype(np.int64)
+    del got
+    size, marks = np.array([len(f) // 4 for _, f in rows]), np.array([t for t, _ in rows], float)
+    col = np.frombuffer(b"".join(f for _, f in rows), np.int32)
+    del rows
     value = scale[is_feature].astype(float)
-    weight, bias = logistic(size, col, value, np.array([t for t, _ in rows], float))
+    weight, bias = logistic(size, col, value, marks)
     effect = np.zeros(BUCKETS, np.float32)
     effect[is_feature] = value * weight
     return Toxicity(effect, bias, base)
@@ -138,9 +140,11 @@ def logistic(size: np.ndarray, col: np.ndarray, scale: np.ndarray, y: np.ndarray
     has the value ``scale[j]`` wherever it is."""
     m, n = len(y), len(scale)
     by = np.argsort(col, kind="stable")
-    row, begin = np.repeat(np.arange(m), size)[by], np.cumsum(size) - size
-    filled, used = np.flatnonzero(size), np.unique(col)
-    first = np.searchsorted(col[by], used)
+    row, begin = np.repeat(np.arange(m, dtype=np.int32), size)[by], np.cumsum(size) - size
+    del by
+    many = np.bincount(col, minlength=n)
+    filled, used = np.flatnonzero(size), np.flatnonzero(many)
+    first = (np.cumsum(many) - many)[used]
 
     def forward(x: np.ndarray) -> np.ndarray:
         out = np.zeros(m)
